@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import packing, rules, simhash
-from lexloom.llm.common import table
+from lexloom.llm import langid, packing, quality, rules, simhash, toxicity
+from lexloom.llm.common import held_out, table
 
 VOCABULARIES = "/opt/tokenizers"
 
@@ -22,6 +22,18 @@ def byte_coder(folder: str = VOCABULARIES):
     return make
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    weights, bias = toxicity.trained(docs, table(spark, sf_dir, "labels"), ~out)
+    found = toxicity.scored(docs, weights, bias)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    return langid.predicted(docs, langid.trained(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), byte_coder())
 
@@ -36,6 +48,12 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 4, 2)
+    trees = quality.trained(docs, table(spark, sf_dir, "labels"), ~out)
+    return quality.scored(docs, trees).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 SQL: dict[str, str] = {}
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_simhash, op9_host_rules)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language, op5_best_fit_packing, op6_simhash, op9_host_rules, op10_quality)}
