@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import langid, packing, quality, rules, simhash, toxicity
+from lexloom.llm import langid, linededup, packing, quality, rules, simhash, toxicity
 from lexloom.llm.common import held_out, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -43,6 +43,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", "text")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.host_quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,6 +58,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, trees).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL}
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language, op5_best_fit_packing, op6_simhash, op9_host_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language, op5_best_fit_packing, op6_simhash, op7_line_dedup, op9_host_rules, op10_quality)}

@@ -94,7 +94,7 @@ def split(rows: DataFrame, budget: int, limit: int) -> DataFrame:
             break
         cold, hot = rest.join(sizes, "cell", "left_anti"), rest.join(sizes, "cell", "left_semi")
         done = cold if done is None else done.unionByName(cold)
-        hot = written(hot.withColumn("child", (F.shiftrightunsigned("bits", F.lit(BITS - STEP) - F.col("depth")).bitwiseAND(2**STEP - 1)).cast("int")))
+        hot = written(hot.withColumn("child", (F.call_function("shiftrightunsigned", F.col("bits"), F.lit(BITS - STEP) - F.col("depth")).bitwiseAND(2**STEP - 1)).cast("int")))
         kids = hot.select("cell", "side", "child", "used").distinct()  # at most 2 * 2**STEP for each cell
         cross = F.col("cell") % 2 != 0
         a = kids.filter("side = 0").select("cell", F.col("child").alias("ca"), "used")
