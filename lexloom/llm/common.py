@@ -6,7 +6,9 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,21 @@ def per_row(df: DataFrame, inputs: list[str], keep: list[str], schema: str, make
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=[*keep, *names])
 
     return df.mapInArrow(run, out)
+
+
+PIECE = 1 << 15  # shingles hashed at a time
+
+
+def shingle_hashes(text: str | None, width: int, seed: int = 42):
+    """XXH64 of each shingle of the text's words, joined by one space, in arrays; A-Z are lower-cased. Fewer words are one shingle, none are none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both only touch ASCII
+    if not words:
+        return
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - width + 1)
+    starts, ends = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
+    h = xxhash.xxh64_intdigest
+    for at in range(0, n, PIECE):
+        yield np.array([h(line[s:e], seed) for s, e in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], np.uint64)

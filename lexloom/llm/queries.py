@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import langid, linededup, packing, quality, rules, simhash, toxicity
+from lexloom.llm import bpe, fingerprint, langid, linededup, packing, quality, rules, simhash, toxicity
 from lexloom.llm.common import held_out, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -34,6 +34,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, langid.trained(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), byte_coder())
 
@@ -47,6 +51,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.without_copies(table(spark, sf_dir, "documents")).select("doc_id", "n_deleted", "text")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.host_quality(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,4 +68,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL}
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language, op5_best_fit_packing, op6_simhash, op7_line_dedup, op9_host_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language, op4_bpe, op5_best_fit_packing, op6_simhash, op7_line_dedup, op8_fingerprint, op9_host_rules, op10_quality)}

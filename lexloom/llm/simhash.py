@@ -17,31 +17,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_row, written
+from lexloom.llm.common import per_row, shingle_hashes, written
 
 BITS = 64
-PIECE = 1 << 15  # shingles hashed at a time
 PAIRS = 1 << 20  # pairs of nodes walked at a time
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """As a signed 64-bit number. Bits set in over half the shingles' hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both only touch ASCII
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - width + 1)
-    starts, ends = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
-    h, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, n, PIECE):
-        got = np.array([h(line[s:e], seed) for s, e in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=True)], np.uint64)
+    ones, n = np.zeros(BITS, np.int64), 0
+    for got in shingle_hashes(text, width, seed):
         ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(got)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
