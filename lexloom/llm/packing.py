@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,9 @@ def stretches(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+@lru_cache(maxsize=1)
 def byte_bpe(ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
-    """Text -> ids by a byte-level vocabulary of (base64 bytes, rank) lines."""
+    """Text -> ids by a byte-level vocabulary of (base64 bytes, rank) lines. Made once a worker: it holds a pattern for each thread it may meet."""
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
