@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -35,35 +37,36 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each:
     return [(r[2], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[2]))], of_all
 
 
-def marks(word: str) -> tuple[str, ...]:
-    return (word, word[:4] + "-", word[:5] + "-")
+def marks(word: str) -> tuple[int, ...]:
+    """Numbers of the word and its beginnings: CRC-32."""
+    return tuple(map(crc32, (word.encode(), word[:4].encode() + b"-", word[:5].encode() + b"-")))
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(texts: list[tuple[str, int]], of_all: dict[int, int], least_docs: int = 4, rounds: int = 150, rate: float = 0.3, penalty: float = 2e-4) -> tuple[dict[str, float], float]:
+def fit(texts: list[tuple[str, int]], of_all: dict[int, int], least_docs: int = 4, rounds: int = 150, rate: float = 0.3, penalty: float = 2e-4) -> tuple[dict[int, float], float]:
     """Weights of words and beginnings that are not zero, and the bias."""
     y = np.array([t[1] for t in texts], float)
     if not len(y) or not 0 < y.sum() < len(y):
         return {}, -50.0
-    bags = [[{x for w in set(WORD.findall(s.lower())) for x in marks(w)} for s in SENTENCE.findall(t)] for t, _ in texts]
-    df: dict[str, int] = {}
-    for bag in bags:
-        for w in set().union(*bag):
-            df[w] = df.get(w, 0) + 1
-    names = sorted(w for w, n in df.items() if n >= least_docs)
-    number = {w: i for i, w in enumerate(names)}
-    doc, sent, feat, n = [], [], [], 0
-    for i, bag in enumerate(bags):
-        for words in bag:
+    doc, sent, feat, per_doc, n = array("i"), array("i"), array("I"), [], 0  # numbers only: the texts' words would not fit the driver
+    for i, (text, _) in enumerate(texts):
+        start = len(feat)
+        for m in SENTENCE.finditer(text):
+            own = {x for w in set(WORD.findall(m[0].lower())) for x in marks(w)}
+            feat.extend(own)
+            sent.extend([n] * len(own))
             doc.append(i)
-            own = [number[w] for w in words if w in number]
-            feat += own
-            sent += [n] * len(own)
             n += 1
-    doc, sent, feat = np.array(doc, np.int64), np.array(sent, np.int64), np.array(feat, np.int64)
+        per_doc.append(np.unique(np.array(feat[start:], np.uint32)))
+    doc, sent, feat = np.frombuffer(doc, np.int32), np.frombuffer(sent, np.int32), np.frombuffer(feat, np.uint32)
+    names, df = np.unique(np.concatenate(per_doc), return_counts=True)
+    names = names[df >= least_docs]
+    at = np.minimum(np.searchsorted(names, feat), max(len(names) - 1, 0))
+    known = names[at] == feat if len(names) else np.zeros(len(feat), bool)
+    sent, feat = sent[known], at[known].astype(np.int32)
     share = of_all[1] / (of_all[0] + of_all[1])
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)  # as often as among all labels
     w, b = np.zeros(len(names)), -math.log(max(2.0, n / len(y)) * 2)
@@ -79,13 +82,13 @@ def fit(texts: list[tuple[str, int]], of_all: dict[int, int], least_docs: int =
         w = w - step * dw
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         b -= rate / math.sqrt(gb) * db
-    return {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, float(b)
+    return {int(names[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, float(b)
 
 
 class Weights(dict):
     """Word -> the sum of its marks' weights, filled as words are met and emptied when it has grown."""
 
-    def __init__(self, of: dict[str, float], most: int = 400_000):
+    def __init__(self, of: dict[int, float], most: int = 400_000):
         self.of, self.most = of, most
 
     def __missing__(self, word: str) -> float:
@@ -95,7 +98,7 @@ class Weights(dict):
         return out
 
 
-def scorer(weights: dict[str, float], bias: float, point_out: float = 0.5):
+def scorer(weights: dict[int, float], bias: float, point_out: float = 0.5):
     """text -> score, the spans of the sentences with a score of point_out or more."""
     of = Weights(weights).__getitem__
     rest = math.log1p(math.exp(bias))
@@ -116,10 +119,10 @@ def scorer(weights: dict[str, float], bias: float, point_out: float = 0.5):
     return score
 
 
-def scored(docs: DataFrame, weights: dict[str, float], bias: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, weights: dict[int, float], bias: float, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (the id) with score and the spans of offending sentences, in code points."""
     return per_row(docs, [text_col], keep or [id_col], "score double, offending array<struct<start:int,end:int,score:double>>", lambda: scorer(weights, bias))
 
 
-def trained(docs: DataFrame, labels: DataFrame, learn: Column, each: int = 2500, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> tuple[dict[str, float], float]:
+def trained(docs: DataFrame, labels: DataFrame, learn: Column, each: int = 2500, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> tuple[dict[int, float], float]:
     return fit(*sample(docs, labels, label, learn, each, id_col, text_col))
