@@ -63,9 +63,12 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return out[:FEATURES], int(out[FEATURES])
 
 
-def vector(text: str, idf: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts(text)) * idf
-    return x / max(float(np.sqrt(x @ x)), 1e-12)
+def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that occur, and their values."""
+    n = counts(text)
+    at = np.flatnonzero(n)
+    x = np.sqrt(n[at]) * idf[at]
+    return at.astype(np.uint16), (x / max(float(np.sqrt(x @ x)), 1e-12)).astype(np.float32)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -73,7 +76,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(x: list[np.ndarray], y: np.ndarray, kinds: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> np.ndarray:
+def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, kinds: int, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> np.ndarray:
     """Weights (features + bias, kinds) after so many passes in a fixed shuffled order."""
     z, n = np.zeros((FEATURES + 1, kinds)), np.zeros((FEATURES + 1, kinds))
 
@@ -83,8 +86,8 @@ def ftrl(x: list[np.ndarray], y: np.ndarray, kinds: int, epochs: int = 3, alpha:
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            at = np.append(np.flatnonzero(x[i]), FEATURES)
-            v = np.append(x[i][at[:-1]], 1.0)
+            at = np.append(x[i][0].astype(np.int64), FEATURES)
+            v = np.append(x[i][1].astype(float), 1.0)
             w = weights(at)
             p = softmax(v @ w)
             p[y[i]] -= 1
@@ -111,12 +114,16 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def logits(x: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> np.ndarray:
+    return x[1].astype(float) @ weights[x[0]] + weights[-1]
+
+
 class Model:
     def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, heat: float):
         self.langs, self.idf, self.weights, self.heat = langs, idf, weights, heat
 
     def logits(self, text: str) -> np.ndarray:
-        return vector(text, self.idf) @ self.weights[:-1] + self.weights[-1]
+        return logits(vector(text, self.idf), self.weights)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not has_letter(text):
@@ -140,11 +147,12 @@ def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
     idf = np.log((1 + n) / (1 + df)) + 1
     x, y = [vector(r[2], idf) for r in rows], np.array([langs.index(r[1]) for r in rows])
+    rows.clear()
     aside = np.arange(len(y)) % 5 == 0
     own = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))
     weights = ftrl([x[i] for i in own], y[own], len(langs))
     apart = np.flatnonzero(aside)
-    heat = temperature(np.array([x[i] @ weights[:-1] + weights[-1] for i in apart]).reshape(len(apart), -1), y[apart])
+    heat = temperature(np.array([logits(x[i], weights) for i in apart]).reshape(len(apart), -1), y[apart])
     return Model(langs, idf, weights, heat)
 
 
