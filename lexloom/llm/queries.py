@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, fingerprint, langid, linededup, packing, quality, rules, simhash, toxicity
+from lexloom.llm import bpe, fingerprint, langid, licenses, linededup, packing, quality, rules, simhash, toxicity
 from lexloom.llm.common import held_out, table
 
 VOCABULARIES = "/opt/tokenizers"
@@ -22,6 +22,12 @@ def byte_coder(folder: str = VOCABULARIES):
     return make
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a document: its source, a directory for each thousand ids, and its id."""
+    path = F.concat_ws("/", F.col("source"), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scanned(table(spark, sf_dir, "documents"), path)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
     weights, bias = toxicity.trained(docs, table(spark, sf_dir, "labels"), ~out)
@@ -68,4 +74,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL}
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language, op4_bpe, op5_best_fit_packing, op6_simhash, op7_line_dedup, op8_fingerprint, op9_host_rules, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_language, op4_bpe, op5_best_fit_packing, op6_simhash, op7_line_dedup, op8_fingerprint, op9_host_rules, op10_quality)}
