@@ -37,6 +37,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     """Whether crc32 of the id as text leaves this remainder. A null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod == rest

@@ -91,16 +91,18 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """docs with the text less the later copies, and n_deleted, the number of lines that went."""
-    gone = written(later_copies(docs, id_col, text_col, min_words)).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    names = docs.columns
-    joined = docs.withColumn("_key", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th")), "left")
-    parts = F.split(text_col, "\n")
+    """docs with the text less the later copies, and n_deleted, the number of lines that went (in place of a column of that name)."""
+    gone = written(later_copies(docs, id_col, text_col, min_words))
+    names = [c for c in docs.columns if c.lower() != "n_deleted"]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
+    joined = rows.join(gone, F.col("key").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("th")), "left")
+    whole = F.col("row").getField(text_col)
+    parts = F.split(whole, "\n")
     numbers = F.sequence(F.lit(0), F.size(parts) - 1)
     worded = F.filter(numbers, lambda j: F.get(parts, j).rlike(WORD))
-    left = F.array_except(numbers, F.transform("_gone", lambda g: F.get(worded, g)))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda j: F.get(parts, j)), "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in names), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_deleted"))
+    left = F.array_except(numbers, F.transform("gone", lambda g: F.get(worded, g)))
+    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.transform(left, lambda j: F.get(parts, j)), "\n"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_deleted"))
 
 
 SQL = """

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_row, written
+from lexloom.llm.common import fresh, per_row, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -89,3 +89,22 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sourc
     hosts = host_rates(stats, host_col).select("host", F.col("rate").alias("host_rate"))
     joined = stats.join(hosts, stats[host_col].eqNullSafe(hosts["host"])).drop("host")
     return joined.withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= max_rate))
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", max_rate: float = 0.5) -> DataFrame:
+    """The rows of docs that host_quality keeps, with docs' columns. Texts are read twice rather than dealt out by id."""
+    base, soft = failures()
+    hosts = host_rates(written(text_statistics(docs, id_col, host_col, text_col).select(host_col, (base | soft).alias("failed"))), host_col)
+    flag = fresh(docs, "failed")
+
+    def judge():
+        def failed(text):
+            n, chars, symbols, dup, repeats, lines = statistics(text)
+            return (n < 50 or 100 * repeats > 50 * n or 10 * symbols > 3 * n or 2 * dup > lines or chars > 20 * n or chars < 2 * n,)
+
+        return failed
+
+    good = per_row(docs, [text_col], docs.columns, f"`{flag}` boolean", judge).filter(~F.col(flag)).drop(flag)
+    key = fresh(docs, "host")
+    bad = hosts.filter(F.col("rate") > max_rate).select(F.col("host").alias(key))
+    return good.join(bad, F.col(host_col).eqNullSafe(F.col(key)), "left_anti")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_row
+from lexloom.llm.common import fresh, per_row
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -126,3 +126,14 @@ def scored(docs: DataFrame, weights: dict[int, float], bias: float, id_col: str
 
 def trained(docs: DataFrame, labels: DataFrame, learn: Column, each: int = 2500, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> tuple[dict[int, float], float]:
     return fit(*sample(docs, labels, label, learn, each, id_col, text_col))
+
+
+def clean(docs: DataFrame, weights: dict[int, float], bias: float, text_col: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows of docs with a score under most, with docs' columns."""
+    flag = fresh(docs, "toxic")
+
+    def make():
+        score = scorer(weights, bias)
+        return lambda text: (score(text)[0] >= most,)
+
+    return per_row(docs, [text_col], docs.columns, f"`{flag}` boolean", make).filter(~F.col(flag)).drop(flag)
