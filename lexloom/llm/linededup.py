@@ -27,10 +27,10 @@ AT = ["doc", "th", "i"]
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, th (the text's hash), i (number among its lines with a word), w (words), h1, h2."""
-    parts = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.struct(F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))), lambda s: s["w"] > 0)
+    """doc, th (the text's hash), i (number among its lines with a word), no (among all its lines), w (words), h1, h2."""
+    parts = F.filter(F.transform(F.split(text_col, "\n"), lambda x, j: F.struct(j.alias("no"), F.regexp_count(x, F.lit(WORD)).alias("w"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))), lambda s: s["w"] > 0)
     found = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"), F.posexplode(parts).alias("i", "s"))
-    return found.select(*AT, "s.w", "s.h1", "s.h2")
+    return found.select(*AT, "s.no", "s.w", "s.h1", "s.h2")
 
 
 def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -39,14 +39,10 @@ def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
     return many.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
 
 
-def same(a: DataFrame, b: DataFrame, shift=0):
-    return a["doc"].eqNullSafe(b["doc"]) & (a["th"] == b["th"]) & (a["i"] + shift == b["i"])
-
-
 def suffix_ranks(found: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Repeated lines, and the ranks of the suffixes at each level: level, doc, th, i, rank (by the first 2**level lines)."""
     names = written(ranked(found, ["h1", "h2"]))
-    repeated = written(found.join(names, ["h1", "h2"]).select(*AT, "w", "rank"))
+    repeated = written(found.join(names, ["h1", "h2"]).select(*AT, "no", "w", "rank").distinct())  # once for rows with the same id and text
     level, out = repeated.select(*AT, "rank"), None
     for k in range(depth + 1):
         out = level.withColumn("level", F.lit(k)) if out is None else out.unionByName(level.withColumn("level", F.lit(k)))
@@ -75,9 +71,9 @@ def blocks(repeated: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """doc, th, gone: for each document that loses lines, their numbers among its lines with a word, sorted."""
+    """doc, th, gone: for each document that loses lines, their numbers among all its lines, sorted."""
     depth = max(0, min_words.bit_length() - 1)  # a block has min_words lines at most
-    repeated, ranks = suffix_ranks(lines(docs, id_col, text_col), depth)
+    repeated, ranks = suffix_ranks(written(lines(docs, id_col, text_col)), depth)
     found = blocks(repeated, min_words).withColumn("level", F.floor(F.log2("size")).cast("int"))
     found = found.withColumn("last", (F.col("i") + F.col("size") - F.call_function("shiftleft", F.lit(1), F.col("level"))).cast("int"))
     for at, name in (("i", "ra"), ("last", "rb")):
@@ -87,21 +83,20 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = found.groupBy("size", "ra", "rb").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = found.join(first, ["size", "ra", "rb"]).filter(~F.struct(*AT).eqNullSafe(F.col("first")))
     gone = copies.select("doc", "th", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("i")).distinct()
-    return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("i")).alias("gone"))
+    numbers = repeated.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.col("i").alias("i2"), "no")
+    gone = gone.join(numbers, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("i") == F.col("i2")))
+    return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("no")).alias("gone"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """docs with the text less the later copies, and n_deleted, the number of lines that went (in place of a column of that name)."""
     gone = written(later_copies(docs, id_col, text_col, min_words))
     names = [c for c in docs.columns if c.lower() != "n_deleted"]
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"))
+    # lines travel instead of texts: below the join they are a column, which each line's look-up can refer to
+    rows = docs.select(F.struct(*[c for c in names if c != text_col]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.split(text_col, "\n").alias("parts"))
     joined = rows.join(gone, F.col("key").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("th")), "left")
-    whole = F.col("row").getField(text_col)
-    parts = F.split(whole, "\n")
-    numbers = F.sequence(F.lit(0), F.size(parts) - 1)
-    worded = F.filter(numbers, lambda j: F.get(parts, j).rlike(WORD))
-    left = F.array_except(numbers, F.transform("gone", lambda g: F.get(worded, g)))
-    text = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.transform(left, lambda j: F.get(parts, j)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(F.transform(left, lambda j: F.get("parts", j)), "\n"))
     return joined.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_deleted"))
 
 
