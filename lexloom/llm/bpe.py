@@ -55,6 +55,10 @@ class Vocabulary:
         self.longest = max((len(self.symbols(t)) for t in ids), default=1)
         self.lookahead = sum(len(self.symbols(b)) for _, b in merges) + self.longest
         self.whole: dict[tuple[str, str], bool] = {}
+        self.first = [ids.get(c, -1) for c in byte_marks()]  # by byte
+        self.final = [ids.get(c + end, -1) for c in byte_marks()]
+        self.pairs = {ids[a] << 32 | ids[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [ids[a + b] for a, b in merges]
 
     def symbols(self, token: str) -> list[str]:
         """The symbols that a token is made of; the end of a word belongs to its last symbol."""
@@ -64,21 +68,40 @@ class Vocabulary:
         return list(token)
 
     def encode(self, parts: list[str]) -> list[str]:
-        """All symbols at once: the pair that stands first in the list is merged from left to right, again and again."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
+        """All symbols at once: of the neighbours the pair that stands first in the list is merged, the leftmost first, again and again."""
+        rank, none = self.ranks.get, 1 << 60
+        parts = list(parts)
+        found = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if i + 1 < n and parts[i] == best[0] and parts[i + 1] == best[1]:
-                    out.append(best[0] + best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = found.index(best)
+            parts[i] += parts.pop(i + 1)
+            del found[i]
+            if i:
+                found[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(found):
+                found[i] = rank((parts[i], parts[i + 1]), none)
+        return parts
+
+    def encode_bytes(self, word: bytes) -> list[int]:
+        """The same for a whole word, in numbers."""
+        first, rank, none = self.first, self.pairs.get, 1 << 60
+        parts = [first[b] for b in word]
+        parts[-1] = self.final[word[-1]]
+        found = [rank(a << 32 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == none:
+                break
+            i = found.index(best)
+            parts[i] = self.made[best]
+            del parts[i + 1], found[i]
+            if i:
+                found[i - 1] = rank(parts[i - 1] << 32 | parts[i], none)
+            if i < len(found):
+                found[i] = rank(parts[i] << 32 | parts[i + 1], none)
         return parts
 
     def holds(self, a: str, b: str) -> bool:
@@ -176,24 +199,14 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-class Names:
-    """The decoder that a vocabulary without one has: token names, one space between them."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v, self.first = vocabulary, True
-
-    def feed(self, token_id: int) -> str:
-        out = ("" if self.first else " ") + self.v.names.get(token_id, "")
-        self.first = False
-        return out
-
-
 class Coder:
     """Whole texts. Pieces between white space are independent: neither normalisation nor a token crosses it."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
         self.v, self.most, self.marks = vocabulary, most, byte_marks()
         self.pattern, self.blank = regex.compile(PATTERN), re.compile(f"[{BLANKS}]+")
+        self.numbers = {i: str(i) for i in vocabulary.names}
+        self.known: dict[str, tuple[int, str, str]] = {}  # by word; new and old: by piece
         self.new: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
@@ -202,24 +215,39 @@ class Coder:
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
         return self.pattern.findall(piece.lower())
 
-    def tokens(self, word: str) -> list[str]:
-        marks = "".join(map(self.marks.__getitem__, word.encode("utf-8", "replace")))
-        if len(marks) <= SHORT:
-            return self.v.encode([*marks[:-1], marks[-1] + self.v.end])
+    def word(self, word: str) -> list[int]:
+        data = word.encode("utf-8", "replace")
+        if len(data) <= SHORT:
+            return self.v.encode_bytes(data)
         t = Transducer(self.v)
-        return t.feed(marks) + t.finish()
+        return [self.v.ids[x] for x in t.feed("".join(map(self.marks.__getitem__, data))) + t.finish()]
 
     def ids(self, piece: str) -> list[int]:
-        return [self.v.ids[t] for w in self.words(piece) for t in self.tokens(w)]
+        return [i for w in self.words(piece) for i in self.word(w)]
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        got = self.known.get(word)
+        if got is None:
+            ids, numbers, names = self.word(word), self.numbers, self.v.names
+            got = (len(ids), " ".join([numbers[i] for i in ids]), " ".join([names[i] for i in ids]))
+            if len(word) <= SHORT:
+                if len(self.known) >= self.most:
+                    self.known.clear()
+                self.known[word] = got
+        return got
 
     def _met(self, piece: str) -> tuple[int, str, str]:
         got = self.old.get(piece)
         if got is None:
-            ids, names = self.ids(piece), Names(self.v)
-            got = (len(ids), " ".join(map(str, ids)), "".join(map(names.feed, ids)))
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
+            words = self.words(piece)
+            if len(words) == 1:
+                got = self._word(words[0])
+            else:
+                each = [self._word(w) for w in words]
+                got = (sum([x[0] for x in each]), " ".join([x[1] for x in each]), " ".join([x[2] for x in each]))
         if len(piece) <= SHORT:
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
             self.new[piece] = got
         return got
 
@@ -230,7 +258,7 @@ class Coder:
         return [i for p in self.pieces(text or "") for i in self.ids(p)]
 
     def digests(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens; SHA-256 of the ids and of the decoded text."""
+        """Number of tokens; SHA-256 of the ids, and of their names with one space between them, which is what a vocabulary without a decoder decodes to."""
         n, ids, names = 0, hashlib.sha256(), hashlib.sha256()
         pieces, of, gap = self.pieces(text or ""), self.new.get, b""
         for at in range(0, len(pieces), 4096):
@@ -244,6 +272,12 @@ class Coder:
         return n, ids.hexdigest(), names.hexdigest()
 
 
+@lru_cache(maxsize=1)
+def coder(path: str) -> Coder:
+    """Made once a worker, so what one task has met helps the next."""
+    return Coder(vocabulary(path))
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
@@ -253,17 +287,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256."""
-    return per_row(docs, [text_col], [id_col], "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: Coder(vocabulary(path)).digests)
+    return per_row(docs, [text_col], [id_col], "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: coder(path).digests)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids, and the text that they decode to."""
 
     def make():
-        coder = Coder(vocabulary(path))
+        encode = coder(path)
 
         def both(text):
-            ids, decoder = coder(text), Decoder(coder.v)
+            ids, decoder = encode(text), Decoder(encode.v)
             return ids, "".join(map(decoder.feed, ids)) + decoder.finish()
 
         return both
