@@ -25,6 +25,7 @@ import unicodedata
 from functools import lru_cache
 
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 from lexloom.llm.common import per_row
@@ -211,9 +212,12 @@ class Coder:
         self.old: dict[str, tuple[int, str, str]] = {}
 
     def words(self, piece: str) -> list[str]:
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
-        return self.pattern.findall(piece.lower())
+        if piece.isascii():
+            return self.pattern.findall(piece.lower())
+        if any([c > "\u0240" and unicodedata.category(c) == "Cn" for c in piece]):  # newer than Python's tables: by the library's
+            found = tokenizers.pre_tokenizers.Split(tokenizers.Regex(PATTERN), "removed", invert=True)
+            return [w for w, _ in found.pre_tokenize_str(tokenizers.normalizers.Sequence([tokenizers.normalizers.NFC(), tokenizers.normalizers.Lowercase()]).normalize_str(piece))]
+        return self.pattern.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())  # letter by letter: no final sigma
 
     def word(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
