@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,22 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod == rest
 
 
+def bounded_sample(ids: DataFrame, of: str, kind: str, each: int) -> tuple[DataFrame, dict]:
+    """At most `each` rows (distinct ids) of each kind, the first by a hash of the id; and how many there are of each.
+
+    A share of the hashes a little larger than needed is cut out where the rows are, so that few more than `each` rows of a kind meet."""
+    span = 1 << 30
+    there = {r[0]: r[1] for r in ids.groupBy(kind).count().collect()}  # a row for each label value or language
+    cuts = [(k, min(span, int(span * (each + 6 * each**0.5 + 10) / n) + 1)) for k, n in there.items()]
+    place = F.pmod(F.xxhash64(of), F.lit(span))
+    upto = F.lit(span)
+    for k, cut in cuts:
+        upto = F.when(F.col(kind).eqNullSafe(F.lit(k)), F.lit(cut)).otherwise(upto)
+    near = ids.withColumn("_place", place).filter(F.col("_place") < upto)
+    order = Window.partitionBy(kind).orderBy("_place", of)
+    return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).drop("_place", "_nth"), there
+
+
 def crc_rest(doc_id: object, mod: int) -> int:
     """held_out's remainder, in Python."""
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % mod

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_row
+from lexloom.llm.common import bounded_sample, per_row
 
 FEATURES = 1 << 13
 STRETCH = 1 << 17  # code points at a time
@@ -137,9 +137,8 @@ def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc
     """Fits on at most `each` documents of each language, the first by a hash of their id and none longer than most_chars; every fifth of them is kept for the temperature."""
     seen = docs.filter(learn & F.col(lang_col).isNotNull())
     df, n = document_frequencies(seen, text_col)
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = seen.filter(F.length(text_col) <= most_chars).select(id_col, lang_col).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
-    chosen = ids.select(F.col(id_col).alias("of")).distinct()
+    ids = seen.filter(F.length(text_col) <= most_chars).select(F.col(id_col).alias("of"), F.col(lang_col).alias("kind")).distinct()
+    chosen = bounded_sample(ids, "of", "kind", each)[0].select("of").distinct()
     rows = seen.join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("of", lang_col, text_col).collect()  # `each` ids a language are broadcast
     rows = sorted(((str(r[0]), r[1], r[2]) for r in rows if has_letter(r[2])))
     langs = sorted({r[1] for r in rows})

@@ -14,11 +14,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexloom.llm.common import per_row
+from lexloom.llm.common import bounded_sample, per_row
 from lexloom.llm.rules import statistics
 
 NAMES = ["words", "chars", "mean_word", "symbols", "repeats", "dup_lines", "lines", "line_words", "distinct", "top_word", "top_start", "upper", "digits", "marks", "spaced_marks", "ended"]
@@ -109,7 +109,7 @@ def trained(docs: DataFrame, labels: DataFrame, learn: Column, each: int = 15_00
     """Fits on the statistics of at most `each` documents of each label value, the first by a hash of their id."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label).cast("int").alias("y"))
     ids = docs.filter(learn).select(F.col(id_col).alias("of")).distinct().join(known, "of")
-    chosen = ids.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("of"), "of"))).filter(F.col("nth") <= each).select("of", "y")
+    chosen, _ = bounded_sample(ids, "of", "y", each)
     picked = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("y", "of", text_col)  # `each` ids a value are broadcast
     rows = per_row(picked, [text_col], ["y", "of"], ", ".join(f"{x} double" for x in NAMES), lambda: features).collect()
     rows = sorted(rows, key=lambda r: (str(r["of"]), tuple(r)[2:]))

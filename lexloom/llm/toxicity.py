@@ -16,10 +16,10 @@ from array import array
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import fresh, per_row
+from lexloom.llm.common import bounded_sample, fresh, per_row
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -29,11 +29,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each:
     """Texts and labels to fit on: of each label value, at most `each` documents, the first by a hash of their id, and none longer than most_chars. And how many of each value there are."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label).cast("int").alias("y"))
     ids = docs.filter(learn & (F.length(text_col) <= most_chars)).select(F.col(id_col).alias("of")).distinct().join(known, "of")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("of"), "of")
-    chosen = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each).select("of", "y")
+    chosen, of_all = bounded_sample(ids, "of", "y", each)
     # at most `each` ids for each label value are broadcast
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("of", "y", text_col).collect()
-    of_all = {r["y"]: r["count"] for r in ids.groupBy("y").count().collect()}
     return [(r[2], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[2]))], of_all
 
 
