@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import chunk, html, langtag, language, text, urls
 from lexloom.operators import documents, filters, fusion, hybrid, keyword, rerank, stats, validate, vector
+from lexloom.session import ship
 from lexloom.sources import crawl
 
 QUERIES, SQL = {}, {}
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return ship(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once an application, so that they need no copy of it."""
+    if spark.sparkContext.applicationId not in _shipped:
+        top = Path(__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="lexloom-")) / "lexloom.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, str(Path(top.name) / f.relative_to(top)))
+        spark.sparkContext.addPyFile(str(path))
+        _shipped.add(spark.sparkContext.applicationId)
+    return spark
+
 
 def session(name: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
     """Adaptive execution, UTC, and Arrow; master and partitions stay the cluster's unless given."""

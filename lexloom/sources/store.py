@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import ship
 from lexloom.sources.schema import CHILDREN, TABLES, VERSION, checked, conform, latest_version, schema
 
 STALE_S = 30
@@ -25,7 +26,7 @@ def now() -> str:
 
 class Store:
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, (path or os.environ.get("LEXLOOM_STORE") or "lexloom-store").rstrip("/")
+        self.spark, self.path = ship(spark), (path or os.environ.get("LEXLOOM_STORE") or "lexloom-store").rstrip("/")
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.Path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(self.path).getFileSystem(conf)
