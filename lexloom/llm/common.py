@@ -12,9 +12,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexloom.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder. It cuts the lineage, and a lost executor loses none of it; the JVM deletes it on exit."""
-    spark = df.sparkSession
+    spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,6 +77,7 @@ def per_row(df: DataFrame, inputs: list[str], keep: list[str], schema: str, make
     """One pass over df's rows as Arrow batches. make(): called once a task, gives a function of the input values of one row that returns a tuple of the new values.
 
     keep: columns that pass unchanged and come first; schema: the new columns. Only inputs and keep are read."""
+    ship(df.sparkSession)
     cols = list(dict.fromkeys([*keep, *inputs]))
     df = df.select(*cols)
     from pyspark.sql.types import StructType
