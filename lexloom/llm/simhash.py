@@ -53,21 +53,24 @@ def orders(n: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
 
 
 def tries(fps: DataFrame, n: int, budget: int) -> DataFrame:
-    """fp -> a row for each order of bits: cell (order and chosen bits), bits (the fingerprint in that order), depth, used, side."""
+    """fp -> a row for each order of bits: cell (seed, order and chosen bits), bits (the fingerprint in that order), depth, used, side.
+
+    fps may name its fingerprints (name), and hold those of several seeds (seed), of which only equal ones meet."""
     plan = orders(n, budget)
+    fps = fps.select("fp", "name" if "name" in fps.columns else F.col("fp").alias("name"), "seed" if "seed" in fps.columns else F.lit(0).alias("seed"))
 
     def run(batches):
         for b in batches:
-            fp = b.column("fp").to_numpy().view(np.uint64)
+            fp, name, seed = b.column("fp").to_numpy().view(np.uint64), b.column("name"), b.column("seed").to_numpy().astype(np.uint64)
             for k, (blocks, depth) in enumerate(plan):
                 bits = np.zeros_like(fp)
                 for shift, w in blocks:
                     bits = (bits << np.uint64(w)) | ((fp >> np.uint64(shift)) & np.uint64((1 << w) - 1))
-                cell = (((np.uint64(k) << np.uint64(40)) | (bits >> np.uint64(BITS - depth))) << np.uint64(1)).view(np.int64)
+                cell = ((((seed * np.uint64(len(plan)) + np.uint64(k)) << np.uint64(40)) | (bits >> np.uint64(BITS - depth))) << np.uint64(1)).view(np.int64)
                 same = lambda x: np.full(len(fp), x, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell, bits.view(np.int64), fp.view(np.int64), same(depth), same(0), same(0))], names=["cell", "bits", "fp", "depth", "used", "side"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(bits.view(np.int64)), name, *map(pa.array, (same(depth), same(0), same(0)))], names=["cell", "bits", "fp", "depth", "used", "side"])
 
-    return fps.select("fp").mapInArrow(run, "cell long, bits long, fp long, depth int, used int, side int")
+    return fps.mapInArrow(run, "cell long, bits long, fp long, depth int, used int, side int")
 
 
 STEP = 4
@@ -100,10 +103,8 @@ def split(rows: DataFrame, budget: int, limit: int) -> DataFrame:
     return rest if done is None else done.unionByName(rest)
 
 
-def walk(bits: np.ndarray, cuts: np.ndarray, sides: np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """Root labels: labels[i] is the least j that i is linked to, through pairs within the budget. bits: sorted in each cell and side; cuts: where cells start and the end."""
-    n = len(bits)
-    label = np.arange(n)
+def walk(bits: np.ndarray, cuts: np.ndarray, sides: np.ndarray, depth: int, budget: int, meet) -> None:
+    """Calls meet(i, j, distances) for pairs within the budget, many at a time. bits: sorted in each cell and side; cuts: where cells start and the end."""
     ones = [None] * BITS
 
     def counted(d: int) -> np.ndarray:
@@ -111,20 +112,6 @@ def walk(bits: np.ndarray, cuts: np.ndarray, sides: np.ndarray, depth: int, budg
             ones[d] = np.concatenate([[0], np.cumsum((bits >> np.uint64(BITS - 1 - d)) & np.uint64(1)).astype(np.int64)])
         return ones[d]
 
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = label[i], label[j]
-            keep = a != b
-            if not keep.any():
-                return
-            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label[:] = up
-
     lo, hi = cuts[:-1], cuts[1:]
     first = np.concatenate([[0], np.cumsum(sides)])
     mid = hi - (first[hi] - first[lo])  # side 1 stands last
@@ -146,8 +133,9 @@ def walk(bits: np.ndarray, cuts: np.ndarray, sides: np.ndarray, depth: int, budg
             i, j = a0s[which] + at // nb[which], b0s[which] + at % nb[which]
             near = (i < j) | (a0s[which] != b0s[which])
             i, j = i[near], j[near]
-            near = np.bitwise_count(bits[i] ^ bits[j]) <= budget
-            link(i[near], j[near])
+            apart = np.bitwise_count(bits[i] ^ bits[j])
+            near = apart <= budget
+            meet(i[near], j[near], apart[near])
             f = f[:, ~small]
             a0, a1, b0, b1, used = f
         if not f.shape[1]:
@@ -160,20 +148,72 @@ def walk(bits: np.ndarray, cuts: np.ndarray, sides: np.ndarray, depth: int, budg
         f = f[:, (f[0] < f[1]) & (f[2] < f[3]) & (f[4] <= budget)]
         if f.shape[1]:
             todo.append((d + 1, f))
-    return label
 
 
-def links(rows: DataFrame, budget: int) -> DataFrame:
-    """Spanning stars (u, v) of the fingerprints linked inside each cell."""
+class Stars:
+    """Root labels: label[i] is the least j that i is linked to."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+        label = self.label
+        while len(i):
+            a, b = label[i], label[j]
+            keep = a != b
+            if not keep.any():
+                return
+            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label[:] = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return at, self.label[at]
+
+
+class Nearest:
+    """The few nearest that each i met; of equal distances the first."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.size = most, [np.zeros((3, 0), np.int64)], 0
+
+    def __call__(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+        self.held.append(np.concatenate([np.stack([i, j, apart]), np.stack([j, i, apart])], axis=1).astype(np.int64))
+        self.size += 2 * len(i)
+        if self.size > 4 * PAIRS:
+            self.cut()
+
+    def cut(self) -> None:
+        x = np.concatenate(self.held, axis=1)
+        x = x[:, np.lexsort((x[1], x[2], x[0]))]
+        first = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]])) if x.shape[1] else np.zeros(0, np.int64)
+        nth = np.arange(x.shape[1]) - np.repeat(first, np.diff(np.append(first, x.shape[1])))
+        self.held = [x[:, nth < self.most]]
+        self.size = self.held[0].shape[1]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        self.cut()
+        x = np.unique(np.sort(self.held[0][:2], axis=0), axis=1)
+        return x[0], x[1]
+
+
+def links(rows: DataFrame, budget: int, most: int | None = None) -> DataFrame:
+    """Of the fingerprints linked inside each cell: spanning stars (u, v); or each with the `most` nearest it has there."""
 
     def joined(cell, bits, fp, depth, side):
         bits = bits.view(np.uint64)
         order = np.lexsort((bits, side, cell))
         cell, bits, fp, side = cell[order], bits[order], fp[order], side[order]
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), [len(cell)]]).astype(np.int64)
-        label = walk(bits, cuts, side.astype(np.int64), int(depth.min()), budget)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], names=["u", "v"])
+        met = Nearest(most) if most else Stars(len(bits))
+        walk(bits, cuts, side.astype(np.int64), int(depth.min()), budget, met)
+        i, j = met.edges()
+        return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["u", "v"])
 
     def run(batches):
         held = None
@@ -223,3 +263,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_root = inside.groupBy("root").agg(F.min("least").alias("component"))
     named = written(inside.join(of_root, "root").select("fp", "component"))
     return prints.join(named, "fp").select(id_col, "fp", "component")
+
+
+def word_prints(text: str | None, seeds: int) -> list[int]:
+    """Fingerprints of the distinct words, one for each seed: a few changed words leave most of their bits alone, while they change many shingles."""
+    hashes = [np.unique(h) for h in shingle_hashes(text, 1)]
+    h = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    out = []
+    for k in range(seeds):
+        x = h + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        x ^= x >> np.uint64(31)
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(x), 1 << 15):
+            ones += np.unpackbits(x[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seeds: int = 5, budget: int = 4, most: int = 16, limit: int = 4096) -> DataFrame:
+    """Pairs (u, v) of ids whose texts share at least `similarity` of their distinct shingles, by exact count.
+
+    Candidates are found by the trie join of word fingerprints under several seeds. In a cell each fingerprint is held against its
+    `most` nearest ones there; in the few cells of more than that, groups hang together through these. Texts of equal fingerprints
+    are held against the first of them. Ids must be whole numbers; rows without an id take no part."""
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = written(per_row(docs, ["text"], ["id"], "fps array<long>", lambda: lambda t: (word_prints(t, seeds),)))
+    nodes = written(prints.groupBy("fps").agg(F.min("id").alias("least")))
+    each = written(nodes.select("least", F.posexplode("fps").alias("seed", "fp")))
+    own = written(each.groupBy("seed", "fp").agg(F.min("least").alias("name")))
+    first = prints.join(nodes, "fps").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    same = each.join(own, ["seed", "fp"]).select(F.col("least").alias("u"), F.col("name").alias("v"))
+    near = links(split(tries(own, nodes.count(), budget), budget, limit), budget, most)
+    found = first.union(same).union(near)
+    pairs = written(found.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = docs.join(ends.hint("merge"), "id", "left_semi")
+    sets = written(per_row(sets, ["text"], ["id"], "h array<long>", lambda: lambda t: (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])).view(np.int64).tolist(),)))
+    held = pairs.join(sets.select(F.col("id").alias("u"), F.col("h").alias("hu")).hint("merge"), "u").join(sets.select(F.col("id").alias("v"), F.col("h").alias("hv")).hint("merge"), "v")
+    both = F.size(F.array_intersect("hu", "hv"))
+    every = F.size("hu") + F.size("hv") - both
+    return held.filter((every == 0) | (both >= similarity * every)).select("u", "v")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, component of every document that has a near-duplicate: its fingerprint linked (near_duplicates), or its text alike."""
+    linked = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("u"), F.col("component").cast("long").alias("v"))
+    return components(linked.union(alike(docs, id_col, text_col, **options))).select("id", F.col("root").alias("component"))
