@@ -80,7 +80,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         r = ranks.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.col("i").alias("i2"), F.col("level").alias("l2"), F.col("rank").alias(name))
         found = found.join(r, F.col("doc").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col(at) == F.col("i2")) & (F.col("level") == F.col("l2"))).drop("d2", "t2", "i2", "l2")
     found = written(found.select(*AT, "size", "ra", "rb"))
-    first = found.groupBy("size", "ra", "rb").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(found.groupBy("size", "ra", "rb").agg(F.min(F.struct(*AT)).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))  # apart from the join, which then may split a hot group
     copies = found.join(first, ["size", "ra", "rb"]).filter(~F.struct(*AT).eqNullSafe(F.col("first")))
     gone = copies.select("doc", "th", F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("i")).distinct()
     numbers = repeated.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), F.col("i").alias("i2"), "no")
