@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from lexloom.functions import answers
 from lexloom.functions.embed import Provider
 from lexloom.functions.langtag import tag_of
-from lexloom.operators import documents, fusion, hybrid, vector
+from lexloom.operators import documents, fusion, hybrid, stats, validate, vector
 from lexloom.plans import ingest
 from lexloom.plans.config import Settings
-from lexloom.sources import uploads
+from lexloom.sources import http, uploads
 from lexloom.sources.crawl import Crawl
 from lexloom.sources.store import Store
 
@@ -41,7 +41,7 @@ class Tools:
         row = {"title": title, "content": content, "source": source, "tags": list(m.get("tags") or [])} | {c: m.get(c) for c in ingest.OPTIONAL}
         return self._ingest([row], ", ".join(["title string, content string, source string, tags array<string>", *(f"{c} string" for c in ingest.OPTIONAL)]))
 
-    def crawl_documentation(self, seed_url: str, fetch: Callable, max_pages: int = 100, max_depth: int = 5, same_domain_only: bool = True, crawl_id: str = "crawl") -> dict:
+    def crawl_documentation(self, seed_url: str, fetch: Callable = http.fetch, max_pages: int = 100, max_depth: int = 5, same_domain_only: bool = True, crawl_id: str = "crawl") -> dict:
         crawl = Crawl(fetch, max_pages, max_depth, same_domain_only)
         pages = crawl.run(seed_url)
         if pages:
@@ -59,6 +59,14 @@ class Tools:
     def list_uploads_files(self, folder: str) -> DataFrame:
         return uploads.listed(self.store.spark, folder)
 
+    def statistics(self) -> DataFrame:
+        """Rows of each table."""
+        return stats.table_stats(self.store.tables())
+
+    def validate(self) -> DataFrame:
+        """Issues in the store."""
+        return validate.validate(self.store.tables())
+
     def get_document(self, document_id: str) -> DataFrame:
         t = self._tables()
         return documents.with_chunks(documents.with_metadata(documents.by_id(t["documents"], document_id), t["tags"], t["languages"]), t["chunks"].filter(F.col("document_id") == document_id))
