@@ -194,7 +194,20 @@ def metadata_filter(spark, d):
     return found.filter(filters.metadata({"tags": ["long"], "author": "src3", "languages": ["en", "no"]})).select("id")
 
 
-@query()
+def _words(column: str) -> str:
+    return f"(SELECT doc_id AS document_id, k AS keyword FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower({column}), '[^\\w\\s]', ' ', 'g'), '\\s+')) AS k FROM documents) WHERE length(k) > 2 AND length(k) < 20 AND NOT list_contains({STOP}, k))"
+
+
+@query(f"""WITH hits AS (SELECT document_id, score FROM {SCORED} ORDER BY score DESC, vec_id LIMIT 1000),
+v AS (SELECT document_id, 0.8 * list_avg(list_slice(list_reverse_sort(list(score)), 1, 3)) + 0.2 * greatest(max(score), 0) AS score FROM hits GROUP BY document_id),
+v1 AS (SELECT * FROM v WHERE score >= 0.1),
+w AS (SELECT * FROM {_words('text')} UNION ALL SELECT * FROM {_words('string_split(text, chr(10))[1]')}),
+k AS (SELECT document_id, CAST(count(*) AS DOUBLE) AS score FROM w WHERE keyword IN ('ering', 'thble', 'thing') AND document_id NOT IN (SELECT document_id FROM v1) GROUP BY document_id HAVING count(DISTINCT keyword) >= 2),
+n AS (SELECT document_id, score / greatest(max(score) OVER (), 1) AS score FROM k),
+found AS (SELECT * FROM v1 UNION ALL SELECT * FROM n WHERE score >= 0.1),
+r AS (SELECT doc_id AS id, score, source AS author, lower(concat_ws(' ', string_split(text, chr(10))[1], source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END)) AS hay FROM documents JOIN found ON doc_id = document_id WHERE lang IN ('en', 'no')),
+s AS (SELECT *, (CAST(contains(hay, 'ering') AS INTEGER) + 2 * CAST(contains(hay, 'thble') AS INTEGER) + CAST(contains(hay, 'thing') AS INTEGER)) / 4.0 AS ratio FROM r)
+SELECT id, round(score, 6) AS score, round(ratio, 6) AS ratio, author FROM (SELECT * FROM s ORDER BY score + 0.4 * ratio DESC, ratio DESC, score DESC, id LIMIT 20)""")
 def hybrid_query(spark, d):
     x = docs(spark, d)
     words = keyword.index(x, fields={"title": "title", "content": "content"})
