@@ -72,6 +72,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, trees).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL, "op9_host_rules": rules.SQL}
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_language, op4_bpe, op5_best_fit_packing, op6_simhash, op7_line_dedup, op8_fingerprint, op9_host_rules, op10_quality)}

@@ -108,3 +108,35 @@ def passing(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", t
     key = fresh(docs, "host")
     bad = hosts.filter(F.col("rate") > max_rate).select(F.col("host").alias(key))
     return good.join(bad, F.col(host_col).eqNullSafe(F.col(key)), "left_anti")
+
+
+SQL = """
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), places AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS times FROM places
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM windows, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY doc_id
+), s AS (
+  SELECT w.doc_id, w.source, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    coalesce(c.n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id
+), f AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s
+), g AS (
+  SELECT *, base_failed OR 10 * n_symbols > 3 * n_words OR 2 * n_dup_lines > len(lines) OR word_chars > 20 * n_words OR word_chars < 2 * n_words AS failed FROM f
+), hosts AS (
+  SELECT source, count(*) AS n, sum(CAST(failed AS BIGINT)) AS k FROM g GROUP BY source
+), moments AS (
+  SELECT least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS m, coalesce(var_samp(k / n), 0) AS v, avg(1 / n) AS per FROM hosts
+), prior AS (
+  SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * per, 1e-9) - 1, 2), 1e6) AS weight FROM moments
+), rates AS (
+  SELECT source, (k + m * weight) / (n + weight) AS rate FROM hosts, prior
+)
+SELECT g.doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT failed AND rate <= 0.5 AS kept
+FROM g JOIN rates r ON g.source IS NOT DISTINCT FROM r.source
+"""
