@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -132,3 +132,42 @@ def ivf_topk(indexed: DataFrame, centroids: np.ndarray, query, k: int, probes: i
     """The k best rows of the probed cells, scored exactly."""
     near = np.argsort(-(centroids @ np.asarray(list(query), float)), kind="stable")[:probes]
     return topk(indexed.filter(F.col("cell").isin([int(x) for x in near])), query, k, id_col, embedding=embedding)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", embedding: str = "embedding", centroids: np.ndarray | None = None, probes: int = 8, block: int = 2000) -> DataFrame:
+    """query, id, score, nth: for each row of queries (id, embedding) its k best chunks by cosine, then id.
+
+    Queries pass in blocks of bounded size; each task keeps k rows a query, and these meet. With centroids, chunks must have their
+    cell (ivf_assign), and a query only meets the rows of the cells it probes."""
+    own = queries.select(F.col(id_col).alias("query"), F.col(embedding).cast("array<double>").alias("v"))
+    blocks = max(1, -(-own.count() // block))
+    kind = chunks.schema[id_col].dataType.simpleString()
+    rows = chunks.filter(F.size(embedding) > 0).select(F.col(id_col).alias("id"), embedding, "cell" if centroids is not None else F.lit(0).alias("cell"))
+    out = None
+    for b in range(blocks):
+        part = own.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # about `block` queries
+        names, q = [r[0] for r in part], np.array([r[1] for r in part], float).reshape(len(part), -1)
+        q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-12)
+        near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes] if centroids is not None else np.zeros((len(q), 1), int)
+        one = rows.mapInPandas(_block(q, near, names, k, embedding), f"query {queries.schema[id_col].dataType.simpleString()}, id {kind}, score double")
+        out = one if out is None else out.unionByName(one)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return out.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+
+
+def _block(q: np.ndarray, near: np.ndarray, names: list, k: int, embedding: str):
+    def run(batches):
+        held = pd.DataFrame({"q": [], "id": [], "score": []})
+        for df in batches:
+            parts = [held]
+            for cell, own in df.groupby("cell"):
+                asked = np.flatnonzero((near == cell).any(axis=1))
+                if len(asked) and len(own):
+                    m = np.stack(own[embedding].to_numpy()).astype(float)
+                    m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+                    score = (1 + m @ q[asked].T) / 2
+                    parts.append(pd.DataFrame({"q": np.tile(asked, len(own)), "id": np.repeat(own["id"].to_numpy(), len(asked)), "score": score.ravel()}))
+            held = pd.concat([x for x in parts if len(x)] or parts[:1]).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
+        yield pd.DataFrame({"query": [names[int(i)] for i in held["q"]], "id": held["id"], "score": held["score"]})
+
+    return run

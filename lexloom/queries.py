@@ -119,6 +119,22 @@ def vector_page_info(spark, d):
     return vector.page(hits, hits, 15, 10)
 
 
+@query("SELECT query, id, round(score, 6) AS score, CAST(nth AS INTEGER) AS nth FROM (SELECT q.vec_id AS query, e.vec_id AS id, (1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2 AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS nth FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE nth <= 10")
+def vector_search(spark, d):
+    """Every hundredth row as a query against all rows."""
+    rows = chunks(spark, d)
+    return rounded(vector.search(rows, rows.filter("id % 100 = 0"), 10), "score")
+
+
+@query()
+def ivf_search(spark, d):
+    """The same through the index: fitted on a bounded sample, over every row."""
+    rows = chunks(spark, d)
+    cells = vector.ivf_parameters(rows.count(), 64)[0]
+    centroids = vector.ivf_fit(rows, cells)  # these vectors hardly cluster, so most cells are probed for a recall of 0.9
+    return rounded(vector.search(vector.ivf_assign(rows, centroids), rows.filter("id % 100 = 0"), 10, centroids=centroids, probes=cells * 4 // 5), "score")
+
+
 @query()
 def ivf_topk(spark, d):
     rows = chunks(spark, d)

@@ -29,3 +29,9 @@ def test_query(spark, duck, name):
     got = QUERIES[name](spark, DATA).toPandas()
     if name in SQL:
         assert lines(got) == lines(duck.sql(SQL[name]).df())
+
+
+def test_index_recall(spark):
+    best, found = (QUERIES[n](spark, DATA).toPandas() for n in ("vector_search", "ivf_search"))
+    want, got = (set(zip(x["query"], x["id"], strict=True)) for x in (best, found))
+    assert len(want & got) >= 0.9 * len(want)
