@@ -133,7 +133,7 @@ class Model:
         return self.langs[at], float(p[at])
 
 
-def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = 200_000) -> Model:
+def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = 20_000) -> Model:
     """Fits on at most `each` documents of each language, the first by a hash of their id and none longer than most_chars; every fifth of them is kept for the temperature."""
     seen = docs.filter(learn & F.col(lang_col).isNotNull())
     df, n = document_frequencies(seen, text_col)

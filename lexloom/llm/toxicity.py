@@ -25,7 +25,7 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 200_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 60_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """Texts and labels to fit on: of each label value, at most `each` documents, the first by a hash of their id, and none longer than most_chars. And how many of each value there are."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label).cast("int").alias("y"))
     ids = docs.filter(learn & (F.length(text_col) <= most_chars)).select(F.col(id_col).alias("of")).distinct().join(known, "of")
