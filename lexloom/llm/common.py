@@ -79,11 +79,13 @@ def per_row(df: DataFrame, inputs: list[str], keep: list[str], schema: str, make
     keep: columns that pass unchanged and come first; schema: the new columns. Only inputs and keep are read."""
     ship(df.sparkSession)
     cols = list(dict.fromkeys([*keep, *inputs]))
-    df = df.select(*cols)
-    from pyspark.sql.types import StructType
+    held = df.schema
+    df = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)))  # mapInArrow can't take names with a dot
+    inputs, own = [f"c{cols.index(c)}" for c in inputs], [f"c{cols.index(c)}" for c in keep]
+    from pyspark.sql.types import StructField, StructType
 
     new = StructType.fromDDL(schema)
-    out = StructType([*[df.schema[c] for c in keep], *new.fields])
+    out = StructType([*[StructField(a, held[c].dataType) for a, c in zip(own, keep, strict=True)], *new.fields])
     names = new.names
 
     def run(batches):
@@ -95,9 +97,9 @@ def per_row(df: DataFrame, inputs: list[str], keep: list[str], schema: str, make
                 part = b.slice(at, 1000)
                 rows = [f(*x) for x in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
                 made = zip(*rows, strict=True) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=[*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=[*own, *names])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(run, out).toDF(*keep, *names)
 
 
 PIECE = 1 << 15  # shingles hashed at a time

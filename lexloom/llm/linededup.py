@@ -88,17 +88,17 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return gone.groupBy("doc", "th").agg(F.sort_array(F.collect_list("no")).alias("gone"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """docs with the text less the later copies, and n_deleted, the number of lines that went (in place of a column of that name)."""
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, count_col: str = "n_deleted") -> DataFrame:
+    """docs with the text less the later copies, and the number of lines that went (in place of a column of that name)."""
     gone = written(later_copies(docs, id_col, text_col, min_words))
-    names = [c for c in docs.columns if c.lower() != "n_deleted"]
+    names = [c for c in docs.columns if c.lower() != count_col.lower()]
     # lines travel instead of texts: below the join they are a column, which each line's look-up can refer to
-    rows = docs.select(F.struct(*[c for c in names if c != text_col]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.split(text_col, "\n").alias("parts"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != text_col]).alias("row"), F.col(id_col).alias("key"), F.xxhash64(text_col).alias("hash"), F.split(text_col, "\n").alias("parts"))
     # whether the smaller side would fit a broadcast or not: one plan at every size
     joined = rows.join(gone.hint("merge"), F.col("key").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("th")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.array_join("parts", "\n")).otherwise(F.array_join(F.transform(left, lambda j: F.get("parts", j)), "\n"))
-    return joined.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_deleted"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias(count_col))
 
 
 SQL = """

@@ -86,8 +86,9 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sourc
     base, soft = failures()
     stats = text_statistics(docs, id_col, host_col, text_col).withColumns({"base_failed": base, "failed": base | soft})
     stats = written(stats)
-    hosts = host_rates(stats, host_col).select("host", F.col("rate").alias("host_rate"))
-    joined = stats.join(hosts, stats[host_col].eqNullSafe(hosts["host"])).drop("host")
+    key = fresh(stats, "of_host")
+    hosts = host_rates(stats, host_col).select(F.col("host").alias(key), F.col("rate").alias("host_rate"))
+    joined = stats.join(hosts, F.col(host_col).eqNullSafe(F.col(key))).drop(key)
     return joined.withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= max_rate))
 
 
