@@ -282,7 +282,7 @@ def word_prints(text: str | None, seeds: int) -> list[int]:
     return out
 
 
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seeds: int = 5, budget: int = 4, most: int = 16, limit: int = 4096) -> DataFrame:
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seeds: int = 5, budget: int = 4, most: int = 6, limit: int = 4096) -> DataFrame:
     """Pairs (u, v) of ids whose texts share at least `similarity` of their distinct shingles, by exact count.
 
     Candidates are found by the trie join of word fingerprints under several seeds. In a cell each fingerprint is held against its
