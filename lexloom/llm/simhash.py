@@ -13,11 +13,13 @@ come out as often as they go in; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import per_row, shingle_hashes, written
@@ -176,43 +178,17 @@ class Stars:
         return at, self.label[at]
 
 
-class Nearest:
-    """The few nearest that each i met; of equal distances the first."""
-
-    def __init__(self, most: int):
-        self.most, self.held, self.size = most, [np.zeros((3, 0), np.int64)], 0
-
-    def __call__(self, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
-        self.held.append(np.concatenate([np.stack([i, j, apart]), np.stack([j, i, apart])], axis=1).astype(np.int64))
-        self.size += 2 * len(i)
-        if self.size > 4 * PAIRS:
-            self.cut()
-
-    def cut(self) -> None:
-        x = np.concatenate(self.held, axis=1)
-        x = x[:, np.lexsort((x[1], x[2], x[0]))]
-        first = np.flatnonzero(np.concatenate([[True], x[0, 1:] != x[0, :-1]])) if x.shape[1] else np.zeros(0, np.int64)
-        nth = np.arange(x.shape[1]) - np.repeat(first, np.diff(np.append(first, x.shape[1])))
-        self.held = [x[:, nth < self.most]]
-        self.size = self.held[0].shape[1]
-
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        self.cut()
-        x = np.unique(np.sort(self.held[0][:2], axis=0), axis=1)
-        return x[0], x[1]
-
-
-def links(rows: DataFrame, budget: int, most: int | None = None) -> DataFrame:
-    """Of the fingerprints linked inside each cell: spanning stars (u, v); or each with the `most` nearest it has there."""
+def links(rows: DataFrame, budget: int) -> DataFrame:
+    """Of the fingerprints linked inside each cell: spanning stars (u, v)."""
 
     def joined(cell, bits, fp, depth, side):
         bits = bits.view(np.uint64)
         order = np.lexsort((bits, side, cell))
         cell, bits, fp, side = cell[order], bits[order], fp[order], side[order]
         cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), [len(cell)]]).astype(np.int64)
-        met = Nearest(most) if most else Stars(len(bits))
-        walk(bits, cuts, side.astype(np.int64), int(depth.min()), budget, met)
-        i, j = met.edges()
+        stars = Stars(len(bits))
+        walk(bits, cuts, side.astype(np.int64), int(depth.min()), budget, stars)
+        i, j = stars.edges()
         return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["u", "v"])
 
     def run(batches):
@@ -265,49 +241,172 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, "fp", "component")
 
 
-def word_prints(text: str | None, seeds: int) -> list[int]:
-    """Fingerprints of the distinct words, one for each seed: a few changed words leave most of their bits alone, while they change many shingles."""
-    hashes = [np.unique(h) for h in shingle_hashes(text, 1)]
-    h = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    out = []
-    for k in range(seeds):
-        x = h + np.uint64((k * 0x9E3779B97F4A7C15) % 2**64)
-        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
-        x ^= x >> np.uint64(31)
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(x), 1 << 15):
-            ones += np.unpackbits(x[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view(np.int64)[0]))
-    return out
-
-
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seeds: int = 5, budget: int = 4, most: int = 16, limit: int = 4096) -> DataFrame:
-    """Pairs (u, v) of ids whose texts share at least `similarity` of their distinct shingles, by exact count.
-
-    Candidates are found by the trie join of word fingerprints under several seeds. In a cell each fingerprint is held against its
-    `most` nearest ones there; in the few cells of more than that, groups hang together through these. Texts of equal fingerprints
-    are held against the first of them. Ids must be whole numbers; rows without an id take no part."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def parities(h: np.ndarray) -> bytes:
+    """For each value of the hashes' low bits whether an odd number of them has it. Two sets differ in at least as many hashes as these bits; a power of two of them, by the set's size."""
+    n = min(1 << 15, max(1 << 10, 1 << int(2 * len(h)).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parities, cut down to so many words: what fewer low bits give."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def first_shingles(sets: DataFrame, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
+    """token, key, id, n: of each set the hashes that one as similar must share one of. They stand in one order for all sets: by the count in common (hash, count), then the hash."""
+    known = np.array(sorted(common), np.int64).reshape(-1, 2)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                of = part.column("h")
+                ends, every = of.offsets.to_numpy(), of.values.to_numpy()
+                ends, every = ends - ends[0], every[ends[0] : ends[-1]]
+                place = np.minimum(np.searchsorted(known[:, 0], every), max(len(known) - 1, 0))
+                weight = np.where(known[place, 0] == every, known[place, 1], 0) if len(known) else np.zeros(len(every), np.int64)
+                picked, sizes = [], []
+                for s, e in zip(ends[:-1], ends[1:], strict=True):
+                    n = int(e - s)
+                    most = n - math.ceil(similarity * n - 1e-9) + 1
+                    picked.append(every[s:e][np.lexsort((every[s:e], weight[s:e]))[:most]])
+                    sizes.append(len(picked[-1]))
+                which = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked or [every[:0]])), *(part.column(c).take(which) for c in ("key", "id", "n"))], names=["token", "key", "id", "n"])
+
+    return sets.select("h", "key", "id", "n").mapInArrow(run, "token long, key binary, id long, n int")
+
+
+def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the sets of one bucket the pairs (i, j) with different labels that neither sizes nor parities rule out; and whether pairs were put off, each i meeting its `most` nearest only.
+
+    The sets of the largest label are held against the others, not against each other."""
+    kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
+    width = np.array([len(x) // 8 for x in bits])
+    own = {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width >= w)
+        parts = [at[width[at] == v] for v in np.unique(width[at])]
+        own[w] = np.concatenate([folded(np.frombuffer(b"".join(bits[i] for i in x), np.uint64).reshape(len(x), -1), w) for x in parts]), np.concatenate(parts)
+    left, right, late = [], [], False
+    for i in np.flatnonzero(which != count.argmax()):
+        found, apart = [], []
+        for w, (rows, at) in own.items():
+            if w > width[i]:
+                continue
+            if w < width[i]:
+                keep = width[at] == w  # narrower ones; the wider meet it at its own width
+                rows, at = rows[keep], at[keep]
+                me = folded(np.frombuffer(bits[i], np.uint64).reshape(1, -1), w)
+            else:
+                me = rows[at == i]
+            near = (label[at] != label[i]) & (n[at] >= similarity * n[i] - 1e-6) & (similarity * n[at] - 1e-6 <= n[i])
+            rows, at = rows[near], at[near]
+            far = np.bitwise_count(rows ^ me).sum(axis=1, dtype=np.int64)
+            near = far <= (1 - similarity) / (1 + similarity) * (n[at] + n[i]) + 1e-6
+            found.append(at[near])
+            apart.append(far[near])
+        found, apart = np.concatenate(found), np.concatenate(apart)
+        if len(found) > most:
+            late, found = True, found[np.lexsort((found, apart))[:most]]
+        left.append(np.full(len(found), i))
+        right.append(found)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), late
+
+
+def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
+    """u, v (keys, u < v) and late, of each bucket (token) of rows with key, n, label, bits. late: rows that only say that pairs were put off."""
+
+    def one(key, n, label, bits):
+        i, j, late = maybe(n, label, bits, similarity, most)
+        pairs = {(min(key[a], key[b]), max(key[a], key[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        return [(u, v, False) for u, v in pairs] + ([(key[0], key[0], True)] if late else [])
+
+    def run(batches):
+        token, held = None, {}
+
+        def close():
+            if len(held) < 2:
+                return []
+            key = sorted(held)
+            return one(key, np.array([held[k][0] for k in key], np.int64), np.array([held[k][1] for k in key], np.int64), [held[k][2] for k in key])
+
+        for b in batches:
+            out = []
+            for t, key, *rest in zip(*(b.column(c).to_pylist() for c in ("token", "key", "n", "label", "bits")), strict=True):
+                if t != token:
+                    out += close()
+                    token, held = t, {}
+                held[key] = rest
+            yield made(out)
+        yield made(close())
+
+    def made(out):
+        u, v, late = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(late, pa.bool_())], names=["u", "v", "late"])
+
+    return rows.repartition("token").sortWithinPartitions("token").select("token", "key", "n", "label", "bits").mapInArrow(run, "u binary, v binary, late boolean")
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 17, sample: int = 20_000, most: int = 8) -> DataFrame:
+    """Links (u, v) of ids that, with the known links (u, v), hang the same documents together as all pairs of texts do that share at least `similarity` of their distinct shingles.
+
+    Exact: two such sets share one of their first shingles, whatever the order; a sample's counts only put common ones last. In each
+    bucket (a shared first shingle) all sets meet its first one. Then sets of different components meet, those that sizes
+    and parities do not rule out: `most` for each set, then four times as many, until none was put off. Only pairs inside a
+    component are never compared, as they change nothing. An exact count decides. Equal sets are one from the start. Ids must be whole numbers; rows
+    without an id take no part."""
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = written(per_row(docs, ["text"], ["id"], "fps array<long>", lambda: lambda t: (word_prints(t, seeds),)))
-    nodes = written(prints.groupBy("fps").agg(F.min("id").alias("least")))
-    each = written(nodes.select("least", F.posexplode("fps").alias("seed", "fp")))
-    own = written(each.groupBy("seed", "fp").agg(F.min("least").alias("name")))
-    first = prints.join(nodes, "fps").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    same = each.join(own, ["seed", "fp"]).select(F.col("least").alias("u"), F.col("name").alias("v"))
-    near = links(split(tries(own, nodes.count(), budget), budget, limit), budget, most)
-    found = first.union(same).union(near)
-    pairs = written(found.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = docs.join(ends.hint("merge"), "id", "left_semi")
-    sets = written(per_row(sets, ["text"], ["id"], "h array<long>", lambda: lambda t: (np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])).view(np.int64).tolist(),)))
-    held = pairs.join(sets.select(F.col("id").alias("u"), F.col("h").alias("hu")).hint("merge"), "u").join(sets.select(F.col("id").alias("v"), F.col("h").alias("hv")).hint("merge"), "v")
-    both = F.size(F.array_intersect("hu", "hv"))
-    every = F.size("hu") + F.size("hv") - both
-    return held.filter((every == 0) | (both >= similarity * every)).select("u", "v")
+    name = lambda h: xxhash.xxh3_128_digest(h.tobytes())
+    prints = written(per_row(docs, ["text"], ["id"], "key binary", lambda: lambda t: (name(shingle_set(t, width)),)))
+    nodes = written(prints.groupBy("key").agg(F.min("id").alias("least")))
+    links = prints.join(nodes, "key").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    links = written(links.union(known.select("u", "v")) if known is not None else links)
+
+    def measured(text):
+        h = shingle_set(text, width)
+        return name(h), len(h), h.view(np.int64), parities(h)
+
+    firsts = docs.join(nodes.select(F.col("least").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    sets = written(per_row(firsts, ["text"], ["id"], "key binary, n int, h array<long>, bits binary", lambda: measured).filter("n > 0"))
+    span = 1 << 20
+    some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(span)) < F.lit(span * sample // max(nodes.count(), 1) + 1))
+    often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 3").orderBy(F.desc("count"), "t").limit(common).collect()  # at most `common` numbers
+    shared = F.count("*").over(Window.partitionBy("token"))
+    live = written(first_shingles(sets, similarity, [(r[0], r[1]) for r in often]).withColumn("sharing", shared).filter("sharing > 1").drop("sharing"))
+    done, one_round = None, 0
+    while True:
+        label = components(links)
+        rows = live.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        each = Window.partitionBy("token")
+        rows = written(rows.withColumn("lo", F.min("label").over(each)).withColumn("hi", F.max("label").over(each)).filter("lo < hi").drop("lo", "hi"))
+        live = rows.drop("label")
+        if one_round == 0:
+            first = F.min(F.struct("key", "n", "label")).over(each)
+            found = rows.withColumn("f", first).filter(f"f.label <> label and n >= {similarity} * f.n - 1e-6 and f.n >= {similarity} * n - 1e-6").select(F.col("f.key").alias("u"), F.col("key").alias("v"), F.lit(False).alias("late"))
+        else:
+            found = met(rows.join(sets.select("key", "bits").dropDuplicates(["key"]), "key"), similarity, most * 4 ** (one_round - 1))
+        found = written(found.distinct())
+        pairs = found.filter(~F.col("late")).select("u", "v")
+        pairs = written(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"))
+        done = pairs if done is None else done.unionByName(pairs)
+        a = sets.select(F.col("key").alias("u"), F.col("id").alias("iu"), F.col("h").alias("hu"))
+        b = sets.select(F.col("key").alias("v"), F.col("id").alias("iv"), F.col("h").alias("hv"))
+        both = F.size(F.array_intersect("hu", "hv"))
+        near = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").filter(both >= similarity * (F.size("hu") + F.size("hv") - both))
+        links = links.unionByName(written(near.select(F.col("iu").alias("u"), F.col("iv").alias("v"))))
+        if one_round and found.filter("late").isEmpty():
+            return links
+        one_round += 1
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, component of every document that has a near-duplicate: its fingerprint linked (near_duplicates), or its text alike."""
     linked = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("u"), F.col("component").cast("long").alias("v"))
-    return components(linked.union(alike(docs, id_col, text_col, **options))).select("id", F.col("root").alias("component"))
+    return components(alike(docs, id_col, text_col, known=written(linked), **options)).select("id", F.col("root").alias("component"))
