@@ -36,3 +36,16 @@ def test_appended_cut_and_replaced_passages(spark):
         k, at = int(n * rng.uniform(0.05, 0.25)), rng.randrange(n // 2)
         texts += map(" ".join, [own, own + words(rng, k), own[: n - k], own[:at] + words(rng, k // 2) + own[at + k // 2 :]])
     held(spark, texts)
+
+
+def test_same_words_in_another_order(spark):
+    """Of three texts with the same words the second and third are alike, the first is not."""
+    rng, texts = random.Random(2), []
+    for _ in range(40):
+        lines = [words(rng, 10) for _ in range(30)]
+        mixed = [rng.sample(x, len(x)) for x in lines]
+        a, b = rng.sample(range(30), 2)
+        swapped = list(mixed)
+        swapped[a], swapped[b] = mixed[b], mixed[a]
+        texts += ["\n".join(map(" ".join, x)) for x in (lines, mixed, swapped)]
+    held(spark, texts)
