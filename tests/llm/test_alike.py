@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from lexloom.llm import simhash
 
 
@@ -49,3 +51,16 @@ def test_same_words_in_another_order(spark):
         swapped[a], swapped[b] = mixed[b], mixed[a]
         texts += ["\n".join(map(" ".join, x)) for x in (lines, mixed, swapped)]
     held(spark, texts)
+
+
+@pytest.mark.parametrize("most", [1, 8])
+def test_crowded_cells(spark, most):
+    """Texts of nearly the same words, where those nearest by their words are not those that share shingles; and a large group with one beginning."""
+    rng = random.Random(3)
+    base, texts = words(rng, 300), []
+    for _ in range(60):
+        own = rng.sample(base, len(base))
+        texts += [" ".join(own), " ".join([*own[:270], *words(rng, 30)])]
+    start = words(rng, 120)
+    texts += [" ".join(start + words(rng, rng.randrange(20, 40))) for _ in range(80)]
+    held(spark, texts, most=most)
