@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score of its words and of their first four and five letters,
-and a noisy-or of these scores is the document's; only documents have labels. The noisy-or's likelihood trains the word weights (proximal adaptive gradient with
+and a noisy-or of these scores is the document's; in a long one that of its worst passage, as any number of clean sentences
+would add up to a toxic one. Only documents have labels. The noisy-or's likelihood trains the word weights (proximal adaptive gradient with
 an L1 penalty), so the weight goes to the sentences that explain a label, and these are the ones pointed out.
 
 Defined results: null and empty texts have no sentence and score 0; a document with several labels counts as toxic if one
@@ -16,7 +17,7 @@ from array import array
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import bounded_sample, fresh, per_row
@@ -25,13 +26,16 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 60_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Texts and labels to fit on: of each label value, at most `each` documents, the first by a hash of their id, and none longer than most_chars. And how many of each value there are."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 12_000_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """Texts and labels to fit on: of each label value, at most `each` documents, the first by a hash of their id; of these, again by a hash, those up to and with the one that makes them most_chars long together, whole and of any length. And how many of each value there are."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label).cast("int").alias("y"))
-    ids = docs.filter(learn & (F.length(text_col) <= most_chars)).select(F.col(id_col).alias("of")).distinct().join(known, "of")
+    ids = docs.filter(learn & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.sum(F.length(text_col)).alias("chars")).join(known, "of")
     chosen, of_all = bounded_sample(ids, "of", "y", each)
+    order = Window.partitionBy("y").orderBy(F.xxhash64("of"), "of")
+    before = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1))  # of `each` rows
+    chosen = chosen.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < most_chars).select("of", "y")
     # at most `each` ids for each label value are broadcast
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("of", "y", text_col).collect()
+    rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("of", "y", text_col).collect()
     return [(r[2], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[2]))], of_all
 
 
@@ -96,23 +100,32 @@ class Weights(dict):
         return out
 
 
+def passage(rest: float) -> int:
+    """How many sentences in a row are scored together: those without a weight, each of which adds rest, come to 0.3 at most (a score of 0.26), for 4 sentences or more."""
+    return max(4, min(128, int(0.3 / rest)))
+
+
 def scorer(weights: dict[int, float], bias: float, point_out: float = 0.5):
     """text -> score, the spans of the sentences with a score of point_out or more."""
     of = Weights(weights).__getitem__
     rest = math.log1p(math.exp(bias))
+    most = passage(rest)
 
     def score(text: str | None) -> tuple[float, list[dict]]:
         if not text:
             return 0.0, []
-        total, found = 0.0, []
+        own, found = [], []
         if not any(map(of, set(WORD.findall(text.lower())))):
-            return -math.expm1(-rest * len(SENTENCE.findall(text))), found
+            return -math.expm1(-rest * min(most, len(SENTENCE.findall(text)))), found
         for m in SENTENCE.finditer(text):
             z = bias + math.fsum(map(of, set(WORD.findall(m[0].lower()))))  # fsum: in any order
-            total += z if z > 40 else math.log1p(math.exp(z))
+            own.append(z if z > 40 else math.log1p(math.exp(z)))
             if z >= 0 and (p := 1 / (1 + math.exp(-z))) >= point_out:
                 found.append({"start": m.start(), "end": m.end(), "score": p})
-        return -math.expm1(-total), found
+        if len(own) <= most:
+            return -math.expm1(-sum(own)), found
+        upto = np.concatenate([[0.0], np.cumsum(own)])
+        return -math.expm1(-float((upto[most:] - upto[:-most]).max())), found
 
     return score
 

@@ -105,6 +105,19 @@ def test_noisy_or():
     assert score(None) == (0.0, []) and score("")[0] == 0.0
 
 
+def test_long_texts_are_not_toxic_for_their_length(spark):
+    rng = random.Random(2)
+    docs = [(i, ". ".join([prose(rng, 8) for _ in range(5)] + ["scumbag"] * (i % 4 == 0))) for i in range(200)]
+    clean = ". ".join(t for i, t in docs if i % 4)
+    docs.append((201, ". ".join([clean] * 3)))  # over 60,000 characters, and learned from
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    assert len(docs[-1][1]) > 60_000 and docs[-1][1] in [t for t, _ in toxicity.sample(df, lab, "toxic", F.lit(True), 2500)[0]]
+    long = ". ".join([clean] * (3_000_000 // len(clean)))
+    for rows in (df, df.filter("doc_id < 200")):
+        score = toxicity.scorer(*toxicity.trained(rows, lab, F.lit(True)))
+        assert score(long)[0] < 0.5 and score(f"{long}. scumbag. {long}")[0] >= 0.5
+
+
 # --- 3 language ---
 
 
