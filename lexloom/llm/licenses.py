@@ -1,6 +1,7 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Units of a text are its lines, its blocks of lines and the text itself. A unit is held against each template by the
+Units of a text are its lines, their sentences, its blocks of lines and the text itself; and, wherever a word of MARKS stands, the
+words around it that a template with this word would take up, held against that template. A unit is held against each template by the
 cosine of TF-IDF vectors of words and word pairs; inverse document frequencies come from the units of all documents, for the terms that
 templates have, and any other term weighs as the rarest. A file's licence is its best unit's, if that reaches the threshold.
 A file named as a licence file, or that is nothing but a licence, speaks for its directory; the licence of a file without one
@@ -58,6 +59,7 @@ TEMPLATES = {
     "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
 }
 WORD = re.compile(r"[a-z0-9]+")
+SENTENCE_END = re.compile(r"(?<=[.!?;])\s+")
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 LONGEST = 2000  # words of a block of lines; longer texts are several blocks
 
@@ -67,7 +69,7 @@ def terms(words: list[str]) -> Counter:
 
 
 def units(text: str, own: frozenset):
-    """The words of each line, each block of lines between blank ones and the text, cut at LONGEST words; only those with a word of templates that is rare elsewhere."""
+    """The words of each line, each sentence in it and each block of lines between blank ones, cut at LONGEST words; only those with a word of templates that is rare elsewhere."""
     block: list[str] = []
     n = 0
     for line in [*text.lower().split("\n"), ""]:
@@ -76,11 +78,15 @@ def units(text: str, own: frozenset):
             part = words[at : at + LONGEST]
             if not own.isdisjoint(part):
                 yield part
+        sentences = SENTENCE_END.split(line)
+        for part in map(WORD.findall, sentences if len(sentences) > 1 else ()):
+            if len(part) <= LONGEST and not own.isdisjoint(part):
+                yield part
         if (not line.strip() or len(block) + len(words) > LONGEST) and block:
             if n > 1 and not own.isdisjoint(block):
                 yield block
             block, n = [], 0
-        block = [*block, *words[:LONGEST]] if words else block
+        block = [*block, *(words if len(words) <= LONGEST else words[-LONGEST // 2 :])] if words else block  # a notice may go on in the next line
         n += bool(words)
 
 
@@ -114,7 +120,13 @@ class Scanner:
     def __init__(self, df: dict[str, int], n: int, threshold: float):
         self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in TERMS}
         self.rarest, self.threshold = math.log(1 + n) + 1, threshold
-        self.templates = [(name, self.vector(terms(WORD.findall(x.lower())))) for name, texts in sorted(TEMPLATES.items()) for x in texts]
+        said = [(name, WORD.findall(x.lower())) for name, texts in sorted(TEMPLATES.items()) for x in texts]
+        self.templates = [(name, self.vector(terms(words))) for name, words in said]
+        self.places: dict[str, list[tuple[int, int, int]]] = {}  # word of MARKS -> its place in a template, the template's length and number
+        for k, (_, words) in enumerate(said):
+            for at, w in enumerate(words):
+                if w in MARKS:
+                    self.places.setdefault(w, []).append((at, len(words), k))
 
     def vector(self, of: Counter) -> dict[str, float]:
         v = {t: (1 + math.log(k)) * self.idf.get(t, self.rarest) for t, k in of.items()}
@@ -125,6 +137,21 @@ class Scanner:
         v = self.vector(terms(words))
         return max(((round(math.fsum(x * v[t] for t, x in have.items() if t in v), 9), name) for name, have in self.templates), key=lambda p: p[0])
 
+    def around(self, words: list[str]) -> tuple[float, str]:
+        """The best of the stretches of a template's length that hold a word of MARKS where the template does."""
+        seen, best = set(), (0.0, "")
+        for i, w in enumerate(words):
+            for at, n, k in self.places.get(w, ()):
+                if (i - at, k) in seen:
+                    continue
+                seen.add((i - at, k))
+                name, have = self.templates[k]
+                v = self.vector(terms(words[max(0, i - at) : i - at + n]))
+                s = round(math.fsum(x * v[t] for t, x in have.items() if t in v), 9)
+                if s > best[0] or s == best[0] and name < best[1]:
+                    best = s, name
+        return best
+
     def __call__(self, text: str | None) -> tuple[str | None, float, bool]:
         """Licence, score, and whether the text is nothing else."""
         score, name = 0.0, None
@@ -135,6 +162,9 @@ class Scanner:
             if s > score:
                 score, name = s, k
         words, alone = WORD.findall(text.lower()), False
+        s, k = self.around(words)
+        if s > score:
+            score, name = s, k
         if len(words) <= LONGEST:
             s, k = self.best(words)
             alone = s >= self.threshold

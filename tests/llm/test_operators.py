@@ -60,6 +60,17 @@ def test_licences(spark):
     assert got["z/q.py"] == got["top.py"] == got[None] == (None, None, None)
 
 
+def test_notices_inside_lines():
+    scan = licenses.Scanner({}, 10_000, 0.6)
+    rng = random.Random(3)
+    assert scan("Copyright 2020 Foo Corp. Licensed under the Apache License, Version 2.0; see the notice file for details.")[0] == "Apache-2.0"
+    assert scan(f"{prose(rng, 400)} Released under the MIT License {prose(rng, 400)}")[0] == "MIT"
+    assert scan(f"{prose(rng, 8)}. {licenses.TEMPLATES['ISC'][1]} {prose(rng, 9)}.")[0] == "ISC"
+    first, last = licenses.TEMPLATES["MIT"][2].split(" to deal ")
+    assert scan(f"{prose(rng, 5000)} {first}\nto deal {last}")[0] == "MIT"  # begins at the end of a long line
+    assert scan(prose(rng, 400) + " the license of the permission to use copyright")[0] is None
+
+
 def test_nearest_ancestor_wins(spark):
     rows = [("a/LICENSE", licenses.TEMPLATES["MIT"][2]), ("a/b/COPYING", licenses.TEMPLATES["GPL-3.0"][1]), ("a/b/c/d/x", "y")]
     df = spark.createDataFrame([(i, t, p) for i, (p, t) in enumerate(rows)], "doc_id long, text string, path string")
