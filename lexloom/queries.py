@@ -140,7 +140,7 @@ def ivf_topk(spark, d):
     rows = chunks(spark, d)
     cells, _ = vector.ivf_parameters(rows.count(), 64)
     centroids = vector.ivf_fit(rows, cells)
-    return rounded(vector.ivf_topk(vector.ivf_assign(rows, centroids), centroids, first_vector(spark, d), 10, probes=8).select("id", "cell", "score"), "score")
+    return rounded(vector.ivf_topk(vector.ivf_assign(rows, centroids), centroids, first_vector(spark, d), 10, probes=cells * 4 // 5).select("id", "cell", "score"), "score")
 
 
 @query(f"SELECT keyword, CAST(count(*) AS BIGINT) AS frequency, count(DISTINCT document_id) AS documents FROM {KEYWORDS} GROUP BY keyword")

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from lexloom import queries
 from lexloom.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -35,3 +36,13 @@ def test_index_recall(spark):
     best, found = (QUERIES[n](spark, DATA).toPandas() for n in ("vector_search", "ivf_search"))
     want, got = (set(zip(x["query"], x["id"], strict=True)) for x in (best, found))
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_topk_recall(spark, monkeypatch):
+    folder = os.environ.get("TEST_RECALL_DIR", "/root/testdata/sf0.1")
+    share = []
+    for i in range(0, 500, 100):
+        monkeypatch.setattr(queries, "first_vector", lambda spark, d, i=i: queries.table(spark, d, "embeddings").filter(f"vec_id = {i}").first()["embedding"])
+        best, found = (set(QUERIES[n](spark, folder).toPandas()["id"]) for n in ("vector_topk", "ivf_topk"))
+        share.append(len(best & found) / len(best))
+    assert share[0] >= 0.9 and sum(share) / len(share) >= 0.9, share
