@@ -28,8 +28,8 @@ def sketch(text: str | None, scale: int = 8, least: int = 16, width: int = 5) ->
     """Threshold, and the sorted distinct hashes up to it."""
     limit, kept = TOP // scale, []
     for h in shingle_hashes(text, width):
-        h >>= np.uint64(24)
-        kept.append(np.unique(h) if len(kept) == 0 or sum(map(len, kept)) < least else np.unique(h[h <= limit]))
+        h = np.unique(h >> np.uint64(24))
+        kept.append(h[: max(least + 1, int(np.searchsorted(h, limit, "right")))])  # the threshold may rise to one of the smallest of all
         if len(kept) > 16:
             kept = [np.unique(np.concatenate(kept))]
     every = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)

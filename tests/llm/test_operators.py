@@ -393,6 +393,15 @@ def test_neighbours(spark):
         assert tuple(got[i])[1:] == (len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprint.packed(own), fingerprint.packed(its), fingerprint.likeness(own, its), fingerprint.likeness(own, other))
 
 
+def test_sketches_of_repetitive_texts_are_complete():
+    for seed in range(20):
+        rng = random.Random(seed)
+        text = " ".join(" ".join([w for w in [f"{k}w{rng.randrange(10**6)}" for _ in range(40)]] * 900) for k in range(2))
+        limit, got = fingerprint.sketch(text)
+        every = np.unique(np.concatenate(list(fingerprint.shingle_hashes(text, 5))) >> np.uint64(24))
+        assert got.tolist() == every[every <= limit].tolist() and len(got) >= 16
+
+
 def test_sketches():
     rng = random.Random(9)
     a, b = prose(rng, 6000, 10**6), prose(rng, 300, 10**6)
