@@ -20,23 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one is set only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on this machine a temporary one is set in its place."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lexloom-")
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="lexloom-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. It cuts the lineage, and a lost executor loses none of it; the JVM deletes it on exit."""
+    """df as a table in the shared folder. It cuts the lineage, and a lost executor loses none of it; forget() deletes it, else the JVM on exit."""
     spark = ship(df.sparkSession)
     path = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no plan reads any more."""
+    for df in tables:
+        place, fs = _place(df.sparkSession, df.written_at)
+        fs.delete(place, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -52,20 +71,36 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod == rest
 
 
-def bounded_sample(ids: DataFrame, of: str, kind: str, each: int) -> tuple[DataFrame, dict]:
-    """At most `each` rows (distinct ids) of each kind, the first by a hash of the id; and how many there are of each.
-
-    A share of the hashes a little larger than needed is cut out where the rows are, so that few more than `each` rows of a kind meet."""
-    span = 1 << 30
-    there = {r[0]: r[1] for r in ids.groupBy(kind).count().collect()}  # a row for each label value or language
-    cuts = [(k, min(span, int(span * (each + 6 * each**0.5 + 10) / n) + 1)) for k, n in there.items()]
-    place = F.pmod(F.xxhash64(of), F.lit(span))
-    upto = F.lit(span)
-    for k, cut in cuts:
-        upto = F.when(F.col(kind).eqNullSafe(F.lit(k)), F.lit(cut)).otherwise(upto)
-    near = ids.withColumn("_place", place).filter(F.col("_place") < upto)
-    order = Window.partitionBy(kind).orderBy("_place", of)
-    return near.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= each).drop("_place", "_nth"), there
+SPAN = 1 << 40
+
+
+def bounded_sample(rows: DataFrame, kind: str, each: int, chars: str | None = None, most_chars: int = 0) -> tuple[DataFrame, dict]:
+    """At most `each` of the rows of each kind, those first by the number in column place (under SPAN); and how many there are of each.
+
+    A kind's numbers are cut into strips that hold about a 256th of `each` rows; strips are counted where the rows are, and the first
+    that come to `each` rows together are taken whole, so no kind's rows meet in one task. With chars, strips are taken up to and with the one that
+    makes most_chars. Where the rows of one place alone are more than `each`, none of them are taken, nor any after."""
+    rows = written(rows)
+    of_kind = rows.groupBy(kind).agg(F.count("*").alias("of_kind"))
+    there = {r[0]: r[1] for r in of_kind.collect()}  # a row for each label value or language
+    names = rows.columns
+    grain = max(1, each // 256)
+    strip = F.floor(F.col("place") * (F.col("of_kind") / F.lit(float(SPAN * grain))))
+    # a row for each kind: Spark broadcasts it by its size
+    kinds = of_kind.withColumnRenamed(kind, "_kind")
+    near = rows.join(kinds, F.col(kind).eqNullSafe(F.col("_kind"))).withColumn("strip", strip).filter(F.col("strip") <= 2 * each // grain)
+    counts = near.groupBy("_kind", "strip").agg(F.count("*").alias("n"), (F.sum(chars) if chars else F.lit(0)).alias("chars"))
+    upto = Window.partitionBy("_kind").orderBy("strip")  # 512 strips at most
+    counts = counts.withColumn("n", F.sum("n").over(upto)).withColumn("before", F.sum("chars").over(upto) - F.col("chars"))
+    taken = counts.filter((F.col("n") <= each) & ((F.col("before") < most_chars) if chars else F.lit(True)))
+    cuts = written(taken.groupBy(F.col("_kind").alias("_cut_kind")).agg(F.max("strip").alias("cut")))
+    near = near.join(cuts, F.col("_kind").eqNullSafe(F.col("_cut_kind"))).filter(F.col("strip") <= F.col("cut"))
+    return near.select(*names), there
+
+
+def place(*parts: str) -> Column:
+    """A number under SPAN from a hash."""
+    return F.pmod(F.xxhash64(*parts), F.lit(SPAN))
 
 
 def crc_rest(doc_id: object, mod: int) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_sample, per_row
+from lexloom.llm.common import bounded_sample, per_row, place
 
 FEATURES = 1 << 13
 STRETCH = 1 << 17  # code points at a time
@@ -133,19 +133,34 @@ class Model:
         return self.langs[at], float(p[at])
 
 
-def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_chars: int = 20_000) -> Model:
-    """Fits on at most `each` documents of each language, the first by a hash of their id and none longer than most_chars; every fifth of them is kept for the temperature."""
+def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 60_000) -> Model:
+    """Fits on at most `each` documents of each language and `most` of all, the first by a hash of their id and text, whole and of any length; every fifth of them is kept for the temperature.
+
+    Texts stay with the executors; their feature vectors come to the driver."""
     seen = docs.filter(learn & F.col(lang_col).isNotNull())
     df, n = document_frequencies(seen, text_col)
-    ids = seen.filter(F.length(text_col) <= most_chars).select(F.col(id_col).alias("of"), F.col(lang_col).alias("kind")).distinct()
-    chosen = bounded_sample(ids, "of", "kind", each)[0].select("of").distinct()
-    rows = seen.join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("of", lang_col, text_col).collect()  # `each` ids a language are broadcast
-    rows = sorted(((str(r[0]), r[1], r[2]) for r in rows if has_letter(r[2])))
-    langs = sorted({r[1] for r in rows})
+    rows = seen.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("of"), F.xxhash64(text_col).alias("th"), F.col(lang_col).alias("kind")).distinct().withColumn("place", place("of", "th"))
+    kinds = rows.select("kind").distinct().count()
+    chosen = bounded_sample(rows, "kind", max(1, min(each, most // max(1, kinds))))[0].select("of", "th", "kind")
+    idf = np.log((1 + n) / (1 + df)) + 1
+    same = F.col(id_col).eqNullSafe(F.col("of")) & (F.xxhash64(text_col) == F.col("th")) & (F.col(lang_col) == F.col("kind"))
+    picked = seen.select(id_col, text_col, lang_col).join(F.broadcast(chosen), same).select("of", "th", "kind", text_col)  # `most` ids at most are broadcast
+
+    def features():
+        def one(text):
+            if not has_letter(text):
+                return None, None
+            at, x = vector(text, idf)
+            return at.astype(np.int32).tolist(), x.tolist()
+
+        return one
+
+    found = per_row(picked, [text_col], ["of", "th", "kind"], "at array<int>, x array<float>", features).filter("at IS NOT NULL").dropDuplicates(["of", "th", "kind"])
+    rows = sorted(found.collect(), key=lambda r: (str(r["of"]), r["th"], r["kind"]))
+    langs = sorted({r["kind"] for r in rows})
     if not langs:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    x, y = [vector(r[2], idf) for r in rows], np.array([langs.index(r[1]) for r in rows])
+    x, y = [(np.array(r["at"], np.uint16), np.array(r["x"], np.float32)) for r in rows], np.array([langs.index(r["kind"]) for r in rows])
     rows.clear()
     aside = np.arange(len(y)) % 5 == 0
     own = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))

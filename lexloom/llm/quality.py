@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexloom.llm.common import bounded_sample, per_row
+from lexloom.llm.common import bounded_sample, per_row, place
 from lexloom.llm.rules import statistics
 
 NAMES = ["words", "chars", "mean_word", "symbols", "repeats", "dup_lines", "lines", "line_words", "distinct", "top_word", "top_start", "upper", "digits", "marks", "spaced_marks", "ended"]
@@ -106,15 +106,16 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: i
 
 
 def trained(docs: DataFrame, labels: DataFrame, learn: Column, each: int = 15_000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Trees:
-    """Fits on the statistics of at most `each` documents of each label value, the first by a hash of their id."""
+    """Fits on the statistics of at most `each` documents of each label value, the first by a hash of their id and text; rows with the same id and text are one."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label).cast("int").alias("y"))
-    ids = docs.filter(learn).select(F.col(id_col).alias("of")).distinct().join(known, "of")
-    chosen, _ = bounded_sample(ids, "of", "y", each)
-    picked = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("y", "of", text_col)  # `each` ids a value are broadcast
-    rows = per_row(picked, [text_col], ["y", "of"], ", ".join(f"{x} double" for x in NAMES), lambda: features).collect()
-    rows = sorted(rows, key=lambda r: (str(r["of"]), tuple(r)[2:]))
-    x = np.array([tuple(r)[2:] for r in rows], float).reshape(-1, len(NAMES))
-    return boost(x, np.array([r["y"] for r in rows], float))
+    rows = docs.filter(learn).select(F.col(id_col).alias("of"), F.xxhash64(text_col).alias("th")).distinct().join(known, "of").withColumn("place", place("of", "th"))
+    chosen = bounded_sample(rows, "y", each)[0].select("of", "th", "y")
+    same = (F.col(id_col) == F.col("of")) & (F.xxhash64(text_col) == F.col("th"))
+    picked = docs.select(id_col, text_col).join(F.broadcast(chosen), same).select("y", "of", "th", text_col)  # `each` ids a value are broadcast
+    found = per_row(picked, [text_col], ["y", "of", "th"], ", ".join(f"{x} double" for x in NAMES), lambda: features).dropDuplicates(["of", "th"]).collect()
+    found = sorted(found, key=lambda r: (str(r["of"]), r["th"]))
+    x = np.array([tuple(r)[3:] for r in found], float).reshape(-1, len(NAMES))
+    return boost(x, np.array([r["y"] for r in found], float))
 
 
 def scored(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

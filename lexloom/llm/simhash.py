@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_row, shingle_hashes, written
+from lexloom.llm.common import forget, per_row, shingle_hashes, written
 
 BITS = 64
 PAIRS = 1 << 20  # pairs of nodes walked at a time
@@ -209,24 +209,29 @@ def links(rows: DataFrame, budget: int) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) of every node of the edges (u, v): alternating large and small stars until nothing changes.
 
-    A round sums up map-side and joins on a node, so a hub is split like any skewed join; it keeps at most as many edges as there are nodes."""
+    The least neighbours are summed up map-side and written before edges are joined with them, so that join may split a hub like any hot
+    key; a round keeps at most as many edges as there are nodes, and its tables go with it."""
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     seen = None
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).filter("u <> v")
-        edges = written(small.distinct())
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        large = written(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least2 = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", "m")).filter("u <> v")
+        before, edges = edges, written(small.distinct())
+        forget(before, least, large, least2)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out = written(edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
+    forget(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, budget: int = 4, seed: int = 42, limit: int = 4096) -> DataFrame:
@@ -234,10 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col, width, seed))
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     rows = split(tries(nodes, nodes.count(), budget), budget, limit)
-    roots = written(components(links(rows, budget)))
-    inside = nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = inside.groupBy("root").agg(F.min("least").alias("component"))
+    roots = components(links(rows, budget))
+    inside = written(nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    of_root = written(inside.groupBy("root").agg(F.min("least").alias("component")))  # apart from the joins, which then may split a hot group
     named = written(inside.join(of_root, "root").select("fp", "component"))
+    forget(nodes, roots, inside, of_root)
     return prints.join(named, "fp").select(id_col, "fp", "component")
 
 
@@ -248,7 +254,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 def parities(h: np.ndarray) -> bytes:
     """For each value of the hashes' low bits whether an odd number of them has it. Two sets differ in at least as many hashes as these bits; a power of two of them, by the set's size."""
-    n = min(1 << 15, max(1 << 10, 1 << int(2 * len(h)).bit_length()))
+    n = min(1 << 15, max(1 << 9, 1 << int(len(h)).bit_length()))
     return np.packbits(np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
 
 
@@ -258,7 +264,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def first_shingles(sets: DataFrame, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
-    """token, key, id, n: of each set the hashes that one as similar must share one of. They stand in one order for all sets: by the count in common (hash, count), then the hash."""
+    """token, id, n: of each set the hashes that one as similar must share one of. They stand in one order for all sets: by the count in common (hash, count), then the hash."""
     known = np.array(sorted(common), np.int64).reshape(-1, 2)
 
     def run(batches):
@@ -277,15 +283,25 @@ def first_shingles(sets: DataFrame, similarity: float, common: list[tuple[int, i
                     picked.append(every[s:e][np.lexsort((every[s:e], weight[s:e]))[:most]])
                     sizes.append(len(picked[-1]))
                 which = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked or [every[:0]])), *(part.column(c).take(which) for c in ("key", "id", "n"))], names=["token", "key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked or [every[:0]])), *(part.column(c).take(which) for c in ("id", "n"))], names=["token", "id", "n"])
 
-    return sets.select("h", "key", "id", "n").mapInArrow(run, "token long, key binary, id long, n int")
+    return sets.select("h", "id", "n").mapInArrow(run, "token long, id long, n int")
 
 
-def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of the sets of one bucket the pairs (i, j) with different labels that neither sizes nor parities rule out; and whether pairs were put off, each i meeting its `most` nearest only.
+def sizes_fit(a, b, similarity: float):
+    """Whether sets of so many shingles can be as similar: of numbers, arrays or columns."""
+    return (a >= similarity * b - 1e-6) & (b >= similarity * a - 1e-6)
 
-    The sets of the largest label are held against the others, not against each other."""
+
+def most_apart(a, b, similarity: float):
+    """In how many shingles sets of so many can differ and be as similar."""
+    return (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
+
+
+def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], half: np.ndarray | None, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the sets of one cell the pairs (i, j) with different labels that neither sizes nor parities rule out; and whether pairs were put off, each i meeting its `most` nearest only.
+
+    The sets of the largest label are held against the others, not against each other. half: only pairs with different values."""
     kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
     width = np.array([len(x) // 8 for x in bits])
     own = {}
@@ -305,10 +321,12 @@ def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], similarity: float
                 me = folded(np.frombuffer(bits[i], np.uint64).reshape(1, -1), w)
             else:
                 me = rows[at == i]
-            near = (label[at] != label[i]) & (n[at] >= similarity * n[i] - 1e-6) & (similarity * n[at] - 1e-6 <= n[i])
+            near = (label[at] != label[i]) & sizes_fit(n[at], n[i], similarity)
+            if half is not None:
+                near &= half[at] != half[i]
             rows, at = rows[near], at[near]
             far = np.bitwise_count(rows ^ me).sum(axis=1, dtype=np.int64)
-            near = far <= (1 - similarity) / (1 + similarity) * (n[at] + n[i]) + 1e-6
+            near = far <= most_apart(n[at], n[i], similarity)
             found.append(at[near])
             apart.append(far[near])
         found, apart = np.concatenate(found), np.concatenate(apart)
@@ -321,92 +339,195 @@ def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], similarity: float
 
 
 def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
-    """u, v (keys, u < v) and late, of each bucket (token) of rows with key, n, label, bits. late: rows that only say that pairs were put off."""
+    """u, v (ids, u < v) and late, of each cell of rows with id, n, label, bits, half. late: rows that only say that pairs were put off."""
 
-    def one(key, n, label, bits):
-        i, j, late = maybe(n, label, bits, similarity, most)
-        pairs = {(min(key[a], key[b]), max(key[a], key[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
-        return [(u, v, False) for u, v in pairs] + ([(key[0], key[0], True)] if late else [])
+    def one(ids, n, label, half, bits):
+        cross = half is not None
+        i, j, late = maybe(n, label, bits, half if cross else None, similarity, most)
+        pairs = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        return [(u, v, False) for u, v in pairs] + ([(ids[0], ids[0], True)] if late else [])
 
     def run(batches):
-        token, held = None, {}
+        cell, held = None, []
 
         def close():
             if len(held) < 2:
                 return []
-            key = sorted(held)
-            return one(key, np.array([held[k][0] for k in key], np.int64), np.array([held[k][1] for k in key], np.int64), [held[k][2] for k in key])
+            ids, n, label, half, bits = zip(*sorted(held), strict=True)
+            half = np.array([-1 if x is None else x for x in half], np.int64)
+            return one(ids, np.array(n, np.int64), np.array(label, np.int64), half if (half >= 0).all() else None, bits)
 
         for b in batches:
             out = []
-            for t, key, *rest in zip(*(b.column(c).to_pylist() for c in ("token", "key", "n", "label", "bits")), strict=True):
-                if t != token:
+            for c, *row in zip(*(b.column(x).to_pylist() for x in ("cell", "id", "n", "label", "half", "bits")), strict=True):
+                if c != cell:
                     out += close()
-                    token, held = t, {}
-                held[key] = rest
+                    cell, held = c, []
+                held.append(tuple(row))
             yield made(out)
         yield made(close())
 
     def made(out):
         u, v, late = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(late, pa.bool_())], names=["u", "v", "late"])
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(late, pa.bool_())], names=["u", "v", "late"])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "id", "n", "label", "half", "bits").mapInArrow(run, "u long, v long, late boolean")
+
+
+def cells(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (token, sharing: how many rows the token has) with cell and half: a bucket of at most limit rows is one cell; a larger one is cut into blocks, and each pair of blocks, of
+    which only rows of different blocks meet, and each block with itself is one."""
+    blocks = F.ceil(F.col("sharing") / limit)
+    block = F.pmod(F.xxhash64("id"), blocks)
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    return rows.withColumns({"cell": F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")), "half": F.when(F.col("block") != F.col("other"), (F.col("block") > F.col("other")).cast("int"))}).drop("block", "other")
+
+
+MOST_BROADCAST = 1 << 20  # rows of a few numbers
 
-    return rows.repartition("token").sortWithinPartitions("token").select("token", "key", "n", "label", "bits").mapInArrow(run, "u binary, v binary, late boolean")
 
+def among(rows: DataFrame, ids: DataFrame, anti: bool = False) -> DataFrame:
+    """The rows whose id is one of ids (written), or is not. Up to MOST_BROADCAST ids are broadcast, so that the rows stay where they are; beyond, both sides sort."""
+    side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids.hint("merge")
+    return rows.join(side, "id", "left_anti" if anti else "left_semi")
 
-def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 17, sample: int = 20_000, most: int = 8) -> DataFrame:
-    """Links (u, v) of ids that, with the known links (u, v), hang the same documents together as all pairs of texts do that share at least `similarity` of their distinct shingles.
 
-    Exact: two such sets share one of their first shingles, whatever the order; a sample's counts only put common ones last. In each
-    bucket (a shared first shingle) all sets meet its first one. Then sets of different components meet, those that sizes
-    and parities do not rule out: `most` for each set, then four times as many, until none was put off. Only pairs inside a
-    component are never compared, as they change nothing. An exact count decides. Equal sets are one from the start. Ids must be whole numbers; rows
-    without an id take no part."""
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) those whose sets are as similar: ruled out by parities first, then counted exactly. Only sets that stand in a pair move."""
+    end = lambda df, c: written(df.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    half = lambda df, c, x: df.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col(x).alias(f"{x}{c}"))
+
+    def possible(batches):
+        for b in batches:
+            nu, nv = (b.column(c).to_numpy().astype(np.int64) for c in ("nu", "nv"))
+            far = np.zeros(len(nu), np.int64)
+            for i, (x, y) in enumerate(zip(b.column("bitsu").to_pylist(), b.column("bitsv").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                few = min(len(x), len(y))
+                far[i] = np.bitwise_count(folded(x[None], few) ^ folded(y[None], few)).sum()
+            keep = sizes_fit(nu, nv, similarity) & (far <= most_apart(nu, nv, similarity))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep))
+
+    ids = end(pairs, "id")
+    own = among(sets.select("id", "n", "bits"), ids)
+    left = pairs.join(half(own, "u", "bits").hint("merge"), "u").join(half(own, "v", "bits").hint("merge"), "v")
+    left = written(left.select("u", "v", "nu", "nv", "bitsu", "bitsv").mapInArrow(possible, "u long, v long").distinct())
+    forget(ids)
+    ids = end(left, "id")
+    own = among(sets.select("id", "n", "h"), ids)
+    both = F.size(F.array_intersect("hu", "hv"))
+    out = written(left.join(half(own, "u", "h").hint("merge"), "u").join(half(own, "v", "h").hint("merge"), "v").filter(both >= similarity * (F.col("nu") + F.col("nv") - both)).select("u", "v").distinct())
+    forget(ids, left)
+    return out
+
+
+FEW = 8  # sets of a bucket that all meet at once
+
+
+def equal_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (id, text) without repeated texts; the others (id, least): ids whose texts all went, and the least id with the same text; and such pairs of ids
+    that have several texts, which stay nodes. Texts move only where a row is there twice."""
+    marks = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")}
+    prints = written(docs.withColumns(marks).select("id", *marks))
+    same = written(prints.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
+    found = written(prints.join(same, ["t1", "t2"]))
+    copies = written(found.filter("id <> least").distinct())
+    if not found.filter("id = least").groupBy("id", "t1", "t2").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["id", "text"])
+    if copies.isEmpty():
+        return docs, copies.select("id", "least"), copies.select("id", "least")
+    rows = docs.withColumns(marks)
+    side = copies.select("id", *marks)
+    kept = rows.join(F.broadcast(side) if side.count() <= MOST_BROADCAST else side.hint("merge"), ["id", *marks], "left_anti").select("id", "text")
+    ids = copies.select("id", "least")
+    several = written(prints.join(ids.select("id").distinct(), "id", "left_semi").distinct().groupBy("id").count().filter("count > 1").select("id"))
+    linked, ids = written(ids.join(several, "id", "left_semi")), written(ids.join(several, "id", "left_anti"))
+    forget(same, found, several)
+    return kept, ids, linked
+
+
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 17, sample: int = 20_000, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(id, root) of the ids that hang together over the known links (u, v) and all pairs of texts that share at least `similarity` of their distinct shingles; and (id, least) of those whose text is that of a lesser id, which are not in the former.
+
+    Exact: two such sets share one of their first shingles, whatever the order; a sample's counts only put common ones last. The sets of a
+    bucket (a shared first shingle) all meet if they are few, else all meet the first of them. Then, in large buckets, sets of different
+    components meet, those that sizes and parities do not rule out: `most` for each set, then four times as many, until none was put
+    off. Only pairs inside a component are never compared, as they change nothing. An exact count decides."""
+    kind = docs.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"ids must be whole numbers, not {kind}")
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    docs, copies, linked = equal_texts(docs)
     name = lambda h: xxhash.xxh3_128_digest(h.tobytes())
-    prints = written(per_row(docs, ["text"], ["id"], "key binary", lambda: lambda t: (name(shingle_set(t, width)),)))
-    nodes = written(prints.groupBy("key").agg(F.min("id").alias("least")))
-    links = prints.join(nodes, "key").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    links = written(links.union(known.select("u", "v")) if known is not None else links)
 
     def measured(text):
         h = shingle_set(text, width)
         return name(h), len(h), h.view(np.int64), parities(h)
 
-    firsts = docs.join(nodes.select(F.col("least").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    sets = written(per_row(firsts, ["text"], ["id"], "key binary, n int, h array<long>, bits binary", lambda: measured).filter("n > 0"))
+    sets = written(per_row(docs, ["text"], ["id"], "key binary, n int, h array<long>, bits binary", lambda: measured))
+    # other texts with the same shingles (other blanks, other case; texts without words)
+    same = sets.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").select("key", "least")
+    twins = written(sets.select("key", "id").join(written(same), "key").filter("id <> least").select("id", "least").distinct())
+    links = twins.union(linked).select(F.col("id").alias("u"), F.col("least").alias("v"))
+    if known is not None:
+        links = links.union(known.select(F.col("u").alias("id"), "v").join(copies.select("id"), "id", "left_anti").filter("id <> v").select("id", "v"))
+    links = written(links)
+    worded = sets.filter("n > 0")
+    worded = worded if twins.isEmpty() else among(worded, twins.select("id"), anti=True)
     span = 1 << 20
-    some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(span)) < F.lit(span * sample // max(nodes.count(), 1) + 1))
+    some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(span)) < F.lit(span * sample // max(sets.count(), 1) + 1))
     often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 3").orderBy(F.desc("count"), "t").limit(common).collect()  # at most `common` numbers
     shared = F.count("*").over(Window.partitionBy("token"))
-    live = written(first_shingles(sets, similarity, [(r[0], r[1]) for r in often]).withColumn("sharing", shared).filter("sharing > 1").drop("sharing"))
-    done, one_round = None, 0
+    live = written(first_shingles(worded, similarity, [(r[0], r[1]) for r in often]).withColumn("sharing", shared).filter("sharing > 1"))
+    fit = lambda a, b: (a["id"] < b["id"]) & sizes_fit(a["n"], b["n"], similarity)
+    few = live.filter(F.col("sharing") <= FEW).groupBy("token").agg(F.collect_list(F.struct("id", "n")).alias("m"))
+    few = few.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: fit(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))).alias("p")).select("p.*")
+    large = live.filter(F.col("sharing") > FEW)
+    first = written(large.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first")))
+    led = large.join(first, "token").filter(sizes_fit(F.col("first.n"), F.col("n"), similarity) & (F.col("first.id") < F.col("id"))).select(F.col("first.id").alias("u"), F.col("id").alias("v"))
+    done = written(few.unionByName(led).distinct())
+    links = links.unionByName(verified(done, sets, similarity))
+    label = components(links)
+    forget(first)
     while True:
-        label = components(links)
-        rows = live.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        each = Window.partitionBy("token")
-        rows = written(rows.withColumn("lo", F.min("label").over(each)).withColumn("hi", F.max("label").over(each)).filter("lo < hi").drop("lo", "hi"))
-        live = rows.drop("label")
-        if one_round == 0:
-            first = F.min(F.struct("key", "n", "label")).over(each)
-            found = rows.withColumn("f", first).filter(f"f.label <> label and n >= {similarity} * f.n - 1e-6 and f.n >= {similarity} * n - 1e-6").select(F.col("f.key").alias("u"), F.col("key").alias("v"), F.lit(False).alias("late"))
-        else:
-            found = met(rows.join(sets.select("key", "bits").dropDuplicates(["key"]), "key"), similarity, most * 4 ** (one_round - 1))
-        found = written(found.distinct())
-        pairs = found.filter(~F.col("late")).select("u", "v")
-        pairs = written(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"))
-        done = pairs if done is None else done.unionByName(pairs)
-        a = sets.select(F.col("key").alias("u"), F.col("id").alias("iu"), F.col("h").alias("hu"))
-        b = sets.select(F.col("key").alias("v"), F.col("id").alias("iv"), F.col("h").alias("hv"))
-        both = F.size(F.array_intersect("hu", "hv"))
-        near = pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").filter(both >= similarity * (F.size("hu") + F.size("hv") - both))
-        links = links.unionByName(written(near.select(F.col("iu").alias("u"), F.col("iv").alias("v"))))
-        if one_round and found.filter("late").isEmpty():
-            return links
-        one_round += 1
+        rows = large.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        mixed = written(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"))
+        rows = written(rows.join(mixed, "token"))
+        forget(mixed)
+        if rows.isEmpty():
+            break
+        ids = written(rows.select("id").distinct())
+        found = written(met(cells(rows.join(among(sets.select("id", "bits"), ids).dropDuplicates(["id"]).hint("merge"), "id"), limit), similarity, most).distinct())
+        pairs = written(found.filter(~F.col("late")).select("u", "v").join(done, ["u", "v"], "left_anti"))
+        new = verified(pairs, sets, similarity)
+        over, any_new = found.filter("late").isEmpty(), not new.isEmpty()
+        forget(ids, found)
+        if any_new:
+            links = links.unionByName(new)
+            forget(label)
+            label = components(links)
+        if over:
+            break
+        done, large, most = done.unionByName(pairs), rows.drop("label"), most * 4
+    forget(sets)
+    return label, copies
+
+
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """id, root of every document that has another one as similar (alike_groups)."""
+    label, copies = alike_groups(docs, id_col, text_col, **options)
+    return with_copies(label, copies)
+
+
+def with_copies(label: DataFrame, copies: DataFrame) -> DataFrame:
+    """Copies join the group of the least id with their text, which is one by itself if it has no other."""
+    roots = label.withColumnRenamed("id", "least")
+    own = written(copies.join(roots, "least", "left").select("id", F.coalesce("root", "least").alias("root"), "least"))
+    alone = own.filter("root = least").select(F.col("least").alias("id"), "root").distinct().join(label, "id", "left_anti").select("id", "root")
+    return label.unionByName(own.select("id", "root")).unionByName(alone)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, component of every document that has a near-duplicate: its fingerprint linked (near_duplicates), or its text alike."""
     linked = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("u"), F.col("component").cast("long").alias("v"))
-    return components(alike(docs, id_col, text_col, known=written(linked), **options)).select("id", F.col("root").alias("component"))
+    return alike(docs, id_col, text_col, known=written(linked), **options).select("id", F.col("root").alias("component"))

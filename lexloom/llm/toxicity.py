@@ -17,26 +17,25 @@ from array import array
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import bounded_sample, fresh, per_row
+from lexloom.llm.common import bounded_sample, fresh, per_row, place
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, each: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 12_000_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Texts and labels to fit on: of each label value, at most `each` documents, the first by a hash of their id; of these, again by a hash, those up to and with the one that makes them most_chars long together, whole and of any length. And how many of each value there are."""
+    """Texts and labels to fit on: of each label value, at most `each` documents, the first by a hash of their id and text, and up to about most_chars characters, whole and of any length. And how many of each value there are. Rows with the same id and text are one."""
     known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.max(label).cast("int").alias("y"))
-    ids = docs.filter(learn & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg(F.sum(F.length(text_col)).alias("chars")).join(known, "of")
-    chosen, of_all = bounded_sample(ids, "of", "y", each)
-    order = Window.partitionBy("y").orderBy(F.xxhash64("of"), "of")
-    before = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1))  # of `each` rows
-    chosen = chosen.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < most_chars).select("of", "y")
-    # at most `each` ids for each label value are broadcast
-    rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select("of", "y", text_col).collect()
-    return [(r[2], r[1]) for r in sorted(rows, key=lambda r: (str(r[0]), r[2]))], of_all
+    rows = docs.filter(learn & F.col(text_col).isNotNull()).select(F.col(id_col).alias("of"), F.xxhash64(text_col).alias("th"), F.length(text_col).alias("chars"))
+    rows = rows.groupBy("of", "th").agg(F.max("chars").alias("chars")).join(known, "of").withColumn("place", place("of", "th"))
+    chosen, of_all = bounded_sample(rows, "y", each, "chars", most_chars)
+    # at most `each` rows for each label value are broadcast
+    found = docs.filter(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen.select("of", "th", "y")), (F.col(id_col) == F.col("of")) & (F.xxhash64(text_col) == F.col("th"))).select("of", "y", text_col)
+    texts = {(str(r[0]), r[2], r[1]) for r in found.dropDuplicates(["of", text_col]).collect()}
+    return [(t, y) for _, t, y in sorted(texts)], of_all
 
 
 def marks(word: str) -> tuple[int, ...]:
