@@ -31,10 +31,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group: linked fingerprints, or texts that share 0.8 of their five-word shingles. Rows without an id stay."""
+    """The document with the smallest id of each group: linked fingerprints, or texts that share 0.8 of their five-word shingles; of rows that share an id all stay or go. Null texts are empty, and texts without a word alike; rows without an id stay."""
     other = fresh(docs, "other")
-    others = written(simhash.groups(docs).filter("id <> component").select(F.col("id").alias(other)))
-    return docs.join(others.hint("merge"), F.col("doc_id") == F.col(other), "left_anti")
+    others = written(simhash.groups(docs).filter("id <> component").select(F.col("id").alias(other)).distinct())
+    side = F.broadcast(others) if others.count() <= simhash.MOST_BROADCAST else others.hint("merge")
+    return docs.join(side, F.col("doc_id") == F.col(other), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
