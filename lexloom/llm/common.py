@@ -77,20 +77,20 @@ SPAN = 1 << 40
 def bounded_sample(rows: DataFrame, kind: str, each: int, chars: str | None = None, most_chars: int = 0) -> tuple[DataFrame, dict]:
     """At most `each` of the rows of each kind, those first by the number in column place (under SPAN); and how many there are of each.
 
-    A kind's numbers are cut into strips that hold about a 256th of `each` rows; strips are counted where the rows are, and the first
+    A kind's numbers are cut into strips that hold about a 64th of `each` rows; strips are counted where the rows are, and the first
     that come to `each` rows together are taken whole, so no kind's rows meet in one task. With chars, strips are taken up to and with the one that
     makes most_chars. Where the rows of one place alone are more than `each`, none of them are taken, nor any after."""
     rows = written(rows)
     of_kind = rows.groupBy(kind).agg(F.count("*").alias("of_kind"))
     there = {r[0]: r[1] for r in of_kind.collect()}  # a row for each label value or language
     names = rows.columns
-    grain = max(1, each // 256)
+    grain = max(1, each // 64)
     strip = F.floor(F.col("place") * (F.col("of_kind") / F.lit(float(SPAN * grain))))
     # a row for each kind: Spark broadcasts it by its size
     kinds = of_kind.withColumnRenamed(kind, "_kind")
     near = rows.join(kinds, F.col(kind).eqNullSafe(F.col("_kind"))).withColumn("strip", strip).filter(F.col("strip") <= 2 * each // grain)
     counts = near.groupBy("_kind", "strip").agg(F.count("*").alias("n"), (F.sum(chars) if chars else F.lit(0)).alias("chars"))
-    upto = Window.partitionBy("_kind").orderBy("strip")  # 512 strips at most
+    upto = Window.partitionBy("_kind").orderBy("strip")  # 128 strips at most
     counts = counts.withColumn("n", F.sum("n").over(upto)).withColumn("before", F.sum("chars").over(upto) - F.col("chars"))
     taken = counts.filter((F.col("n") <= each) & ((F.col("before") < most_chars) if chars else F.lit(True)))
     cuts = written(taken.groupBy(F.col("_kind").alias("_cut_kind")).agg(F.max("strip").alias("cut")))

@@ -263,9 +263,9 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
-def first_shingles(sets: DataFrame, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
+def first_shingles(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
     """token, id, n: of each set the hashes that one as similar must share one of. They stand in one order for all sets: by the count in common (hash, count), then the hash."""
-    known = np.array(sorted(common), np.int64).reshape(-1, 2)
+    known = common[np.argsort(common[:, 0], kind="stable")]
 
     def run(batches):
         for b in batches:
@@ -421,6 +421,15 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
+def distinct_buckets(live: DataFrame) -> DataFrame:
+    """Of buckets (token) with the same ids one: texts that share a passage share all its shingles. Buckets are told apart by the number of their ids and two sums of hashes, 128 bits, made where the rows are."""
+    marks = live.groupBy("token", "sharing").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
+    one = written(marks.groupBy("sharing", "x", "y").agg(F.min("token").alias("token")).select("token"))
+    out = written(live.join(one, "token", "left_semi"))
+    forget(live, one)
+    return out
+
+
 FEW = 8  # sets of a bucket that all meet at once
 
 
@@ -446,10 +455,10 @@ def equal_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept, ids, linked
 
 
-def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 17, sample: int = 20_000, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 20, share: int = 4, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(id, root) of the ids that hang together over the known links (u, v) and all pairs of texts that share at least `similarity` of their distinct shingles; and (id, least) of those whose text is that of a lesser id, which are not in the former.
 
-    Exact: two such sets share one of their first shingles, whatever the order; a sample's counts only put common ones last. The sets of a
+    Exact: two such sets share one of their first shingles, whatever the order; the counts in one of `share` sets only put common ones last (`common` of them at most). The sets of a
     bucket (a shared first shingle) all meet if they are few, else all meet the first of them. Then, in large buckets, sets of different
     components meet, those that sizes and parities do not rule out: `most` for each set, then four times as many, until none was put
     off. Only pairs inside a component are never compared, as they change nothing. An exact count decides."""
@@ -474,11 +483,10 @@ def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = written(links)
     worded = sets.filter("n > 0")
     worded = worded if twins.isEmpty() else among(worded, twins.select("id"), anti=True)
-    span = 1 << 20
-    some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(span)) < F.lit(span * sample // max(sets.count(), 1) + 1))
-    often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 3").orderBy(F.desc("count"), "t").limit(common).collect()  # at most `common` numbers
+    some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
+    often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 2").orderBy(F.desc("count"), "t").limit(common).toArrow()  # at most `common` pairs of numbers
     shared = F.count("*").over(Window.partitionBy("token"))
-    live = written(first_shingles(worded, similarity, [(r[0], r[1]) for r in often]).withColumn("sharing", shared).filter("sharing > 1"))
+    live = distinct_buckets(written(first_shingles(worded, similarity, np.stack([often.column(c).to_numpy() for c in ("t", "count")], axis=1)).withColumn("sharing", shared).filter("sharing > 1")))
     fit = lambda a, b: (a["id"] < b["id"]) & sizes_fit(a["n"], b["n"], similarity)
     few = live.filter(F.col("sharing") <= FEW).groupBy("token").agg(F.collect_list(F.struct("id", "n")).alias("m"))
     few = few.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: fit(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))).alias("p")).select("p.*")
@@ -490,10 +498,10 @@ def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     label = components(links)
     forget(first)
     while True:
-        rows = large.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = written(rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"))
-        rows = written(rows.join(mixed, "token"))
-        forget(mixed)
+        labelled = written(large.join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id")))
+        mixed = written(labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"))
+        rows = written(labelled.join(mixed, "token"))
+        forget(mixed, labelled)
         if rows.isEmpty():
             break
         ids = written(rows.select("id").distinct())
