@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import js_trim, nullable
 
 #: Other names of a language.
-ALIASES = dict(x.split(":") for x in """
-javascript:javascript js:javascript typescript:typescript ts:typescript python:python py:python java:java c#:csharp
-csharp:csharp c++:cpp cpp:cpp c:c go:go golang:go rust:rust rs:rust ruby:ruby rb:ruby php:php swift:swift kotlin:kotlin
-kt:kotlin scala:scala shell:shell bash:shell sh:shell powershell:powershell ps1:powershell sql:sql json:json xml:xml
-html:html css:css scss:scss yaml:yaml yml:yaml markdown:markdown md:markdown dockerfile:dockerfile docker:dockerfile
-""".split())
+ALIASES = {
+    "javascript": "javascript", "js": "javascript", "typescript": "typescript", "ts": "typescript", "python": "python", "py": "python",
+    "java": "java", "c#": "csharp", "csharp": "csharp", "c++": "cpp", "cpp": "cpp", "c": "c", "go": "go", "golang": "go", "rust": "rust",
+    "rs": "rust", "ruby": "ruby", "rb": "ruby", "php": "php", "swift": "swift", "kotlin": "kotlin", "kt": "kotlin", "scala": "scala",
+    "shell": "shell", "bash": "shell", "sh": "shell", "powershell": "powershell", "ps1": "powershell", "sql": "sql", "json": "json", "xml": "xml",
+    "html": "html", "css": "css", "scss": "scss", "yaml": "yaml", "yml": "yaml", "markdown": "markdown", "md": "markdown",
+    "dockerfile": "dockerfile", "docker": "dockerfile",
+}
 
 #: The language of a file extension.
-EXTENSIONS = dict(x.split(":") for x in """
-ts:typescript tsx:typescript js:javascript jsx:javascript mjs:javascript cjs:javascript py:python rb:ruby java:java go:go
-rs:rust cpp:cpp cxx:cpp cc:cpp c:c cs:csharp kt:kotlin swift:swift scala:scala php:php sql:sql json:json yml:yaml
-yaml:yaml toml:toml sh:shell bash:shell zsh:shell ps1:powershell md:markdown html:html css:css
-""".split())
+EXTENSIONS = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python",
+    "rb": "ruby", "java": "java", "go": "go", "rs": "rust", "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "c": "c", "cs": "csharp", "kt": "kotlin",
+    "swift": "swift", "scala": "scala", "php": "php", "sql": "sql", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "sh": "shell",
+    "bash": "shell", "zsh": "shell", "ps1": "powershell", "md": "markdown", "html": "html", "css": "css",
+}
 
 #: Codes with a region that stand for the plain code.
 REGIONS = {"zh-cn": "zh", "zh-tw": "zh"}

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The words that are never keywords.
-STOP_WORDS = """
-the a an and or but in on at to for of with by is are was were be been have has had do does did will would could should
-may might can this that these those from up down out off over under again further then once
-""".split()
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has",
+    "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "this", "that", "these", "those", "from", "up", "down",
+    "out", "off", "over", "under", "again", "further", "then", "once",
+]
 
 #: What the source language counts as white space beyond ASCII.
 JS_WS = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
