@@ -49,8 +49,16 @@ class Tools:
         return {"crawl_id": crawl_id, "pages": len(pages), "errors": crawl.errors}
 
     def process_uploads(self, folder: str, pdf: Callable | None = None) -> dict:
-        found = uploads.read(self.store.spark, folder, pdf)
-        good = found.filter("error IS NULL").select("title", "content", F.lit("upload").alias("source"), F.col("title").alias("original_filename"), F.col("extension").alias("file_extension"))
+        """All supported files; a stored document of the same title gives way."""
+        return self._uploaded(uploads.read(self.store.spark, folder, pdf))
+
+    def process_upload(self, folder: str, path: str, title: str | None = None, pdf: Callable | None = None) -> dict:
+        """One file within the folder, perhaps under another title."""
+        found = uploads.read_one(self.store.spark, folder, path, pdf)
+        return self._uploaded(found.withColumn("title", F.lit(title)) if title else found)
+
+    def _uploaded(self, found: DataFrame) -> dict:
+        good = found.filter("error IS NULL").select("title", "content", F.lit("upload").alias("source"), F.element_at(F.split("path", "/"), -1).alias("original_filename"), F.col("extension").alias("file_extension"))
         n = good.count()
         if n:
             ingest.ingest(self.store, good, self.make, self.provider.model, replace_titles=True, languages=self.languages)
@@ -67,12 +75,38 @@ class Tools:
         """Issues in the store."""
         return validate.validate(self.store.tables())
 
-    def get_document(self, document_id: str) -> DataFrame:
+    def get_document(self, document_id: str, chunk_window: int | None = None, before: int = 1, after: int = 1) -> DataFrame:
+        """With all its chunks, or those around the place chunk_window in their order."""
         t = self._tables()
+        if chunk_window is not None:
+            docs = documents.with_metadata(documents.by_id(t["documents"], document_id), t["tags"], t["languages"]).drop("content")
+            return documents.with_chunks(docs, fusion.context_window(t["chunks"], document_id, chunk_window, before, after))
         return documents.with_chunks(documents.with_metadata(documents.by_id(t["documents"], document_id), t["tags"], t["languages"]), t["chunks"].filter(F.col("document_id") == document_id))
 
-    def list_documents(self, offset: int = 0, limit: int = 50, preview_length: int | None = None) -> DataFrame:
-        return documents.listing(self.store.table("documents"), offset, min(max(limit, 1), 200), preview_length)
+    def list_documents(self, offset: int = 0, limit: int = 50, preview_length: int | None = None, include_metadata: bool = False) -> DataFrame:
+        t = self._tables()
+        rows = documents.listing(t["documents"], offset, min(max(limit, 1), 200), preview_length)
+        return documents.with_metadata(rows, t["tags"], t["languages"]).orderBy(F.desc("updated_at"), "id") if include_metadata else rows
+
+    def get_tags(self, document_id: str) -> DataFrame:
+        return documents.children(self.store.table("document_tags"), document_id, "tag")
+
+    def get_languages(self, document_id: str) -> DataFrame:
+        return documents.children(self.store.table("document_languages"), document_id, "language_code")
+
+    def get_chunk(self, chunk_id: str) -> DataFrame:
+        return documents.by_id(self.store.table("chunks"), chunk_id)
+
+    def hits(self, text: str, limit: int = 10, offset: int = 0, filters: dict | None = None) -> tuple[DataFrame, DataFrame]:
+        """The best chunks with the metadata of their documents, and their page."""
+        return vector.hits(self._tables(), self.provider.embed(text), limit, offset, filters)
+
+    def features(self) -> dict:
+        """What is switched on, where the store lies, and what the cache of vectors did."""
+        s = self.settings
+        out = {"features": {"indexing": s.indexing, "languages": bool(self.languages), "generated_tags_in_query": s.generated_tags_in_query}, "store": {"path": self.store.path, "version": self.store.version}}
+        cache = getattr(self.provider, "cache", None)
+        return out | ({"vectors": cache.stats()} if cache is not None else {})
 
     def delete_document(self, document_id: str) -> int:
         return self.store.delete_document(document_id)

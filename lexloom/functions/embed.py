@@ -109,6 +109,35 @@ class Failover(Provider):
         return self.batch([text])[0]
 
 
+_providers: dict[tuple, Provider] = {}
+
+
+def shared(make: Callable[[], Provider], *config) -> Provider:
+    """One provider for each configuration and process, made when it is first needed."""
+    if config not in _providers:
+        _providers[config] = make()
+    return _providers[config]
+
+
+class Remembering(Provider):
+    """Asks the provider behind it only for texts that the cache (put, get and key) doesn't hold."""
+
+    def __init__(self, behind: Provider, cache):
+        self.behind, self.cache, self.dimensions, self.model = behind, cache, behind.dimensions, behind.model
+
+    def batch(self, texts: list[str]) -> list[list[float]]:
+        keys = [self.cache.key(self.model, t) for t in texts]
+        found = {k: v for k in dict.fromkeys(keys) if (v := self.cache.get(k)) is not None}
+        todo = {k: t for k, t in zip(keys, texts, strict=True) if k not in found}
+        for k, v in zip(todo, self.behind.batch(list(todo.values())) if todo else [], strict=True):
+            self.cache.put(k, v)
+            found[k] = v
+        return [found[k] for k in keys]
+
+    def embed(self, text: str) -> list[float]:
+        return self.batch([text])[0]
+
+
 def cache_key(model: str, text: Column) -> Column:
     """Case and outer blanks don't matter: such texts share a vector."""
     return F.substring(F.sha2(F.concat(F.lit(f"{model}:"), F.trim(F.lower(text))), 256), 1, 16)

@@ -33,3 +33,22 @@ def session(name: str = "lexloom", master: str | None = None, **conf: str) -> Sp
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where all run on this machine."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = tempfile.mkdtemp(prefix="lexloom-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{base.rstrip('/')}/lexloom-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

@@ -1,15 +1,23 @@
-"""A store of the seven tables as versioned snapshots behind one pointer file.
-
-A change writes a new version: tables that it leaves alone are referred to, not copied. Readers keep the version they opened.
-All files go through Hadoop's file system, so a store may lie wherever Spark reads and writes.
+"""A store of the seven tables as versioned snapshots.
+
+A version is a manifest that names the folders of each table; the newest manifest is the store. Manifests are written beside
+their place and renamed into it, never changed or replaced, so a crash leaves the last version as it was. Appending adds a folder
+to a table, so what is written follows the new rows alone. One writer holds the lock at a time, proven by a token that it
+checks before it publishes; a version that another writer published meanwhile is a conflict, and the change is made again on top of it.
+Readers keep the version they opened. All files go through Hadoop's file system, so a store may lie wherever Spark reads and writes
+and renames are atomic.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +26,38 @@ from lexloom.session import ship
 from lexloom.sources.schema import CHILDREN, TABLES, VERSION, checked, conform, latest_version, schema
 
 STALE_S = 30
+#: How often a conflict is tried again, and the first and the longest wait.
+RETRIES, FIRST_WAIT_S, LONGEST_WAIT_S = 5, 0.1, 5.0
+LOWER = {"document_tags": "tag", "document_languages": "language_code", "keywords": "keyword"}
+Change = Callable[[], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster."""
 
 
 def now() -> str:
     return time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()) + f".{int(time.time() * 1000) % 1000:03d}Z"
 
 
+def retried(action: Callable, retries: int = RETRIES, first: float = FIRST_WAIT_S, longest: float = LONGEST_WAIT_S, sleep: Callable[[float], None] = time.sleep):
+    """action's result; conflicts are tried again after waits that double."""
+    for n in range(retries + 1):
+        try:
+            return action()
+        except Conflict:
+            if n == retries:
+                raise
+            sleep(min(first * 2**n, longest))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = ship(spark), (path or os.environ.get("LEXLOOM_STORE") or "lexloom-store").rstrip("/")
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.Path = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.Path(self.path).getFileSystem(conf)
+        self.fs = self.Path(self.path).getFileSystem(self.conf)
+        self.token: str | None = None
 
     # --- files ---
     def _p(self, *parts: str):
@@ -46,161 +74,343 @@ class Store:
         source.close()
         return data.decode()
 
-    # --- versions ---
-    def exists(self) -> bool:
-        return self.fs.exists(self._p("CURRENT"))
+    def _names(self, *parts: str) -> list[str]:
+        at = self._p(*parts)
+        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
-    def manifest(self, version: int | None = None) -> dict:
-        """Table -> its folder under the store."""
-        version = int(self._read("CURRENT")) if version is None else version
-        return json.loads(self._read("manifests", f"{version}.json"))
+    # --- versions ---
+    def versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
 
     @property
     def version(self) -> int:
-        return int(self._read("CURRENT"))
+        """The newest one; 0 without any."""
+        return max(self.versions(), default=0)
+
+    def exists(self) -> bool:
+        return self.version > 0
+
+    def manifest(self, version: int | None = None) -> dict[str, list[str]]:
+        """Table -> its folders under the store."""
+        return json.loads(self._read("manifests", f"{version or self.version}.json"))
 
     def create(self, force: bool = False) -> Store:
         """Empty tables and the schema version; an existing store is left as it is unless forced."""
         if self.exists() and not force:
             return self
-        tables = {n: self.spark.createDataFrame([], schema(n)) for n in TABLES}
-        tables["schema_version"] = self.spark.createDataFrame([(1, VERSION, now(), "first version")], schema("schema_version"))
-        self._publish(tables, {}, (self.version if self.exists() else 0) + 1)
+        with self.held():
+            before = self.version
+            if not before or force:
+                tables = {n: self.spark.createDataFrame([], schema(n)) for n in TABLES}
+                tables["schema_version"] = self.spark.createDataFrame([(1, VERSION, now(), "first version")], schema("schema_version"))
+                self._publish({n: [self._folder(n, df)] for n, df in tables.items()}, before + 1)
         return self
 
     def open(self) -> Store:
         """Creates what is missing, then checks columns and version."""
         self.create()
         for name in TABLES:
-            checked(name, self.table(name))
+            checked(name, self.spark.read.parquet(*self._paths(name)))
         if (found := latest_version(self.table("schema_version"))) != VERSION:
             raise ValueError(f"the store has version {found}, not {VERSION}")
         return self
 
-    def drop(self, confirm: bool = False) -> None:
+    def drop(self, confirm: bool = False, backup_to: str | None = None) -> None:
+        """Deletes the store; with backup_to it is copied there first."""
         if not confirm:
             raise ValueError("dropping a store must be confirmed")
+        if backup_to:
+            self.backup(folder=backup_to)
         self.fs.delete(self._p(), True)
 
-    def _publish(self, changed: dict[str, DataFrame], kept: dict[str, str], version: int) -> int:
-        folders = dict(kept)
-        for name, df in changed.items():
-            folders[name] = f"data/{name}-{version}-{uuid.uuid4().hex[:8]}"
-            conform(name, df).write.parquet(f"{self.path}/{folders[name]}")
-        self._write(json.dumps(folders), "manifests", f"{version}.json")
-        self._write(str(version), "CURRENT.new")
-        self.fs.delete(self._p("CURRENT"), False)
-        self.fs.rename(self._p("CURRENT.new"), self._p("CURRENT"))
+    def _folder(self, name: str, df: DataFrame) -> str:
+        """df's rows in a new folder that no version names yet."""
+        folder = f"data/{name}-{uuid.uuid4().hex}"
+        conform(name, df).write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _publish(self, folders: dict[str, list[str]], version: int) -> int:
+        """The manifest, complete or not at all. The lock must still be ours and the version's place free."""
+        mine = f".{uuid.uuid4().hex}"
+        self._write(json.dumps(folders), "manifests", mine)
+        if self._owner() != self.token or self.fs.exists(self._p("manifests", f"{version}.json")):
+            self.fs.delete(self._p("manifests", mine), False)
+            raise Conflict(f"version {version} was published by another writer")
+        if not self.fs.rename(self._p("manifests", mine), self._p("manifests", f"{version}.json")):
+            raise Conflict(f"version {version} could not be published")
         return version
 
+    # --- the lock ---
+    def _owner(self) -> str | None:
+        try:
+            return json.loads(self._read("LOCK"))["token"]
+        except Exception:  # no lock, or one that is being written
+            return None
+
     def lock(self) -> None:
-        """One writer; a lock older than STALE_S is taken over."""
+        """One writer. A lock without a sign of life for STALE_S is taken over."""
         at = self._p("LOCK")
         if self.fs.exists(at) and time.time() * 1000 - self.fs.getFileStatus(at).getModificationTime() > STALE_S * 1000:
             self.fs.delete(at, False)
+        token = uuid.uuid4().hex
         try:
-            self._write(f"{os.getpid()} {now()}", "LOCK", overwrite=False)
+            self._write(json.dumps({"token": token, "pid": os.getpid(), "at": now()}), "LOCK", overwrite=False)
         except Exception as e:
-            raise RuntimeError("another writer holds the store") from e
+            raise Conflict("another writer holds the store") from e
+        self.token = token
 
     def unlock(self) -> None:
-        self.fs.delete(self._p("LOCK"), False)
-
-    def replace(self, changed: dict[str, DataFrame]) -> int:
-        """A new version with these tables changed."""
+        """Gives back our own lock; another's stays."""
+        if self.token and self._owner() == self.token:
+            self.fs.delete(self._p("LOCK"), False)
+        self.token = None
+
+    @contextmanager
+    def held(self):
+        """The lock, with a sign of life while the work goes on."""
         self.lock()
+        done, token = threading.Event(), self.token
+
+        def beat():
+            while not done.wait(STALE_S / 3):
+                if self._owner() == token:
+                    self.fs.setTimes(self._p("LOCK"), int(time.time() * 1000), -1)
+
+        thread = threading.Thread(target=beat, daemon=True)
+        thread.start()
         try:
-            kept = {n: f for n, f in self.manifest().items() if n not in changed}
-            return self._publish(changed, kept, self.version + 1)
+            yield
         finally:
+            done.set()
+            thread.join()
             self.unlock()
 
+    def commit(self, change: Change, retries: int = RETRIES) -> int:
+        """A new version. change reads the current one, under the lock, and gives tables that are replaced and rows that are added."""
+
+        def once() -> int:
+            with self.held():
+                before = self.version
+                folders = self.manifest(before)
+                replaced, added = change()
+                folders |= {n: [self._folder(n, df)] for n, df in replaced.items()}
+                for n, df in added.items():
+                    folders[n] = [*folders[n], self._folder(n, df)]
+                return self._publish(folders, before + 1)
+
+        return retried(once, retries)
+
+    @contextmanager
+    def staging(self):
+        """Gives a function that writes rows under the store and reads them back; they go when the block ends."""
+        at = f"staging/{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{self.path}/{at}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield keep
+        finally:
+            self.fs.delete(self._p(*at.split("/")), True)
+
+    def replace(self, changed: dict[str, DataFrame]) -> int:
+        """A new version with these tables changed."""
+        return self.commit(lambda: (changed, {}))
+
     # --- reading ---
+    def _paths(self, name: str, version: int | None = None) -> list[str]:
+        return [f"{self.path}/{f}" for f in self.manifest(version)[name]]
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(schema(name)).parquet(f"{self.path}/{self.manifest(version)[name]}")
+        return self.spark.read.schema(schema(name)).parquet(*self._paths(name, version))
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {n: self.table(n) for n in TABLES}
+    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
+        """All of one version."""
+        version = version or self.version
+        return {n: self.table(n, version) for n in TABLES}
 
     # --- writing ---
-    def append(self, rows: dict[str, DataFrame]) -> int:
-        """Rows added to tables. Tags, codes and keywords are lower-cased; chunks and code blocks without an embedding are left out."""
+    @staticmethod
+    def accepted(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Rows as they are stored: tags, codes and keywords lower-cased, chunks and code blocks without an embedding left out."""
         out = {}
         for name, df in rows.items():
-            for c in {"document_tags": "tag", "document_languages": "language_code", "keywords": "keyword"}.get(name, "").split():
+            if c := LOWER.get(name):
                 df = df.withColumn(c, F.lower(c))
-            if name in ("chunks", "code_blocks"):
-                df = df.filter(F.size("embedding") > 0)
-            out[name] = self.table(name).unionByName(conform(name, df))
-        return self.replace(out)
+            out[name] = df.filter(F.size("embedding") > 0) if name in ("chunks", "code_blocks") else df
+        return out
 
-    def delete(self, condition: Column) -> int:
-        """The documents that meet the condition, and all rows of theirs."""
+    def append(self, rows: dict[str, DataFrame]) -> int:
+        """Rows added to tables, as folders of their own."""
+        return self.commit(lambda: ({}, self.accepted(rows)))
+
+    def without(self, condition: Column) -> dict[str, DataFrame]:
+        """The tables less the documents that meet the condition and all rows of theirs."""
         docs = self.table("documents")
         gone = docs.filter(F.coalesce(condition, F.lit(False))).select(F.col("id").alias("document_id"))
+        return self.less(gone)
+
+    def less(self, gone: DataFrame) -> dict[str, DataFrame]:
+        """The tables without the documents of gone (document_id)."""
         out = {n: self.table(n).join(gone, "document_id", "left_anti") for n in CHILDREN}
-        out["documents"] = docs.join(gone, docs["id"] == gone["document_id"], "left_anti")
-        return self.replace(out)
+        out["documents"] = self.table("documents").join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti")
+        return out
+
+    def delete(self, condition: Column) -> int:
+        """The documents that meet the condition, and all rows of theirs."""
+        return self.commit(lambda: (self.without(condition), {}))
 
     def delete_document(self, document_id: str) -> int:
         return self.delete(F.col("id") == F.lit(document_id))
 
     def delete_crawl(self, crawl_id: str) -> tuple[int, int]:
         """Version, and how many documents went."""
-        n = self.table("documents").filter(F.col("crawl_id") == F.lit(crawl_id)).count()
-        return self.delete(F.col("crawl_id") == F.lit(crawl_id)), n
+        before = self.version
+        after = self.delete(F.col("crawl_id") == F.lit(crawl_id))
+        return after, self.table("documents", before).filter(F.col("crawl_id") == F.lit(crawl_id)).count()
 
     def remove_chunks(self, document_id: str) -> int:
-        return self.replace({"chunks": self.table("chunks").filter(F.col("document_id") != F.lit(document_id))})
+        return self.commit(lambda: ({"chunks": self.table("chunks").filter(F.col("document_id") != F.lit(document_id))}, {}))
 
-    def update_counts(self) -> int:
-        """chunks_count and code_blocks_count from the rows there are."""
+    def counted(self) -> DataFrame:
+        """The documents with chunks_count and code_blocks_count from the rows there are."""
         docs = self.table("documents")
         for name, column in (("chunks", "chunks_count"), ("code_blocks", "code_blocks_count")):
             n = self.table(name).groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("n"))
             docs = docs.join(n, "id", "left")
             docs = docs.withColumn("updated_at", F.when(F.coalesce("n", F.lit(0)) != F.coalesce(column, F.lit(-1)), F.lit(now())).otherwise(F.col("updated_at"))).withColumn(column, F.coalesce("n", F.lit(0))).drop("n")
-        return self.replace({"documents": docs})
-
-    # --- backups ---
-    def backup(self, keep: int = 7) -> dict:
-        """Marks the current version as one to keep, and forgets the oldest beyond `keep`."""
-        began = time.time()
-        folders = self.manifest()
-        size = sum(self.fs.getContentSummary(self._p(f)).getLength() for f in folders.values())
-        entry = {"id": uuid.uuid4().hex, "version": self.version, "timestamp": now(), "success": True, "duration_ms": int((time.time() - began) * 1000), "size": size}
-        history = sorted([*self.backups(), entry], key=lambda e: e["timestamp"], reverse=True)[:keep]
-        self._write(json.dumps(history), "backups.json")
-        return entry
+        return docs
 
-    def backups(self) -> list[dict]:
-        """Newest first."""
-        return json.loads(self._read("backups.json")) if self.fs.exists(self._p("backups.json")) else []
+    def update_counts(self) -> int:
+        return self.commit(lambda: ({"documents": self.counted()}, {}))
 
-    def forget_backup(self, backup_id: str) -> bool:
-        left = [e for e in self.backups() if e["id"] != backup_id]
-        found = len(left) < len(self.backups())
-        self._write(json.dumps(left), "backups.json")
-        return found
+    def compact(self, most: int = 1) -> int:
+        """Tables of more than so many folders become one folder each."""
+        many = [n for n, f in self.manifest().items() if len(f) > most]
+        return self.commit(lambda: ({n: self.table(n) for n in many}, {})) if many else self.version
 
-    def restore(self, backup_id: str) -> int:
-        """A new version with the tables of an old one."""
-        entry = next(e for e in self.backups() if e["id"] == backup_id)
-        self.lock()
+    # --- backups ---
+    def backup(self, keep: int = 7, folder: str | None = None) -> dict:
+        """Copies the current version beside the store (or to folder), by Spark's tasks, and forgets the oldest copies beyond `keep`."""
+        began, version = time.time(), self.version
+        entry = {"id": uuid.uuid4().hex, "version": version, "timestamp": now(), "folder": folder or self.backup_folder()}
+        at = f"{entry['folder']}/{entry['id']}"
         try:
-            return self._publish({}, self.manifest(entry["version"]), self.version + 1)
-        finally:
-            self.unlock()
+            for name, df in self.tables(version).items():
+                df.write.parquet(f"{at}/{name}")
+            size, success = self.fs.getContentSummary(self.Path(at)).getLength(), True
+        except Exception as e:  # a failed copy is part of the history
+            size, success, entry["error"] = 0, False, str(e)[:500]
+        entry |= {"success": success, "duration_ms": int((time.time() - began) * 1000), "size": size}
+        history = [*self.backups(entry["folder"]), entry]
+        old = sorted((e for e in history if e["success"]), key=lambda e: e["timestamp"], reverse=True)[keep:]
+        for e in old:
+            self.fs.delete(self.Path(f"{e['folder']}/{e['id']}"), True)
+        self._history([e for e in history if e not in old], entry["folder"])
+        return entry
 
-    def vacuum(self) -> int:
-        """Deletes data that neither the current version nor a backup refers to; how many folders went."""
-        held = {f for v in {self.version, *(e["version"] for e in self.backups())} for f in self.manifest(v).values()}
-        found = [s.getPath() for s in self.fs.listStatus(self._p("data"))]
-        gone = [p for p in found if f"data/{p.getName()}" not in held]
-        for p in gone:
-            self.fs.delete(p, True)
-        return len(gone)
+    def backup_folder(self) -> str:
+        """Outside the store, so that a dropped or damaged store can come back."""
+        return f"{self.path}-backups"
 
+    def _history(self, entries: list[dict], folder: str) -> None:
+        out = self.fs.create(self.Path(f"{folder}/history.json"), True)
+        out.write(bytearray(json.dumps(entries).encode()))
+        out.close()
 
-def open_store(spark: SparkSession, path: str | None = None) -> Store:
-    return Store(spark, path).open()
+    def backups(self, folder: str | None = None) -> list[dict]:
+        """Newest first."""
+        at = self.Path(f"{folder or self.backup_folder()}/history.json")
+        if not self.fs.exists(at):
+            return []
+        source = self.fs.open(at)
+        data = bytes(source.readAllBytes())
+        source.close()
+        return sorted(json.loads(data), key=lambda e: e["timestamp"], reverse=True)
+
+    def forget_backup(self, backup_id: str, folder: str | None = None) -> bool:
+        every = self.backups(folder)
+        gone = [e for e in every if e["id"] == backup_id]
+        for e in gone:
+            self.fs.delete(self.Path(f"{e['folder']}/{e['id']}"), True)
+            self._history([x for x in every if x["id"] != backup_id], e["folder"])
+        return bool(gone)
+
+    def restore(self, backup_id: str, folder: str | None = None) -> int:
+        """A new version with the tables of a copy; the store may be gone. Until it is published, the current version stays."""
+        entry = next(e for e in self.backups(folder) if e["id"] == backup_id and e["success"])
+
+        def once() -> int:
+            with self.held():
+                before = self.version
+                tables = {n: self.spark.read.schema(schema(n)).parquet(f"{entry['folder']}/{entry['id']}/{n}") for n in TABLES}
+                return self._publish({n: [self._folder(n, df)] for n, df in tables.items()}, before + 1)
+
+        return retried(once)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes manifests but the newest `keep`, and the data that none of these names; how many folders went. No reader may be on an older version."""
+        with self.held():
+            versions = self.versions()
+            held = {f for v in versions[-keep:] for folders in self.manifest(v).values() for f in folders}
+            for v in versions[:-keep]:
+                self.fs.delete(self._p("manifests", f"{v}.json"), False)
+            gone = [n for n in self._names("data") if f"data/{n}" not in held]
+            for n in gone:
+                self.fs.delete(self._p("data", n), True)
+            return len(gone)
+
+
+def open_store(spark: SparkSession, path: str | None = None, attempts: int = 4, wait_s: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Store:
+    """The store, ready. Opening is tried again after waits that double; a wrong schema is not."""
+    for n in range(attempts):
+        try:
+            return Store(spark, path).open()
+        except ValueError:
+            raise
+        except Exception:
+            if n == attempts - 1:
+                raise
+            sleep(wait_s * 2**n)
+    raise ValueError("at least one attempt is needed")
+
+
+def next_backup(schedule: str, after: datetime) -> datetime:
+    """When a schedule (minute hour day month weekday, as cron has it; numbers, lists, ranges, steps and stars) comes up next."""
+    spans = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+    parts = schedule.split()
+    if len(parts) != 5:
+        raise ValueError(f"not a schedule: {schedule}")
+    allowed = []
+    for part, (low, high) in zip(parts, spans, strict=True):
+        values: set[int] = set()
+        for item in part.split(","):
+            span, _, step = item.partition("/")
+            a, _, b = span.partition("-")
+            first, last = (low, high) if span == "*" else (int(a), int(b or (high if step else a)))
+            if not low <= first <= last <= high:
+                raise ValueError(f"not a schedule: {schedule}")
+            values.update(range(first, last + 1, int(step or 1)))
+        allowed.append(values)
+    minutes, hours, days, months, weekdays = allowed
+    weekdays = {d % 7 for d in weekdays}
+    either = parts[2] != "*" and parts[4] != "*"
+    day = datetime(after.year, after.month, after.day, tzinfo=after.tzinfo)
+    for _ in range(366 * 8):
+        own, week = day.day in days, (day.weekday() + 1) % 7 in weekdays
+        if day.month in months and (own or week if either else own and week):
+            for h in sorted(hours):
+                for m in sorted(minutes):
+                    at = day.replace(hour=h, minute=m)
+                    if at > after:
+                        return at
+        day += timedelta(days=1)
+    raise ValueError(f"never comes up: {schedule}")
+
+
+def backup_due(store: Store, schedule: str = "0 2 * * *", at: datetime | None = None) -> bool:
+    """Whether the schedule came up since the last successful copy; a job runner asks, and calls backup()."""
+    done = [e["timestamp"] for e in store.backups() if e["success"]]
+    return not done or next_backup(schedule, datetime.strptime(done[0], "%Y-%m-%dT%H:%M:%S.%fZ")) <= (at or datetime.strptime(now(), "%Y-%m-%dT%H:%M:%S.%fZ"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,31 +13,73 @@ from pyspark.sql import functions as F
 #: Extensions that are read, and how deep folders are followed.
 SUPPORTED = ["txt", "md", "pdf"]
 DEPTH = 10
+COLUMNS = "path string, modificationTime timestamp, length long, content binary"
+
+
+def local(path: str) -> str | None:
+    """The path on this machine's disk, if it is one."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return "/" + rest.lstrip("/") if scheme == "file" else None
+
+
+def real(path: str) -> str:
+    """Links and dots resolved where the driver can see them, dots alone elsewhere."""
+    import posixpath
+
+    own = local(path)
+    return os.path.realpath(own) if own else posixpath.normpath(path)
+
+
+def inside(path: str, folder: str) -> bool:
+    """Whether a path lies in the folder, links and dots resolved."""
+    a, b = real(path), real(folder)
+    return a == b or a.startswith(b.rstrip("/") + "/")
+
+
+def paths(spark: SparkSession, folder: str, depth: int = DEPTH) -> list[str]:
+    """The folder's files down to a depth. Links are followed; a folder that was seen under another name is not read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, seen, out = deque([(place(folder), 0)]), set(), []
+    while todo:
+        at, level = todo.popleft()
+        if level > depth or (own := real(at.toUri().getPath() if local(at.toString()) else at.toString())) in seen:
+            continue
+        seen.add(own)
+        for s in sorted(fs.listStatus(at), key=lambda s: s.getPath().getName()):
+            if s.isDirectory():
+                todo.append((s.getPath(), level + 1))
+            else:
+                out.append(s.getPath().toString())
+    return out
+
+
+def files(spark: SparkSession, found: list[str]) -> DataFrame:
+    """Rows of binaryFile with title and extension; no file's bytes are read unless content is asked for."""
+    rows = spark.read.format("binaryFile").load(found) if found else spark.createDataFrame([], COLUMNS)
+    title = F.element_at(F.split("path", "/"), -1)
+    extension = F.when(title.contains("."), F.lower(F.element_at(F.split(title, "\\."), -1))).otherwise("")
+    return rows.withColumns({"title": title, "extension": extension})
 
 
 def listed(spark: SparkSession, folder: str, depth: int = DEPTH) -> DataFrame:
     """name, path, size, modified, extension, supported; by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
-    name = F.element_at(F.split("path", "/"), -1)
-    extension = F.when(name.contains("."), F.lower(F.element_at(F.split(name, "\\."), -1))).otherwise("")
-    below = F.size(F.split("path", "/")) - len(folder.split("://")[-1].strip("/").split("/"))
-    out = files.select(name.alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), extension.alias("extension"), extension.isin(SUPPORTED).alias("supported"), below.alias("below"))
-    start = F.when(F.col("path").contains(":///"), 3).when(F.col("path").contains("://"), 3).otherwise(2)  # parts of the path before its own
-    return out.filter(F.col("below") - start < depth + 1).drop("below").orderBy("name", "path")
+    rows = files(spark, paths(spark, folder, depth))
+    return rows.select(F.col("title").alias("name"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "extension", F.col("extension").isin(SUPPORTED).alias("supported")).orderBy("name", "path")
 
 
-def read(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """title, extension, content, error of the supported files. pdf: reads a PDF's pages to text; without it PDFs are errors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    title = F.element_at(F.split("path", "/"), -1)
-    extension = F.lower(F.element_at(F.split(title, "\\."), -1))
-    files = files.select(title.alias("title"), extension.alias("extension"), F.col("path"), F.col("content").alias("data")).filter(extension.isin(SUPPORTED))
+def texts(rows: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """title, extension, path, content, error of files. pdf: reads a PDF's pages to text; without it PDFs are errors."""
 
     @F.pandas_udf("content string, error string")
-    def texts(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    def read_all(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
         out = []
         for d, k in zip(data, kind, strict=True):
             try:
+                if k not in SUPPORTED:
+                    raise ValueError(f"no reader for .{k}")
                 if k == "pdf" and pdf is None:
                     raise ValueError("no reader for PDF")
                 t = pdf(bytes(d)) if k == "pdf" else bytes(d).decode("utf-8", "replace")
@@ -46,12 +90,17 @@ def read(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None =
                 out.append((None, str(e)))
         return pd.DataFrame(out, columns=["content", "error"])
 
-    return files.withColumn("t", texts("data", "extension")).select("title", "extension", "path", "t.content", "t.error")
+    return rows.withColumn("t", read_all("content", "extension")).select("title", "extension", "path", "t.content", "t.error")
 
 
-def inside(path: str, folder: str) -> bool:
-    """Whether a path lies in the folder, dots resolved."""
-    import posixpath
+def read(spark: SparkSession, folder: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """The supported files of the folder."""
+    return texts(files(spark, paths(spark, folder)).filter(F.col("extension").isin(SUPPORTED)), pdf)
 
-    a, b = posixpath.normpath(path), posixpath.normpath(folder)
-    return a == b or a.startswith(b.rstrip("/") + "/")
+
+def read_one(spark: SparkSession, folder: str, path: str, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
+    """One file, by a path within the folder or from its top; a path that leads out of the folder is an error."""
+    at = path if path.startswith("/") or ":" in path.split("/")[0] else f"{folder.rstrip('/')}/{path}"
+    if not inside(at, folder):
+        raise ValueError(f"not in the folder of uploads: {path}")
+    return texts(files(spark, [at]), pdf)

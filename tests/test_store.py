@@ -1,6 +1,9 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom.__main__ import main
 from lexloom.api import Tools
 from lexloom.functions.embed import Sine
 from lexloom.operators import hybrid, validate
@@ -8,7 +11,7 @@ from lexloom.plans.config import Settings
 from lexloom.plans.ingest import ingest
 from lexloom.sources import schema, uploads
 from lexloom.sources.crawl import Crawl, reachable
-from lexloom.sources.store import Store, open_store
+from lexloom.sources.store import Conflict, Store, backup_due, next_backup, open_store, retried
 from lexloom.streaming.uploads import watch
 
 
@@ -113,3 +116,141 @@ def test_store(spark, tmp_path):
         store.drop()
     store.drop(confirm=True)
     assert not store.exists()
+
+
+def test_a_crash_leaves_the_last_version(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"))
+    raw = spark.createDataFrame([("t", "some words")], "title string, content string")
+    ingest(store, raw, sine, "sine")
+    kept = store.version
+    class Broken:
+        def __getattr__(self, name):
+            return getattr(store_fs, name)
+
+        def rename(self, *a):
+            raise OSError("the machine is gone")
+
+    store_fs = store.fs
+    store.fs = Broken()
+    with pytest.raises(OSError):
+        ingest(store, raw.withColumn("title", F.lit("u")), sine, "sine")
+    store.fs = store_fs
+    again = open_store(spark, str(tmp_path / "s"))
+    assert again.version == kept and again.table("documents").count() == 1
+    ingest(again, raw.withColumn("title", F.lit("u")), sine, "sine")
+    assert again.table("documents").count() == 2 and again.vacuum() > 0 and again.table("documents").count() == 2
+
+
+def test_two_writers(spark, tmp_path):
+    """One that lost its lock can't publish, nor take the other's lock away; the other's rows stay."""
+    a, b = open_store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    tag = lambda n: {"document_tags": spark.createDataFrame([(n, "d", n, False, "")], schema.schema("document_tags"))}
+    a.lock()
+    a.fs.setTimes(a._p("LOCK"), 1, -1)  # no sign of life
+    with b.held():
+        a.unlock()
+        assert b._owner() == b.token
+        with pytest.raises(Conflict):
+            a._publish({}, a.version + 1)
+    before = a.manifest()
+
+    calls = []
+
+    def change():
+        if not calls:  # while a works, b publishes
+            b.token = a.token
+            b._publish(before | {"document_tags": [b._folder("document_tags", tag("b")["document_tags"])]}, a.version + 1)
+        calls.append(1)
+        return {}, tag("a")
+
+    a.commit(change)
+    assert len(calls) == 2
+    assert {r["tag"] for r in a.table("document_tags").collect()} == {"a", "b"}
+
+
+def test_append_writes_new_rows_only(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"))
+    rows = lambda n: {"document_tags": spark.range(n).selectExpr("uuid() AS id", "'d' AS document_id", "uuid() AS tag", "false AS is_generated", "'' AS created_at")}
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "s/data").rglob("*.parquet"))
+    store.append(rows(20_000))
+    big = size()
+    store.append(rows(10))
+    assert size() - big < big / 20 and store.table("document_tags").count() == 20_010
+    store.compact()
+    assert len(store.manifest()["document_tags"]) == 1 and store.table("document_tags").count() == 20_010
+
+
+class Counting(Sine):
+    def __init__(self, path):
+        super().__init__(8)
+        self.path = path
+
+    def batch(self, texts):
+        with open(self.path, "a") as f:
+            f.writelines("x\n" for _ in texts)
+        return super().batch(texts)
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    store, log = open_store(spark, str(tmp_path / "s")), str(tmp_path / "calls")
+    raw = spark.createDataFrame([(f"t{i}", f"# words\n\n```js\nlet a = {i}\n```\nand {i}", "api") for i in range(5)], "title string, content string, source string")
+    ingest(store, raw.unionByName(raw), lambda: Counting(log), "sine")
+    t = store.tables()
+    n = t["chunks"].select("content").distinct().count() + t["code_blocks"].select("content").distinct().count()
+    assert len(open(log).readlines()) == n and t["documents"].count() == 5
+    assert validate.validate({k: t[k] for k in ("documents", "chunks", "code_blocks")}).count() == 0
+    before = store.version
+    ingest(store, raw.limit(2), sine, "sine", replace_titles=True)
+    assert store.version == before + 1 and store.table("documents").count() == 5
+
+
+def test_backups(spark, tmp_path):
+    store = open_store(spark, str(tmp_path / "s"))
+    ingest(store, spark.createDataFrame([("t", "some words")], "title string, content string"), sine, "sine")
+    assert backup_due(store)
+    copies = [store.backup(keep=2) for _ in range(3)]
+    assert [e["id"] for e in store.backups()] == [copies[2]["id"], copies[1]["id"]] and not backup_due(store)
+    store.drop(confirm=True)
+    assert not store.exists() and store.restore(copies[2]["id"]) == 1 and store.table("documents").count() == 1
+    at = datetime(2024, 2, 28, 3)
+    assert next_backup("0 2 * * *", at) == datetime(2024, 2, 29, 2) and next_backup("30 3 * * 0", at) == datetime(2024, 3, 3, 3, 30)
+    assert next_backup("*/20 4-5 1 1,6 *", at) == datetime(2024, 6, 1, 4) and next_backup("0 0 13 * 5", at) == datetime(2024, 3, 1)
+    with pytest.raises(ValueError):
+        next_backup("61 * * * *", at)
+
+
+def test_opening_is_tried_again(spark, tmp_path, monkeypatch):
+    waits, real = [], Store.open
+
+    def flaky(self):
+        if len(waits) < 2:
+            raise OSError("not yet")
+        return real(self)
+
+    monkeypatch.setattr(Store, "open", flaky)
+    assert open_store(spark, str(tmp_path / "s"), sleep=waits.append).exists() and waits == [0.5, 1.0]
+    tries = []
+    with pytest.raises(Conflict):
+        retried(lambda: (_ for _ in ()).throw(Conflict("x")), sleep=tries.append)
+    assert tries == [0.1, 0.2, 0.4, 0.8, 1.6]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = str(tmp_path / "s")
+    assert main(["init", path], spark) == 0 and main(["init", path], spark) == 1 and main(["drop", path], spark) == 1
+    assert main(["stats", path], spark) == 0 and '"documents": 0' in capsys.readouterr().out
+    assert main(["drop", path, "--confirm", "--backup-to", str(tmp_path / "b")], spark) == 0
+    assert main(["restore", path, "--backup-to", str(tmp_path / "b")], spark) == 0 and main(["validate", path], spark) == 0
+
+
+def test_single_uploads(spark, tools, tmp_path):
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up/a.txt").write_text("alpha words")
+    (tmp_path / "secret.txt").write_text("no")
+    (tmp_path / "up/link.txt").symlink_to(tmp_path / "secret.txt")
+    assert tools.process_upload(str(tmp_path / "up"), "a.txt", title="Other")["processed"] == 1
+    assert tools.list_documents(include_metadata=True).first()["title"] == "Other"
+    for path in ("../secret.txt", "link.txt", str(tmp_path / "secret.txt")):
+        with pytest.raises(ValueError):
+            tools.process_upload(str(tmp_path / "up"), path)
+    assert tools.features()["store"]["version"] == tools.store.version
