@@ -49,3 +49,9 @@ def merged(candidates: DataFrame, keyword_rows: DataFrame, query: str, threshold
 def keep_best(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union by document_id with the higher score."""
     return a.select("document_id", "score").unionByName(b.select("document_id", "score")).groupBy("document_id").agg(F.max("score").alias("score"))
+
+
+def intersected(hits: DataFrame, keyword_rows: DataFrame, query: str, key: str = "document_id") -> DataFrame:
+    """Hits of documents that have any of the query's keywords; all of them for a query without keywords."""
+    words = query_keywords(query)
+    return hits.join(search(keyword_rows, words).select(F.col("document_id").alias(key)), key, "left_semi") if words else hits

@@ -70,6 +70,50 @@ class Chat(Reranker):
         return sorted(((i, named.get(i, 0.0)) for i in range(len(texts))), key=lambda x: (-x[1], x[0]))[:top_k]
 
 
+class Process(Reranker):
+    """A program of this machine: called with the query and the texts as JSON on its input, answers with JSON: results (index, score) or an error."""
+
+    def __init__(self, command: list[str], timeout_s: float = 30.0, most: int = 50):
+        self.command, self.timeout_s, self.most = command, timeout_s, most
+
+    def rerank(self, query: str, texts: list[str], top_k: int) -> list[tuple[int, float]]:
+        import json
+        import subprocess
+
+        if not texts:
+            return []
+        texts = texts[: self.most]
+        asked = json.dumps({"query": query, "documents": texts, "top_k": top_k})
+        done = subprocess.run(self.command, input=asked, capture_output=True, text=True, timeout=self.timeout_s, check=False)
+        if done.returncode:
+            raise RuntimeError(f"the reranker ended with {done.returncode}: {done.stderr[-500:]}")
+        answer = json.loads(done.stdout)
+        if answer.get("error"):
+            raise RuntimeError(answer["error"])
+        found = [(int(r["index"]), float(r["score"])) for r in answer["results"] if 0 <= int(r["index"]) < len(texts)]
+        return sorted(found, key=lambda x: (-x[1], x[0]))[:top_k]
+
+
+def local_scores(query: str, texts: list[str], top_k: int) -> list[tuple[int, float]]:
+    """What such a program does without a model: shared over all distinct lower-case words."""
+    asked = set(query.lower().split())
+    scores = [len(asked & own) / len(asked | own) if asked | own else 0.0 for own in (set(t.lower().split()) for t in texts)]
+    return sorted(enumerate(scores), key=lambda x: (-x[1], x[0]))[:top_k]
+
+
+def main() -> None:
+    """The program: reads a request from its input."""
+    import json
+    import sys
+
+    try:
+        asked = json.load(sys.stdin)
+        answer = {"results": [{"index": i, "score": s} for i, s in local_scores(asked["query"], asked["documents"], int(asked.get("top_k", 10)))]}
+    except Exception as e:  # the caller reads the error
+        answer = {"error": str(e)}
+    print(json.dumps(answer))
+
+
 @dataclass
 class Settings:
     provider: str | None = None
@@ -99,3 +143,7 @@ def with_model(candidates: DataFrame, query: str, text_col: str, model: Reranker
     kind = candidates.schema[id_col].dataType.simpleString()
     ranked = spark.createDataFrame([(rows[i][id_col], s) for i, s in order], f"`{id_col}` {kind}, rerank_score double")
     return first.join(F.broadcast(ranked), id_col)
+
+
+if __name__ == "__main__":
+    main()

@@ -103,71 +103,145 @@ def index_choice(rows: int, dimension: int, prefer_hnsw: bool = True, hnsw_enabl
     return {"type": "ivf_pq", "label": "IVF_PQ", "cells": cells, "sub_vectors": parts}
 
 
+def matrix(column) -> np.ndarray:
+    """An Arrow column of vectors of one length, as rows."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def ivf_sample(chunks: DataFrame, embedding: str = "embedding", sample: int = 50_000) -> np.ndarray:
+    """At most `sample` vectors of the length that most of these have, the first by a hash of the vector, as unit rows."""
+    rows = [r[0] for r in chunks.filter(F.size(embedding) > 0).select(embedding).orderBy(F.xxhash64(embedding)).limit(sample).collect()]
+    sizes = [len(r) for r in rows]
+    d = max(set(sizes), key=lambda n: (sizes.count(n), n)) if len(set(sizes)) > 1 else sizes[0] if sizes else 0
+    return unit(np.array([r for r in rows if len(r) == d], float).reshape(-1, d) if d else np.zeros((0, 1)))
+
+
 def ivf_fit(chunks: DataFrame, cells: int, embedding: str = "embedding", sample: int = 50_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Centroids by k-means on at most `sample` vectors, the first by a hash of the vector."""
-    rows = chunks.filter(F.size(embedding) > 0).select(embedding).orderBy(F.xxhash64(embedding)).limit(sample).collect()
-    x = np.array([r[0] for r in rows], float)
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    """Centroids by k-means on a bounded sample (ivf_sample); none without vectors."""
+    x = ivf_sample(chunks, embedding, sample)
+    if not len(x):
+        return x
     c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
         near = (x @ c.T).argmax(axis=1)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
-        c = np.where(np.bincount(near, minlength=len(c))[:, None] > 0, sums, c)
-        c /= np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-12)
+        c = unit(np.where(np.bincount(near, minlength=len(c))[:, None] > 0, sums, c))
     return c
 
 
+def ivf_probes(chunks: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.95, queries: int = 200, embedding: str = "embedding", sample: int = 50_000) -> int:
+    """How many cells a search must probe for this share of the true neighbours: measured on the bounded sample, where every row is held against every 1 in len / queries."""
+    x = ivf_sample(chunks, embedding, sample)
+    if len(x) <= k or not len(centroids):
+        return max(1, len(centroids))
+    q = x[:: max(1, len(x) // queries)]
+    cell = (x @ centroids.T).argmax(axis=1)
+    rank = np.empty((len(q), len(centroids)), int)  # of each cell for each query
+    np.put_along_axis(rank, np.argsort(-(q @ centroids.T), axis=1, kind="stable"), np.arange(len(centroids))[None], axis=1)
+    best = np.concatenate([np.argpartition(-(q[at : at + 50] @ x.T), k, axis=1)[:, :k] for at in range(0, len(q), 50)])
+    met = np.sort(np.take_along_axis(rank, cell[best], axis=1).ravel())
+    return int(met[math.ceil(recall * len(met)) - 1]) + 1
+
+
 def ivf_assign(chunks: DataFrame, centroids: np.ndarray, embedding: str = "embedding") -> DataFrame:
-    """Every row with its cell; written partitioned by cell, a search reads only the cells it probes."""
+    """Every row that has a vector of the centroids' length with its cell; written partitioned by cell, a search reads only the cells it probes."""
 
     @F.pandas_udf("int")
     def cell(v: pd.Series) -> pd.Series:
         return pd.Series((np.stack(v.to_numpy()).astype(float) @ centroids.T).argmax(axis=1)) if len(v) else pd.Series([], dtype=int)
 
-    return chunks.filter(F.size(embedding) > 0).withColumn("cell", cell(embedding))
+    if not len(centroids):
+        return chunks.withColumn("cell", F.lit(0)).limit(0)
+    return chunks.filter(F.size(embedding) == centroids.shape[1]).withColumn("cell", cell(embedding))
 
 
 def ivf_topk(indexed: DataFrame, centroids: np.ndarray, query, k: int, probes: int = 8, id_col: str = "id", embedding: str = "embedding") -> DataFrame:
     """The k best rows of the probed cells, scored exactly."""
-    near = np.argsort(-(centroids @ np.asarray(list(query), float)), kind="stable")[:probes]
-    return topk(indexed.filter(F.col("cell").isin([int(x) for x in near])), query, k, id_col, embedding=embedding)
+    q = np.asarray(list(query), float)
+    near = np.argsort(-(centroids @ q), kind="stable")[:probes] if len(centroids) and centroids.shape[1] == len(q) else []
+    return topk(indexed.filter(F.col("cell").isin([int(x) for x in near]) if len(near) else F.lit(False)), query, k, id_col, embedding=embedding)
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", embedding: str = "embedding", centroids: np.ndarray | None = None, probes: int = 8, block: int = 2000) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "id", embedding: str = "embedding", centroids: np.ndarray | None = None, probes: int = 8, rows_block: int = 1 << 22, query_block: int = 1 << 17) -> DataFrame:
     """query, id, score, nth: for each row of queries (id, embedding) its k best chunks by cosine, then id.
 
-    Queries pass in blocks of bounded size; each task keeps k rows a query, and these meet. With centroids, chunks must have their
-    cell (ivf_assign), and a query only meets the rows of the cells it probes."""
-    own = queries.select(F.col(id_col).alias("query"), F.col(embedding).cast("array<double>").alias("v"))
-    blocks = max(1, -(-own.count() // block))
-    kind = chunks.schema[id_col].dataType.simpleString()
-    rows = chunks.filter(F.size(embedding) > 0).select(F.col(id_col).alias("id"), embedding, "cell" if centroids is not None else F.lit(0).alias("cell"))
-    out = None
-    for b in range(blocks):
-        part = own.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # about `block` queries
-        names, q = [r[0] for r in part], np.array([r[1] for r in part], float).reshape(len(part), -1)
-        q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-12)
-        near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes] if centroids is not None else np.zeros((len(q), 1), int)
-        one = rows.mapInPandas(_block(q, near, names, k, embedding), f"query {queries.schema[id_col].dataType.simpleString()}, id {kind}, score double")
-        out = one if out is None else out.unionByName(one)
+    Rows and queries meet in blocks of so many numbers (rows_block, query_block), each pair of blocks in a task of its own, which hands on k rows a query. With
+    centroids, chunks must have their cell (ivf_assign), and a query only meets the rows of the cells it probes. A query without a vector
+    has no result; rows without one, or with one of another length, are in none."""
+    own = queries.filter(F.size(embedding) > 0).select(F.col(id_col).alias("query"), F.col(embedding).cast("array<double>").alias("v"))
+    rows = chunks.filter(F.size(embedding) > 0).select(F.col(id_col).alias("id"), F.col(embedding).cast("array<double>").alias("v"), "cell" if centroids is not None else F.size(embedding).alias("cell"))
+    if centroids is None:
+        own = own.withColumn("cell", F.size("v"))
+    else:
+
+        @F.pandas_udf("array<int>")
+        def probed(v: pd.Series) -> pd.Series:
+            q = np.stack(v.to_numpy()).astype(float) if len(v) else np.zeros((0, centroids.shape[1]))
+            return pd.Series(list(np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]))
+
+        own = own.filter(F.size("v") == (centroids.shape[1] if len(centroids) else -1)).withColumn("cell", F.explode(probed("v")))
+    # how many blocks of rows and of queries each cell has: a number a cell
+    size = F.sum(F.size("v"))
+    parts = rows.groupBy("cell").agg(F.ceil(size / rows_block).alias("rows")).join(own.groupBy("cell").agg(F.ceil(size / query_block).alias("queries")), "cell")
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    a = rows.join(F.broadcast(parts), "cell").withColumn("a", F.pmod(F.xxhash64("id"), F.col("rows"))).withColumn("b", to("queries")).select("cell", "a", "b", "id", "v")
+    b = own.join(F.broadcast(parts), "cell").withColumn("b", F.pmod(F.xxhash64("query"), F.col("queries"))).withColumn("a", to("rows")).select("cell", "a", "b", "query", "v")
+    kinds = f"query {queries.schema[id_col].dataType.simpleString()}, id {chunks.schema[id_col].dataType.simpleString()}, score double"
+    found = b.groupBy("cell", "a", "b").cogroup(a.groupBy("cell", "a", "b")).applyInArrow(_nearest(k), kinds)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return out.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
-
-
-def _block(q: np.ndarray, near: np.ndarray, names: list, k: int, embedding: str):
-    def run(batches):
-        held = pd.DataFrame({"q": [], "id": [], "score": []})
-        for df in batches:
-            parts = [held]
-            for cell, own in df.groupby("cell"):
-                asked = np.flatnonzero((near == cell).any(axis=1))
-                if len(asked) and len(own):
-                    m = np.stack(own[embedding].to_numpy()).astype(float)
-                    m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-                    score = (1 + m @ q[asked].T) / 2
-                    parts.append(pd.DataFrame({"q": np.tile(asked, len(own)), "id": np.repeat(own["id"].to_numpy(), len(asked)), "score": score.ravel()}))
-            held = pd.concat([x for x in parts if len(x)] or parts[:1]).sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-        yield pd.DataFrame({"query": [names[int(i)] for i in held["q"]], "id": held["id"], "score": held["score"]})
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+
+
+def _nearest(k: int, step: int = 64):
+    """The k best rows of a block for each query of a block: cut to k before anything is gathered."""
+
+    def run(own, rows):
+        import pyarrow as pa
+
+        asked, at, scores = [], [], []
+        if own.num_rows and rows.num_rows:
+            m, q = unit(matrix(rows.column("v"))), unit(matrix(own.column("v")))
+            ids = rows.column("id").combine_chunks()
+            place = np.argsort(np.asarray(ids.to_numpy(zero_copy_only=False)), kind="stable")
+            m = m[place]  # by id, so that the first of equal scores is the one with the least id
+            few = min(k, len(m))
+            for start in range(0, len(q), step):
+                s = np.round((1 + q[start : start + step] @ m.T) / 2, 12)
+                least = -np.partition(-s, few - 1, axis=1)[:, few - 1]
+                for i, row in enumerate(s):
+                    near = np.flatnonzero(row >= least[i])
+                    near = near[np.argsort(-row[near], kind="stable")][:k]
+                    asked.append(np.full(len(near), start + i))
+                    at.append(place[near])
+                    scores.append(row[near])
+        none = np.zeros(0, np.int64)
+        asked, at = np.concatenate([none, *asked]), np.concatenate([none, *at])
+        return pa.table({"query": own.column("query").take(pa.array(asked)), "id": rows.column("id").take(pa.array(at)), "score": pa.array(np.concatenate([np.zeros(0), *scores]))})
 
     return run
+
+
+def hits(tables: dict[str, DataFrame], query, limit: int = 10, offset: int = 0, wanted: dict | None = None, metric: str = "cosine") -> tuple[DataFrame, DataFrame]:
+    """The best chunks of documents that meet storage filters (wanted), with the document's title, source and metadata; and their page as one row.
+
+    tables: chunks, documents, tags, languages. A limit of 0 is the default one."""
+    from lexloom.operators.documents import with_metadata
+    from lexloom.operators.filters import storage_filter
+
+    limit, offset = limit or 10, max(offset, 0)
+    rows = storage_filter(tables["chunks"], tables["documents"], tables["tags"], tables["languages"], wanted or {})
+    found = topk(rows, query, limit, offset=offset, metric=metric)
+    cols = [c for c in ("title", "source", "author", "content_type", "crawl_id") if c in tables["documents"].columns]
+    ids = F.broadcast(found.select(F.col("document_id").alias("id")).distinct())  # `limit` rows at most
+    docs = tables["documents"].select("id", *cols).join(ids, "id", "left_semi")
+    own = with_metadata(docs, *(tables[n].join(ids.withColumnRenamed("id", "document_id"), "document_id", "left_semi") for n in ("tags", "languages")))
+    out = found.join(own.withColumnRenamed("id", "document_id"), "document_id", "left").orderBy(F.desc("score"), "id")
+    return out, page(out, tables["chunks"], offset, limit)

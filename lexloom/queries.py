@@ -126,21 +126,24 @@ def vector_search(spark, d):
     return rounded(vector.search(rows, rows.filter("id % 100 = 0"), 10), "score")
 
 
+def ivf(spark: SparkSession, d: str):
+    """The index over every row, fitted on a bounded sample, its centroids, and how many cells it takes for a recall of 0.95 there."""
+    rows = chunks(spark, d)
+    centroids = vector.ivf_fit(rows, vector.ivf_parameters(rows.count(), 64)[0])
+    return vector.ivf_assign(rows, centroids), centroids, vector.ivf_probes(rows, centroids, 10)
+
+
 @query()
 def ivf_search(spark, d):
-    """The same through the index: fitted on a bounded sample, over every row."""
-    rows = chunks(spark, d)
-    cells = vector.ivf_parameters(rows.count(), 64)[0]
-    centroids = vector.ivf_fit(rows, cells)  # these vectors hardly cluster, so most cells are probed for a recall of 0.9
-    return rounded(vector.search(vector.ivf_assign(rows, centroids), rows.filter("id % 100 = 0"), 10, centroids=centroids, probes=cells * 4 // 5), "score")
+    """The same through the index."""
+    indexed, centroids, probes = ivf(spark, d)
+    return rounded(vector.search(indexed, chunks(spark, d).filter("id % 100 = 0"), 10, centroids=centroids, probes=probes), "score")
 
 
 @query()
 def ivf_topk(spark, d):
-    rows = chunks(spark, d)
-    cells, _ = vector.ivf_parameters(rows.count(), 64)
-    centroids = vector.ivf_fit(rows, cells)
-    return rounded(vector.ivf_topk(vector.ivf_assign(rows, centroids), centroids, first_vector(spark, d), 10, probes=cells * 4 // 5).select("id", "cell", "score"), "score")
+    indexed, centroids, probes = ivf(spark, d)
+    return rounded(vector.ivf_topk(indexed, centroids, first_vector(spark, d), 10, probes=probes).select("id", "cell", "score"), "score")
 
 
 @query(f"SELECT keyword, CAST(count(*) AS BIGINT) AS frequency, count(DISTINCT document_id) AS documents FROM {KEYWORDS} GROUP BY keyword")
@@ -406,3 +409,6 @@ def crawl_reachable(spark, d):
     links = crawl.page_links(table(spark, d, "pages"))
     seeds = table(spark, d, "pages").filter("page_id = 0").select(urls.normalized(F.col("url")).alias("url"))
     return crawl.reachable(links, seeds)
+
+
+from lexloom import rule_queries, stored_queries  # noqa: E402, F401  they add their queries to QUERIES and SQL
