@@ -108,6 +108,16 @@ def crc_rest(doc_id: object, mod: int) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % mod
 
 
+def released(run):
+    """run over batches, which gives back the memory that Arrow holds for the next ones when a task ends; workers live on."""
+
+    def own(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return own
+
+
 def per_row(df: DataFrame, inputs: list[str], keep: list[str], schema: str, make) -> DataFrame:
     """One pass over df's rows as Arrow batches. make(): called once a task, gives a function of the input values of one row that returns a tuple of the new values.
 
@@ -134,7 +144,7 @@ def per_row(df: DataFrame, inputs: list[str], keep: list[str], schema: str, make
                 made = zip(*rows, strict=True) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=[*own, *names])
 
-    return df.mapInArrow(run, out).toDF(*keep, *names)
+    return df.mapInArrow(released(run), out).toDF(*keep, *names)
 
 
 PIECE = 1 << 15  # shingles hashed at a time

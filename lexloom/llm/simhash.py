@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import forget, per_row, shingle_hashes, written
+from lexloom.llm.common import forget, per_row, released, shingle_hashes, written
 
 BITS = 64
 PAIRS = 1 << 20  # pairs of nodes walked at a time
@@ -72,7 +72,7 @@ def tries(fps: DataFrame, n: int, budget: int) -> DataFrame:
                 same = lambda x: np.full(len(fp), x, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(bits.view(np.int64)), name, *map(pa.array, (same(depth), same(0), same(0)))], names=["cell", "bits", "fp", "depth", "used", "side"])
 
-    return fps.mapInArrow(run, "cell long, bits long, fp long, depth int, used int, side int")
+    return fps.mapInArrow(released(run), "cell long, bits long, fp long, depth int, used int, side int")
 
 
 STEP = 4
@@ -203,7 +203,7 @@ def links(rows: DataFrame, budget: int) -> DataFrame:
         if held is not None and len(held[0]):
             yield joined(*held)
 
-    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "bits", "fp", "depth", "side").mapInArrow(run, "u long, v long")
+    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "bits", "fp", "depth", "side").mapInArrow(released(run), "u long, v long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -285,7 +285,7 @@ def first_shingles(sets: DataFrame, similarity: float, common: np.ndarray) -> Da
                 which = pa.array(np.repeat(np.arange(part.num_rows), sizes))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked or [every[:0]])), *(part.column(c).take(which) for c in ("id", "n"))], names=["token", "id", "n"])
 
-    return sets.select("h", "id", "n").mapInArrow(run, "token long, id long, n int")
+    return sets.select("h", "id", "n").mapInArrow(released(run), "token long, id long, n int")
 
 
 def sizes_fit(a, b, similarity: float):
@@ -371,7 +371,7 @@ def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
         u, v, late = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(late, pa.bool_())], names=["u", "v", "late"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "id", "n", "label", "half", "bits").mapInArrow(run, "u long, v long, late boolean")
+    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "id", "n", "label", "half", "bits").mapInArrow(released(run), "u long, v long, late boolean")
 
 
 def cells(rows: DataFrame, limit: int) -> DataFrame:
@@ -411,7 +411,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     ids = end(pairs, "id")
     own = among(sets.select("id", "n", "bits"), ids)
     left = pairs.join(half(own, "u", "bits").hint("merge"), "u").join(half(own, "v", "bits").hint("merge"), "v")
-    left = written(left.select("u", "v", "nu", "nv", "bitsu", "bitsv").mapInArrow(possible, "u long, v long").distinct())
+    left = written(left.select("u", "v", "nu", "nv", "bitsu", "bitsv").mapInArrow(released(possible), "u long, v long").distinct())
     forget(ids)
     ids = end(left, "id")
     own = among(sets.select("id", "n", "h"), ids)
@@ -455,7 +455,7 @@ def equal_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept, ids, linked
 
 
-def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 20, share: int = 4, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 20, share: int = 8, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(id, root) of the ids that hang together over the known links (u, v) and all pairs of texts that share at least `similarity` of their distinct shingles; and (id, least) of those whose text is that of a lesser id, which are not in the former.
 
     Exact: two such sets share one of their first shingles, whatever the order; the counts in one of `share` sets only put common ones last (`common` of them at most). The sets of a
@@ -484,7 +484,7 @@ def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     worded = sets.filter("n > 0")
     worded = worded if twins.isEmpty() else among(worded, twins.select("id"), anti=True)
     some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
-    often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 2").orderBy(F.desc("count"), "t").limit(common).toArrow()  # at most `common` pairs of numbers
+    often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 1").orderBy(F.desc("count"), "t").limit(common).toArrow()  # at most `common` pairs of numbers
     shared = F.count("*").over(Window.partitionBy("token"))
     live = distinct_buckets(written(first_shingles(worded, similarity, np.stack([often.column(c).to_numpy() for c in ("t", "count")], axis=1)).withColumn("sharing", shared).filter("sharing > 1")))
     fit = lambda a, b: (a["id"] < b["id"]) & sizes_fit(a["n"], b["n"], similarity)

@@ -89,7 +89,7 @@ def fit(texts: list[tuple[str, int]], of_all: dict[int, int], least_docs: int =
 class Weights(dict):
     """Word -> the sum of its marks' weights, filled as words are met and emptied when it has grown."""
 
-    def __init__(self, of: dict[int, float], most: int = 400_000):
+    def __init__(self, of: dict[int, float], most: int = 200_000):
         self.of, self.most = of, most
 
     def __missing__(self, word: str) -> float:
