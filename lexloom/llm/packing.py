@@ -160,7 +160,7 @@ def best_fit(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]]
     pieces = written(cut(docs, encoder, id_col, text_col, capacity, closing))
     parts = written(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    base = written(parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))  # a row for each length and task: never broadcast, as it grows with the tasks
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     steps = np.array(sorted(plan(counts, capacity)), np.int64).reshape(-1, 5)
     cuts = np.searchsorted(steps[:, 0], np.arange(capacity + 2))
@@ -176,5 +176,5 @@ def best_fit(docs: DataFrame, encoder: Callable[[], Callable[[str], np.ndarray]]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     names = [id_col, "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(base, ["length", "part"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(base.hint("merge"), ["length", "part"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(place, ", ".join([*(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names), "sequence_id long, offset long"]))

@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from lexloom.llm import bpe, fingerprint, langid, licenses, linededup, packing, quality, rules, simhash, toxicity
 from lexloom.llm.common import held_out, table
 
-VOCABULARIES = "/opt/tokenizers"
-
-
-def byte_coder(folder: str = VOCABULARIES):
-    """Makes the coder for byte_bpe_50k, whose ids are those of byte_bpe_50k.json."""
+def byte_coder(path: str | None = None):
+    """Makes the coder for byte_bpe_50k (path: its ranks), whose ids are those of byte_bpe_50k.json."""
 
     def make():
         import public_tokenizers
 
-        return packing.byte_bpe(f"{folder}/byte_bpe_50k.tiktoken", public_tokenizers.PATTERN)
+        return packing.byte_bpe(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
     return make
 
@@ -41,7 +38,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.coded(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/word_bpe_49k.json")
+    import public_tokenizers
+
+    return bpe.coded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
