@@ -79,7 +79,7 @@ def test_nearest_ancestor_wins(spark):
 
 def test_cosine_is_sparse_dot():
     s = licenses.Scanner({}, 100, 0.5)
-    assert s.best(licenses.WORD.findall(licenses.TEMPLATES["MIT"][0].lower())) == (1.0, "MIT")
+    assert s.best(licenses.WORD.findall(licenses.TEMPLATES["MIT"][0].lower()))[:2] == (1.0, "MIT")
 
 
 # --- 2 toxicity ---
@@ -188,7 +188,7 @@ def test_transducer_is_bounded_and_exact(library, seed, n):
     word = "".join(x for x in word if x.isalpha())
     marks = "".join(c.marks[b] for b in word.encode())
     t = bpe.Transducer(c.v, every=8)
-    assert [c.v.ids[x] for x in t.feed(marks) + t.finish()] == library.encode(word, add_special_tokens=False).ids
+    assert t.feed(marks) + t.finish() == library.encode(word, add_special_tokens=False).ids
     assert t.most <= 4 * c.v.longest
 
 
@@ -203,7 +203,9 @@ def test_transducer_on_small_vocabularies(picks, text):
             names.append("".join(pair))
     v = bpe.Vocabulary(merges, {t: i for i, t in enumerate(names)}, end="")
     t = bpe.Transducer(v, every=1)
-    assert t.feed(text) + t.finish() == v.encode(list(text))
+    assert [v.names[i] for i in t.feed(text) + t.finish()] == v.encode(list(text))
+    for word in (text, text[:5], text):  # remembered prefixes change nothing
+        assert [v.names[i] for i in t.word(list(word))] == v.encode(list(word))
 
 
 def test_decoder_round_trip(spark):
