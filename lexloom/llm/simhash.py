@@ -213,7 +213,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     key; a round keeps at most as many edges as there are nodes, and its tables go with it."""
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     if edges.isEmpty():
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        return written(edges.select(F.col("u").alias("id"), F.col("v").alias("root")))
     seen = None
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
