@@ -30,9 +30,12 @@ def normalize_text(text: Column) -> Column:
     return js_trim(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\t"), F.lit("  ")))
 
 
-def keywords(text: Column) -> Column:
-    """Lower-case words of 3 to 19 characters that are no stop words, in order and with repeats."""
-    words = F.split(F.regexp_replace(F.lower(text), "[^\\w\\s]", " "), "\\s+")
+def keywords(text: Column, only: list[str] | None = None) -> Column:
+    """Lower-case words of 3 to 19 characters that are no stop words, in order and with repeats; of these those in only."""
+    words = F.split(F.lower(text), "\\W+")
+    if only is not None:
+        own = sorted({w for w in only if 2 < len(w) < 20 and w not in STOP_WORDS})
+        return F.filter(words, lambda w: w.isin(own) if own else F.lit(False))
     stop = F.array(*map(F.lit, STOP_WORDS))
     return F.filter(words, lambda w: (F.length(w) > 2) & (F.length(w) < 20) & ~F.array_contains(stop, w))
 

@@ -32,7 +32,10 @@ def ranked(tables: dict[str, DataFrame], text: str, query_vector, o: Options | N
     o = o or Options()
     wanted = dict(o.filters)
     wanted.setdefault("languages", list(o.default_languages))
-    docs = with_metadata(tables["documents"], tables["tags"], tables["languages"])
+    low = text.strip().lower()
+    said = F.coalesce(F.lower("title").contains(low) | F.lower("content").contains(low), F.lit(False)) if low else F.lit(True)
+    # the text goes where it is read: joins carry whether it holds the query
+    docs = with_metadata(tables["documents"].withColumn("said", said).drop("content"), tables["tags"], tables["languages"])
     passing = docs.filter(filters.metadata(wanted, o.generated_tags_count))
     chunks = tables["chunks"]
     if o.prefilter:
@@ -48,10 +51,8 @@ def ranked(tables: dict[str, DataFrame], text: str, query_vector, o: Options | N
         found = rerank.rerank(texts, text, "content", o.limit + o.offset, most=n).select("document_id", F.col("rerank_score").alias("score"))
     # found has as many rows as there are candidates, so Spark may broadcast it by its size
     results = passing.join(found.withColumnRenamed("document_id", "id"), "id")
-    low = text.strip().lower()
-    fallback = passing.filter(F.lower("title").contains(low) | F.lower("content").contains(low)) if low else passing
-    none = results.agg((F.count("*") == 0).alias("none"))  # a single row
-    fallback = fallback.withColumn("score", F.lit(1.0)).crossJoin(F.broadcast(none)).filter("none").drop("none")
+    none = results.agg((F.count("*") == 0).alias("none")).filter("none")  # a single row, or none: then the fallback is not run
+    fallback = passing.filter("said").withColumn("score", F.lit(1.0)).crossJoin(F.broadcast(none)).drop("none")
     results = results.unionByName(fallback)
     blank, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     if o.include_metadata:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import keywords, query_keywords
 
 
-def index(docs: DataFrame, id_col: str = "id", fields: dict[str, str] | None = None) -> DataFrame:
-    """document_id, source, keyword, frequency. fields: source -> column."""
+def index(docs: DataFrame, id_col: str = "id", fields: dict[str, str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """document_id, source, keyword, frequency. fields: source -> column. only: the rows of these keywords, from a scan of the texts that carries no others."""
     found = None
     for source, column in (fields or {"title": "title", "content": "content"}).items():
-        one = docs.select(F.col(id_col).alias("document_id"), F.lit(source).alias("source"), F.explode(keywords(F.col(column))).alias("keyword"))
+        one = docs.select(F.col(id_col).alias("document_id"), F.lit(source).alias("source"), F.explode(keywords(F.col(column), only)).alias("keyword"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy("document_id", "source", "keyword").agg(F.count("*").cast("int").alias("frequency"))
 

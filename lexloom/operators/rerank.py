@@ -15,9 +15,11 @@ def words(text: Column) -> Column:
 
 def jaccard(query: str, text: Column) -> Column:
     """Shared over all distinct lower-case words; 0 if there are none."""
-    own, q = words(text), F.array(*map(F.lit, dict.fromkeys(query.lower().split()))).cast("array<string>")
-    every = F.size(F.array_union(own, q))
-    return F.when(every == 0, 0.0).otherwise(F.size(F.array_intersect(own, q)) / every)
+    asked = list(dict.fromkeys(query.lower().split()))
+    own = words(text)
+    both = F.size(F.array_intersect(own, F.array(*map(F.lit, asked)).cast("array<string>")))
+    every = F.size(own) + len(asked) - both
+    return F.when(every == 0, 0.0).otherwise(both / every)
 
 
 def rerank(candidates: DataFrame, query: str, text_col: str, k: int, id_col: str = "document_id", most: int = 50) -> DataFrame:

@@ -154,12 +154,13 @@ def keyword_index(spark, d):
 
 @query(f"SELECT * FROM {MATCHED}")
 def keyword_search(spark, d):
-    return keyword.search(keyword.index(docs(spark, d), fields={"content": "content"}), text.query_keywords(WORDS))
+    words = text.query_keywords(WORDS)
+    return keyword.search(keyword.index(docs(spark, d), fields={"content": "content"}, only=words), words)
 
 
 @query(f"SELECT document_id, round(score, 6) AS score, matched FROM {ELIGIBLE} WHERE score >= 0.1")
 def keyword_eligible_normalized(spark, d):
-    return rounded(keyword.eligible(keyword.index(docs(spark, d), fields={"content": "content"}), WORDS, 0.1), "score")
+    return rounded(keyword.eligible(keyword.index(docs(spark, d), fields={"content": "content"}, only=text.query_keywords(WORDS)), WORDS, 0.1), "score")
 
 
 @query(f"""WITH v AS (SELECT document_id, score FROM {FUSED} WHERE score >= 0.55), k AS (SELECT document_id, score, matched FROM {MATCHED} WHERE matched >= 2 AND document_id NOT IN (SELECT document_id FROM v)),
@@ -167,7 +168,7 @@ n AS (SELECT document_id, score / greatest(max(score) OVER (), 1) AS score FROM
 SELECT document_id, round(score, 6) AS score FROM v UNION ALL SELECT document_id, round(score, 6) FROM n WHERE score >= 0.1""")
 def hybrid_merge(spark, d):
     own = fusion.by_document(vector.scored(chunks(spark, d), first_vector(spark, d)), 0.55)
-    words = keyword.index(docs(spark, d), fields={"content": "content"})
+    words = keyword.index(docs(spark, d), fields={"content": "content"}, only=text.query_keywords(WORDS))
     found = keyword.eligible(words, WORDS, 0.1, own)
     return rounded(own.select("document_id", "score").unionByName(found.select("document_id", "score")), "score")
 
@@ -229,7 +230,7 @@ s AS (SELECT *, (CAST(contains(hay, 'ering') AS INTEGER) + 2 * CAST(contains(hay
 SELECT id, round(score, 6) AS score, round(ratio, 6) AS ratio, author FROM (SELECT * FROM s ORDER BY score + 0.4 * ratio DESC, ratio DESC, score DESC, id LIMIT 20)""")
 def hybrid_query(spark, d):
     x = docs(spark, d)
-    words = keyword.index(x, fields={"title": "title", "content": "content"})
+    words = keyword.index(x, fields={"title": "title", "content": "content"}, only=text.query_keywords(WORDS))
     tables = {"documents": x, "tags": tags(spark, d), "languages": languages(spark, d), "chunks": chunks(spark, d), "keywords": words}
     o = hybrid.Options(threshold=0.1, limit=20)
     return rounded(hybrid.query(tables, WORDS, first_vector(spark, d), o)[0].select("id", "score", "ratio", "author"), "score", "ratio")

@@ -15,14 +15,24 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.html import extract
 from lexloom.functions.urls import normal, normalized, permitted, resolve, robots, same_host
+from lexloom.session import shared_folder
 
 #: At most so many sitemaps, and bytes of a body.
 SITEMAPS, MOST_BYTES = 10, 5 * 1024 * 1024
 
 
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
-    """url, depth: pages reached from seeds (url) over links (url, target) in at most max_depth steps, each at its least depth."""
-    keep = (lambda df: df.checkpoint()) if seeds.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df)
+    """url, depth: pages reached from seeds (url) over links (url, target) in at most max_depth steps, each at its least depth.
+
+    Links and levels are written to the shared folder, so pages are parsed once and no level is made again."""
+    spark = seeds.sparkSession
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = shared_folder(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    links = keep(links.select("url", "target"))
     seen = frontier = keep(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         found = frontier.select("url").join(links, "url").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")

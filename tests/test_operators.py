@@ -169,3 +169,40 @@ def test_cost():
     steps = cost.plan(filters=2, tags=True)
     assert cost.total(cost.optimized(steps)) == cost.total(steps) == 85 and cost.estimate(1024, 1) == 70
     assert [s.kind for s in cost.optimized(steps[::-1])][-1] == "limit"
+
+
+def test_search_with_odd_vectors(spark):
+    """Other lengths, nulls, no vectors, no queries, no rows; ties by id; and blocks of any size give the same."""
+    rows = [(i, [float(i % 3), 1.0, 0.5 * (i % 2)]) for i in range(12)] + [(50, [1.0]), (51, []), (52, None), (53, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = df.filter("id IN (0, 1, 50, 51, 52)")
+    plain = {}
+    for i, v in rows:
+        if i in (0, 1, 50):
+            cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / max((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 1e-12)
+            near = [(-round((1 + cos(v, w)) / 2, 9), j) for j, w in rows if w and len(w) == len(v)]
+            plain[i] = [j for _, j in sorted(near)[:4]]
+    for size in (1 << 22, 6):
+        got = vector.search(df, q, 4, rows_block=size, query_block=size).collect()
+        found = {i: [r["id"] for r in sorted(got, key=lambda r: r["nth"]) if r["query"] == i] for i in {r["query"] for r in got}}
+        assert found == plain
+    assert vector.search(df, df.filter("id < 0"), 4).count() == vector.search(df.limit(0), q, 4).count() == 0
+    c = vector.ivf_fit(df, 3)
+    got = vector.search(vector.ivf_assign(df, c), q, 4, centroids=c, probes=len(c))
+    assert {r["query"] for r in got.collect()} == {0, 1}
+    none = vector.ivf_fit(df.limit(0), 3)
+    assert len(none) == 0 and vector.ivf_assign(df, none).count() == 0 and vector.ivf_topk(vector.ivf_assign(df, c), c, [1.0], 3).count() == 0
+
+
+def test_probes_follow_the_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    x = np.repeat(centres, 40, axis=0) + 0.05 * rng.normal(size=(800, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    c = vector.ivf_fit(df, 20)
+    probes = vector.ivf_probes(df, c, 5)
+    want = {(r["query"], r["id"]) for r in vector.search(df, df.filter("id % 40 = 0"), 5).collect()}
+    got = {(r["query"], r["id"]) for r in vector.search(vector.ivf_assign(df, c), df.filter("id % 40 = 0"), 5, centroids=c, probes=probes).collect()}
+    assert probes <= 5 and len(want & got) >= 0.9 * len(want)
