@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, fingerprint, langid, licenses, linededup, packing, quality, rules, simhash, toxicity
+from lexloom.llm import bpe, divergence, fingerprint, langid, licenses, linededup, packing, quality, resample, rules, simhash, toxicity, warc
 from lexloom.llm.common import held_out, table
 
 def byte_coder(path: str | None = None):
@@ -71,6 +71,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, trees).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL, "op9_host_rules": rules.SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_language, op4_bpe, op5_best_fit_packing, op6_simhash, op7_line_dedup, op8_fingerprint, op9_host_rules, op10_quality)}
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL: dict[str, str] = {"op7_line_dedup": linededup.SQL, "op9_host_rules": rules.SQL, "op11_source_divergence": divergence.SQL, "op12_importance_resampling": resample.SQL, "op13_warc": warc.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_language, op4_bpe, op5_best_fit_packing, op6_simhash, op7_line_dedup, op8_fingerprint, op9_host_rules, op10_quality, op11_source_divergence, op12_importance_resampling, op13_warc)}

@@ -392,10 +392,12 @@ def test_stages_on_odd_tables(spark, folder):
 
 # --- the queries ---
 
+LATER = ("op11_source_divergence", "op12_importance_resampling", "op13_warc")  # in test_audits.py: they give other rows, or read other tables
+
 
 def test_queries(spark, folder):
     top, rows = folder
-    texts, out = {r[0]: r[1] for r in rows}, {n: f(spark, top).toPandas() for n, f in QUERIES.items()}
+    texts, out = {r[0]: r[1] for r in rows}, {n: f(spark, top).toPandas() for n, f in QUERIES.items() if n not in LATER}
     rest = lambda i, m: zlib.crc32(str(i).encode()) % m
     for name, df in out.items():
         assert set(df.doc_id) == set(texts), name
@@ -423,6 +425,8 @@ def test_queries(spark, folder):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{top}/documents.parquet/*.parquet'")
     for name, sql in SQL.items():
+        if name in LATER:
+            continue
         want = duck.sql(sql).df()
         lines = lambda df: sorted("|".join(map(str, r)) for r in df[sorted(want.columns)].astype(str).itertuples(index=False))  # noqa: B023, E731
         assert set(out[name].columns) == set(want.columns) and lines(out[name]) == lines(want), name
