@@ -14,7 +14,7 @@ Equal payloads of at least `least` bytes are stored once, with the smallest id;
 Defined results: null payloads are empty; rows that repeat the smallest id with the same payload are all responses; a null id is never
 the smallest, and where all ids are null all are responses; a null or empty URL has no WARC-Target-URI; control characters and blanks in ids and URLs are
 percent-encoded; an empty table gives no archive and an empty result; other columns are not read, whatever their names. A record that an archive breaks off in
-is left out of the index, and the manifest says so (damage); so does one whose head isn't WARC, with all after it.
+is left out of the index, and the manifest says so (damage); so does one whose head isn't WARC, with all after it. A file of no bytes has no row there.
 """
 
 from __future__ import annotations
