@@ -115,17 +115,28 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def ivf_sample(chunks: DataFrame, embedding: str = "embedding", sample: int = 50_000) -> np.ndarray:
-    """At most `sample` vectors of the length that most of these have, the first by a hash of the vector, as unit rows."""
-    rows = [r[0] for r in chunks.filter(F.size(embedding) > 0).select(embedding).orderBy(F.xxhash64(embedding)).limit(sample).collect()]
-    sizes = [len(r) for r in rows]
-    d = max(set(sizes), key=lambda n: (sizes.count(n), n)) if len(set(sizes)) > 1 else sizes[0] if sizes else 0
-    return unit(np.array([r for r in rows if len(r) == d], float).reshape(-1, d) if d else np.zeros((0, 1)))
+NUMBERS = 1 << 24  # of a sample of vectors
 
 
-def ivf_fit(chunks: DataFrame, cells: int, embedding: str = "embedding", sample: int = 50_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Centroids by k-means on a bounded sample (ivf_sample); none without vectors."""
-    x = ivf_sample(chunks, embedding, sample)
+def ivf_sample(chunks: DataFrame, embedding: str = "embedding", sample: int = 50_000) -> np.ndarray:
+    """At most `sample` vectors, and NUMBERS numbers, of the length that most have, as unit rows: those of rows whose hash is under a threshold that leaves so many."""
+    sizes = chunks.filter(F.size(embedding) > 0).groupBy(F.size(embedding).alias("d")).count().collect()  # a row for each length
+    if not sizes:
+        return np.zeros((0, 1))
+    n, d = max((r["count"], r["d"]) for r in sizes)
+    most = min(sample, max(1, NUMBERS // d))
+    rows = chunks.filter(F.size(embedding) == d)
+    if n > most:
+        share = (most - 4 * math.sqrt(most)) / n  # beyond it once in 30,000 times, and then the last are left out
+        mark = F.xxhash64(*[c for c, t in chunks.dtypes if not t.startswith("map")])
+        rows = rows.filter(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30))).limit(most)
+    found = rows.select(F.col(embedding).cast("array<float>").alias("v")).toArrow().column("v").combine_chunks()
+    x = unit(matrix(found)) if len(found) else np.zeros((0, d))
+    return x[np.lexsort(x.T[::-1])]  # in an order that doesn't hang on the partitions
+
+
+def ivf_centroids(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """k-means of unit rows; none without rows."""
     if not len(x):
         return x
     c = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
@@ -137,10 +148,14 @@ def ivf_fit(chunks: DataFrame, cells: int, embedding: str = "embedding", sample:
     return c
 
 
-def ivf_probes(chunks: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.95, queries: int = 200, embedding: str = "embedding", sample: int = 50_000) -> int:
-    """How many cells a search must probe for this share of the true neighbours: measured on the bounded sample, where every row is held against every 1 in len / queries."""
-    x = ivf_sample(chunks, embedding, sample)
-    if len(x) <= k or not len(centroids):
+def ivf_fit(chunks: DataFrame, cells: int, embedding: str = "embedding", sample: int = 50_000, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Centroids by k-means on a bounded sample (ivf_sample); none without vectors."""
+    return ivf_centroids(ivf_sample(chunks, embedding, sample), cells, rounds, seed)
+
+
+def ivf_needed(x: np.ndarray, centroids: np.ndarray, k: int, recall: float = 0.95, queries: int = 200) -> int:
+    """How many cells a search must probe for this share of the true neighbours: measured on a sample, where every row is held against every 1 in len / queries."""
+    if len(x) <= k or len(centroids) < 2:
         return max(1, len(centroids))
     q = x[:: max(1, len(x) // queries)]
     cell = (x @ centroids.T).argmax(axis=1)
@@ -151,6 +166,11 @@ def ivf_probes(chunks: DataFrame, centroids: np.ndarray, k: int, recall: float =
     return int(met[math.ceil(recall * len(met)) - 1]) + 1
 
 
+def ivf_probes(chunks: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.95, queries: int = 200, embedding: str = "embedding", sample: int = 50_000) -> int:
+    """ivf_needed of the bounded sample."""
+    return ivf_needed(ivf_sample(chunks, embedding, sample), centroids, k, recall, queries)
+
+
 def ivf_assign(chunks: DataFrame, centroids: np.ndarray, embedding: str = "embedding") -> DataFrame:
     """Every row that has a vector of the centroids' length with its cell; written partitioned by cell, a search reads only the cells it probes."""
 
