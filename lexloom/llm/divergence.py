@@ -36,49 +36,47 @@ STRETCH = 1 << 20
 HELD = 1 << 18  # entries that a task sums up before it hands them on
 SHARE = 1_000_000_000
 BLOCK = 256  # sources of a block
-SLOTS = 64  # parts of a language's terms
+SLOT_ROWS = 1 << 18  # of a language's part, about
+LEAST_SLOTS = 8
 SALT = 16  # parts of a term's sources
 
 
-def term_counts(text: str | None) -> Counter:
-    """How often each term, in bytes, stands in a text."""
-    data, at, out = (text or "").encode("utf-8", "surrogatepass"), 0, Counter()
+def terms_of(text: str | None) -> Iterator[list[bytes]]:
+    """A text's terms in bytes, a stretch at a time."""
+    data, at = (text or "").encode("utf-8", "surrogatepass"), 0
     while len(data) - at > STRETCH and (end := OUT.search(data, at + STRETCH)):
-        out.update(TERM.findall(data[at : end.start()].lower()))
+        yield TERM.findall(data[at : end.start()].lower())
         at = end.end()
-    out.update(TERM.findall((data[at:] if at else data).lower()))
-    return out
+    yield TERM.findall((data[at:] if at else data).lower())
 
 
 def partials(docs: DataFrame) -> DataFrame:
     """lang, term, source, docs, n of (text, lang, source): sums over the documents that a task holds at a time."""
 
     def run(batches):
-        held, size = {}, 0
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+        size = 0
 
         def close():
-            rows = sorted((lang, t, source, d, n) for (lang, source), terms in held.items() for t, (d, n) in terms.items())
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["lang", "term", "source", "docs", "n"])
+            for (lang, source), (n, d) in held.items():
+                k = len(n)
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, k), pa.array(n.keys(), pa.binary()).cast(pa.string()), pa.repeat(source, k), pa.array([d[t] for t in n], pa.int64()), pa.array(n.values(), pa.int64())], names=["lang", "term", "source", "docs", "n"])
 
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 for text, *key in zip(*(part.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
-                    terms = held.setdefault(tuple(key), {})
-                    before = len(terms)
-                    for t, n in term_counts(text).items():
-                        if t in terms:
-                            own = terms[t]
-                            own[0] += 1
-                            own[1] += n
-                        else:
-                            terms[t] = [1, n]
-                    size += len(terms) - before
+                    n, d = held.setdefault(tuple(key), (Counter(), Counter()))
+                    before, own = len(n), set()
+                    for terms in terms_of(text):
+                        n.update(terms)
+                        own.update(terms)
+                    d.update(own)
+                    size += len(n) - before
                     if size > HELD:
-                        yield close()
+                        yield from close()
                         held, size = {}, 0
-        yield close()
+        yield from close()
 
     return docs.mapInArrow(released(run), "lang string, term string, source string, docs long, n long")
 
@@ -286,12 +284,14 @@ def audited(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     groups = written(groups.fillna(0, ["n", "v", "of_lang"]))
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     blocks = max(1, -(-most // BLOCK))
+    rows = terms.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    slots = max(LEAST_SLOTS, -(-rows // SLOT_ROWS))
     block = F.pmod(F.xxhash64("source"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     pair = lambda df: df.withColumn("other", F.explode(every)).withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).withColumn("side", (F.col("block") != F.col("bi")).cast("int"))
     cols = ["lang", "bi", "bj", "slot", "term", "source", "n", "side", "v", "of_lang"]
-    heads = pair(groups.withColumn("block", block)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).withColumn("term", F.lit(None).cast("string")).select(*cols)
-    slotted = terms.withColumns({"slot": F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int"), "v": F.lit(0).cast("long"), "of_lang": F.lit(0).cast("long")})
+    heads = pair(groups.withColumn("block", block)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("term", F.lit(None).cast("string")).select(*cols)
+    slotted = terms.withColumns({"slot": F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int"), "v": F.lit(0).cast("long"), "of_lang": F.lit(0).cast("long")})
     own = pair(slotted.filter("source IS NOT NULL").withColumn("block", block)).select(*cols)
     whole = slotted.filter("source IS NULL").withColumns({"bi": F.explode(every), "side": F.lit(0)}).withColumn("bj", F.explode(F.sequence("bi", F.lit(blocks - 1)))).select(*cols)
     found = written(scanned(heads.unionByName(own).unionByName(whole), best))
