@@ -322,7 +322,8 @@ def read(spark: SparkSession, target: str, payloads: bool = False) -> DataFrame:
                     if rows:
                         yield made(rows)
 
-    return ranges.repartition("archive", "part").mapInArrow(released(run), RECORD)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, or a few bytes of ranges would end in one task
+    return ranges.repartition(parts, "archive", "part").mapInArrow(released(run), RECORD)
 
 
 def members(stream, size: int):
