@@ -18,7 +18,7 @@ from lexloom.functions import chunk, html, langtag, markdown, text
 from lexloom.functions.embed import Provider, embedded
 from lexloom.functions.language import detected
 from lexloom.operators import keyword
-from lexloom.sources.store import Store, now
+from lexloom.sources.store import MARKS, Store, now
 
 OPTIONAL = ["original_filename", "file_extension", "crawl_id", "crawl_url", "author", "description", "content_type", "programming_language"]
 
@@ -83,7 +83,7 @@ def ingest(store: Store, raw: DataFrame, make: Callable[[], Provider], model: st
             stored = store.table("documents")
             if replace_titles:
                 gone = stored.join(new["documents"].select("title"), "title", "left_semi").select(F.col("id").alias("document_id"))
-                return ({} if gone.isEmpty() else store.less(keep(gone))), store.accepted(new)
+                return {}, store.accepted(new) | ({} if gone.isEmpty() else {MARKS: store.markers(keep(gone))})
             known = ids.join(stored.select(F.col("id").alias("document_id")), "document_id", "left_semi")
             if known.isEmpty():
                 return {}, store.accepted(new)

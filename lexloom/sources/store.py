@@ -2,7 +2,9 @@
 
 A version is a manifest that names the folders of each table; the newest manifest is the store. Manifests are written beside
 their place and renamed into it, never changed or replaced, so a crash leaves the last version as it was. Appending adds a folder
-to a table, so what is written follows the new rows alone. One writer holds the lock at a time, proven by a token that it
+to a table, and deleting adds a folder of markers (the ids of documents, and the table that it concerns), so what is written follows
+the rows that come and go alone: a row is gone if a marker of a later version names its document. Folders carry their version in their
+names; reading joins the markers against the rows, and `compact` folds them in. One writer holds the lock at a time, proven by a token that it
 checks before it publishes; a version that another writer published meanwhile is a conflict, and the change is made again on top of it.
 Readers keep the version they opened. All files go through Hadoop's file system, so a store may lie wherever Spark reads and writes
 and renames are atomic.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import threading
 import time
 import uuid
@@ -28,10 +31,18 @@ from lexloom.sources.schema import CHILDREN, TABLES, VERSION, checked, conform,
 STALE_S = 30
 #: How often a conflict is tried again, and the first and the longest wait.
 RETRIES, FIRST_WAIT_S, LONGEST_WAIT_S = 5, 0.1, 5.0
+MARKS = "deleted"  # the manifest's name for folders of markers
+MARK = "document_id string, what string"  # what: a table, or null for all that belongs to the document
 LOWER = {"document_tags": "tag", "document_languages": "language_code", "keywords": "keyword"}
 Change = Callable[[], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
 
 
+def version_of(folder: str) -> int:
+    """The version that wrote a folder; 0 where the name doesn't say."""
+    found = re.search(r"-(\d{9})-\w+$", folder)
+    return int(found[1]) if found else 0
+
+
 class Conflict(RuntimeError):
     """Another writer was faster."""
 
@@ -103,7 +114,7 @@ class Store:
             if not before or force:
                 tables = {n: self.spark.createDataFrame([], schema(n)) for n in TABLES}
                 tables["schema_version"] = self.spark.createDataFrame([(1, VERSION, now(), "first version")], schema("schema_version"))
-                self._publish({n: [self._folder(n, df)] for n, df in tables.items()}, before + 1)
+                self._publish({n: [self._folder(n, df, before + 1)] for n, df in tables.items()}, before + 1)
         return self
 
     def open(self) -> Store:
@@ -123,10 +134,13 @@ class Store:
             self.backup(folder=backup_to)
         self.fs.delete(self._p(), True)
 
-    def _folder(self, name: str, df: DataFrame) -> str:
-        """df's rows in a new folder that no version names yet."""
-        folder = f"data/{name}-{uuid.uuid4().hex}"
-        conform(name, df).write.parquet(f"{self.path}/{folder}")
+    def _folder(self, name: str, df: DataFrame, version: int | None = None) -> str:
+        """df's rows in a new folder that no version names yet. version: that which will, by default the next."""
+        folder = f"data/{name}-{version or self.version + 1:09d}-{uuid.uuid4().hex}"
+        rows = df.select("document_id", "what") if name == MARKS else conform(name, df)
+        if name == "keywords":  # in their order, so that a filter on keywords reaches the files' statistics
+            rows = rows.repartitionByRange("keyword").sortWithinPartitions("keyword")
+        rows.write.parquet(f"{self.path}/{folder}")
         return folder
 
     def _publish(self, folders: dict[str, list[str]], version: int) -> int:
@@ -186,16 +200,19 @@ class Store:
             self.unlock()
 
     def commit(self, change: Change, retries: int = RETRIES) -> int:
-        """A new version. change reads the current one, under the lock, and gives tables that are replaced and rows that are added."""
+        """A new version. change reads the current one, under the lock, and gives tables that are replaced, rows that are added (with
+        MARKS: markers, which don't concern what is added with them), and perhaps True if all markers are folded in."""
 
         def once() -> int:
             with self.held():
                 before = self.version
                 folders = self.manifest(before)
-                replaced, added = change()
-                folders |= {n: [self._folder(n, df)] for n, df in replaced.items()}
+                replaced, added, *folded = change()
+                folders |= {n: [self._folder(n, df, before + 1)] for n, df in replaced.items()}
+                if folded:
+                    folders.pop(MARKS, None)
                 for n, df in added.items():
-                    folders[n] = [*folders[n], self._folder(n, df)]
+                    folders[n] = [*folders.get(n, []), self._folder(n, df, before + 1)]
                 return self._publish(folders, before + 1)
 
         return retried(once, retries)
@@ -224,7 +241,18 @@ class Store:
         return [f"{self.path}/{f}" for f in self.manifest(version)[name]]
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.schema(schema(name)).parquet(*self._paths(name, version))
+        """The rows that no later marker names."""
+        folders = self.manifest(version)
+        rows = self.spark.read.schema(schema(name)).parquet(*(f"{self.path}/{f}" for f in folders[name]))
+        marks = [f for f in folders.get(MARKS, []) if version_of(f) > min(map(version_of, folders[name]))]
+        if not marks or name not in (*CHILDREN, "documents"):
+            return rows
+        at = F.regexp_extract(F.col("_metadata.file_path"), r"/data/\w+-(\d{9})-\w+/", 1).try_cast("int")
+        gone = self.spark.read.schema(MARK).parquet(*(f"{self.path}/{f}" for f in marks)).select("document_id", "what", at.alias("marked"))
+        gone = gone.filter(F.col("what").isNull() | (F.col("what") == name)).groupBy(F.col("document_id").alias("gone")).agg(F.max("marked").alias("marked"))
+        key = "id" if name == "documents" else "document_id"
+        rows = rows.withColumn("written", F.coalesce(at, F.lit(0)))  # folders of older stores have no version in their names
+        return rows.join(gone, (F.col(key) == F.col("gone")) & (F.col("written") < F.col("marked")), "left_anti").drop("written")
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         """All of one version."""
@@ -246,21 +274,19 @@ class Store:
         """Rows added to tables, as folders of their own."""
         return self.commit(lambda: ({}, self.accepted(rows)))
 
-    def without(self, condition: Column) -> dict[str, DataFrame]:
-        """The tables less the documents that meet the condition and all rows of theirs."""
-        docs = self.table("documents")
-        gone = docs.filter(F.coalesce(condition, F.lit(False))).select(F.col("id").alias("document_id"))
-        return self.less(gone)
+    @staticmethod
+    def markers(gone: DataFrame, what: str | None = None) -> DataFrame:
+        """Markers for the documents of gone (document_id): of one table's rows, or of all."""
+        return gone.select("document_id", F.lit(what).cast("string").alias("what")).distinct()
 
-    def less(self, gone: DataFrame) -> dict[str, DataFrame]:
-        """The tables without the documents of gone (document_id)."""
-        out = {n: self.table(n).join(gone, "document_id", "left_anti") for n in CHILDREN}
-        out["documents"] = self.table("documents").join(gone.withColumnRenamed("document_id", "id"), "id", "left_anti")
-        return out
+    def discard(self, gone: DataFrame) -> int:
+        """Deletes the documents of gone (document_id), and all rows of theirs. Only their ids are written."""
+        return self.commit(lambda: ({}, {MARKS: self.markers(gone)}))
 
     def delete(self, condition: Column) -> int:
         """The documents that meet the condition, and all rows of theirs."""
-        return self.commit(lambda: (self.without(condition), {}))
+        chosen = lambda: self.table("documents").filter(F.coalesce(condition, F.lit(False))).select(F.col("id").alias("document_id"))
+        return self.commit(lambda: ({}, {MARKS: self.markers(chosen())}))
 
     def delete_document(self, document_id: str) -> int:
         return self.delete(F.col("id") == F.lit(document_id))
@@ -272,24 +298,34 @@ class Store:
         return after, self.table("documents", before).filter(F.col("crawl_id") == F.lit(crawl_id)).count()
 
     def remove_chunks(self, document_id: str) -> int:
-        return self.commit(lambda: ({"chunks": self.table("chunks").filter(F.col("document_id") != F.lit(document_id))}, {}))
+        one = self.spark.createDataFrame([(document_id,)], "document_id string")
+        return self.commit(lambda: ({}, {MARKS: self.markers(one, "chunks")}))
 
     def counted(self) -> DataFrame:
-        """The documents with chunks_count and code_blocks_count from the rows there are."""
-        docs = self.table("documents")
+        """The documents whose chunks_count or code_blocks_count differs from the rows there are, with the right ones."""
+        docs = self.table("documents").withColumn("was", F.struct("chunks_count", "code_blocks_count"))
         for name, column in (("chunks", "chunks_count"), ("code_blocks", "code_blocks_count")):
             n = self.table(name).groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("n"))
             docs = docs.join(n, "id", "left")
             docs = docs.withColumn("updated_at", F.when(F.coalesce("n", F.lit(0)) != F.coalesce(column, F.lit(-1)), F.lit(now())).otherwise(F.col("updated_at"))).withColumn(column, F.coalesce("n", F.lit(0))).drop("n")
-        return docs
+        return docs.filter(~F.struct("chunks_count", "code_blocks_count").eqNullSafe(F.col("was"))).drop("was")
 
     def update_counts(self) -> int:
-        return self.commit(lambda: ({"documents": self.counted()}, {}))
+        """Writes the documents whose counts changed, and markers for what they were."""
+        with self.staging() as keep:
+
+            def change():
+                new = keep(self.counted())
+                return {}, {"documents": new, MARKS: self.markers(new.select(F.col("id").alias("document_id")), "documents")}
+
+            return self.commit(change)
 
     def compact(self, most: int = 1) -> int:
-        """Tables of more than so many folders become one folder each."""
-        many = [n for n, f in self.manifest().items() if len(f) > most]
-        return self.commit(lambda: ({n: self.table(n) for n in many}, {})) if many else self.version
+        """Tables of more than so many folders become one folder each; markers are folded in, where there are any."""
+        folders = self.manifest()
+        marked = MARKS in folders
+        many = [n for n in TABLES if len(folders[n]) > most or marked and n in (*CHILDREN, "documents")]
+        return self.commit(lambda: ({n: self.table(n) for n in many}, {}, *([True] if marked else []))) if many else self.version
 
     # --- backups ---
     def backup(self, keep: int = 7, folder: str | None = None) -> dict:
@@ -346,7 +382,7 @@ class Store:
             with self.held():
                 before = self.version
                 tables = {n: self.spark.read.schema(schema(n)).parquet(f"{entry['folder']}/{entry['id']}/{n}") for n in TABLES}
-                return self._publish({n: [self._folder(n, df)] for n, df in tables.items()}, before + 1)
+                return self._publish({n: [self._folder(n, df, before + 1)] for n, df in tables.items()}, before + 1)
 
         return retried(once)
 

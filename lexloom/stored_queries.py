@@ -54,8 +54,7 @@ COUNTS = f"(SELECT doc_id, source, lang, (SELECT count(*) FROM {VECTORS} v WHERE
 def store_changes(spark, d):
     """Appends, the deletion of documents by a condition, of one, and of a crawl, of one's chunks, and new counts."""
     store, x = filled(spark, d), table(spark, d, "documents")
-    german = [r[0] for r in x.filter("lang = 'de'").select(F.col("doc_id").cast("string")).collect()]
-    store.delete(F.col("id").isin(german))
+    store.discard(x.filter("lang = 'de'").select(F.col("doc_id").cast("string").alias("document_id")))
     store.delete_document("3")
     store.delete_crawl("s1")
     store.remove_chunks("4")

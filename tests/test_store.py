@@ -180,6 +180,38 @@ def test_append_writes_new_rows_only(spark, tmp_path):
     assert len(store.manifest()["document_tags"]) == 1 and store.table("document_tags").count() == 20_010
 
 
+def test_deletion_writes_ids_only(spark, tmp_path):
+    """What a deletion writes doesn't follow the table; rows that come later under a deleted id stay; compaction folds the markers in."""
+    wrote = {}
+    for n in (200, 4000):
+        store = open_store(spark, str(tmp_path / f"s{n}"))
+        docs = spark.range(n).selectExpr("CAST(id AS STRING) AS id", "uuid() AS title", "repeat(uuid(), 20) AS content", "'active' AS status", "IF(id % 2 = 0, 'c', 'd') AS crawl_id")
+        chunks = spark.range(2 * n).selectExpr("CAST(id AS STRING) AS id", "CAST(id DIV 2 AS STRING) AS document_id", "uuid() AS content", "array(CAST(1 AS FLOAT), CAST(rand() AS FLOAT)) AS embedding")
+        store.append({"documents": docs, "chunks": chunks})
+        size = lambda: sum(f.stat().st_size for f in (tmp_path / f"s{n}/data").rglob("*.parquet"))  # noqa: B023, E731
+        before = size()
+        store.delete_document("7")
+        store.remove_chunks("9")
+        wrote[n] = size() - before
+        assert (store.table("documents").count(), store.table("chunks").count()) == (n - 1, 2 * n - 4)
+        store.append({"documents": docs.filter("id = '7'"), "chunks": chunks.filter("document_id = '9'")})
+        assert (store.table("documents").count(), store.table("chunks").count()) == (n, 2 * n - 2)
+    assert wrote[4000] < 1.1 * wrote[200] < before / 10
+    store.update_counts()
+    t = store.table("documents")
+    assert (t.count(), t.filter("chunks_count = 2").count(), t.filter("id = '7' AND chunks_count = 0").count()) == (n, n - 1, 1)
+    size_before = size()
+    store.update_counts()
+    assert size() - size_before < before / 10  # nothing changed, nothing is written
+    assert store.delete_crawl("c")[1] == n // 2 and store.table("documents").count() == n // 2
+    assert store.discard(spark.range(1, 40, 2).selectExpr("CAST(id AS STRING) AS document_id")) and store.table("documents").count() == n // 2 - 20
+    copy, held = store.backup(), sorted(map(tuple, store.table("chunks").select("id", "document_id").collect()))
+    store.compact()
+    assert "deleted" not in store.manifest() and sorted(map(tuple, store.table("chunks").select("id", "document_id").collect())) == held
+    store.restore(copy["id"])
+    assert sorted(map(tuple, store.table("chunks").select("id", "document_id").collect())) == held and store.vacuum() > 0
+
+
 class Counting(Sine):
     def __init__(self, path):
         super().__init__(8)
