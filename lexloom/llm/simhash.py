@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import forget, per_row, released, shingle_hashes, written
@@ -264,7 +264,10 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def first_shingles(sets: DataFrame, similarity: float, common: np.ndarray) -> DataFrame:
-    """token, id, n: of each set the hashes that one as similar must share one of. They stand in one order for all sets: by the count in common (hash, count), then the hash."""
+    """token, id, n, ahead, strong: of each set the hashes that one as similar must share one of, in one order for all sets: by the count in common (hash, count), then the hash.
+
+    ahead: how many hashes of the set stand there or behind, which bounds what it can share with a set that it first meets there. strong: whether one that is not smaller may meet it there first;
+    of two as similar the smaller (either, if they are equal) is strong where they first meet, as it must share more of its hashes than the larger."""
     known = common[np.argsort(common[:, 0], kind="stable")]
 
     def run(batches):
@@ -276,16 +279,31 @@ def first_shingles(sets: DataFrame, similarity: float, common: np.ndarray) -> Da
                 ends, every = ends - ends[0], every[ends[0] : ends[-1]]
                 place = np.minimum(np.searchsorted(known[:, 0], every), max(len(known) - 1, 0))
                 weight = np.where(known[place, 0] == every, known[place, 1], 0) if len(known) else np.zeros(len(every), np.int64)
-                picked, sizes = [], []
+                picked, ahead, strong, sizes = [], [], [], []
                 for s, e in zip(ends[:-1], ends[1:], strict=True):
                     n = int(e - s)
                     most = n - math.ceil(similarity * n - 1e-9) + 1
                     picked.append(every[s:e][np.lexsort((every[s:e], weight[s:e]))[:most]])
+                    ahead.append(n - np.arange(len(picked[-1])))
+                    strong.append(ahead[-1] >= math.ceil(least_shared(n, n, similarity) - 1e-9))
                     sizes.append(len(picked[-1]))
                 which = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked or [every[:0]])), *(part.column(c).take(which) for c in ("id", "n"))], names=["token", "id", "n"])
+                join = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
+                yield pa.RecordBatch.from_arrays([join(picked, np.int64), *(part.column(c).take(which) for c in ("id", "n")), join(ahead, np.int32), join(strong, bool)], names=["token", "id", "n", "ahead", "strong"])
+
+    return sets.select("h", "id", "n").mapInArrow(released(run), "token long, id long, n int, ahead int, strong boolean")
+
 
-    return sets.select("h", "id", "n").mapInArrow(released(run), "token long, id long, n int")
+def least_shared(a, b, similarity: float):
+    """How many hashes sets of so many share at least, if they are as similar."""
+    return similarity / (1 + similarity) * (a + b)
+
+
+def may_meet(a: dict, b: dict, similarity: float):
+    """Whether rows of one token may be as similar, and meet there first: of numbers, arrays or columns n, ahead, strong."""
+    smaller = (a["n"] <= b["n"]) & a["strong"] | (b["n"] <= a["n"]) & b["strong"]
+    need = least_shared(a["n"], b["n"], similarity) - 1e-6
+    return sizes_fit(a["n"], b["n"], similarity) & smaller & (a["ahead"] >= need) & (b["ahead"] >= need)
 
 
 def sizes_fit(a, b, similarity: float):
@@ -298,8 +316,8 @@ def most_apart(a, b, similarity: float):
     return (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
 
 
-def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], half: np.ndarray | None, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Of the sets of one cell the pairs (i, j) with different labels that neither sizes nor parities rule out; and whether pairs were put off, each i meeting its `most` nearest only.
+def maybe(n: np.ndarray, ahead: np.ndarray, strong: np.ndarray, label: np.ndarray, bits: list[bytes], half: np.ndarray | None, similarity: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Of the sets of one cell the pairs (i, j) with different labels that neither may_meet nor parities rule out; and whether pairs were put off, each i meeting its `most` nearest only.
 
     The sets of the largest label are held against the others, not against each other. half: only pairs with different values."""
     kinds, which, count = np.unique(label, return_inverse=True, return_counts=True)
@@ -321,7 +339,7 @@ def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], half: np.ndarray
                 me = folded(np.frombuffer(bits[i], np.uint64).reshape(1, -1), w)
             else:
                 me = rows[at == i]
-            near = (label[at] != label[i]) & sizes_fit(n[at], n[i], similarity)
+            near = (label[at] != label[i]) & may_meet({"n": n[at], "ahead": ahead[at], "strong": strong[at]}, {"n": n[i], "ahead": ahead[i], "strong": strong[i]}, similarity)
             if half is not None:
                 near &= half[at] != half[i]
             rows, at = rows[near], at[near]
@@ -339,11 +357,12 @@ def maybe(n: np.ndarray, label: np.ndarray, bits: list[bytes], half: np.ndarray
 
 
 def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
-    """u, v (ids, u < v) and late, of each cell of rows with id, n, label, bits, half. late: rows that only say that pairs were put off."""
+    """u, v (ids, u < v) and late, of each cell of rows with id, n, ahead, strong, label, bits, half. late: rows that only say that pairs were put off."""
+    cols = ["id", "n", "ahead", "strong", "label", "half", "bits"]
 
-    def one(ids, n, label, half, bits):
-        cross = half is not None
-        i, j, late = maybe(n, label, bits, half if cross else None, similarity, most)
+    def one(ids, n, ahead, strong, label, half, bits):
+        half = np.array([-1 if x is None else x for x in half], np.int64)
+        i, j, late = maybe(*(np.array(x, np.int64) for x in (n, ahead)), np.array(strong, bool), np.array(label, np.int64), bits, half if (half >= 0).all() else None, similarity, most)
         pairs = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
         return [(u, v, False) for u, v in pairs] + ([(ids[0], ids[0], True)] if late else [])
 
@@ -351,15 +370,11 @@ def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
         cell, held = None, []
 
         def close():
-            if len(held) < 2:
-                return []
-            ids, n, label, half, bits = zip(*sorted(held), strict=True)
-            half = np.array([-1 if x is None else x for x in half], np.int64)
-            return one(ids, np.array(n, np.int64), np.array(label, np.int64), half if (half >= 0).all() else None, bits)
+            return one(*zip(*sorted(held), strict=True)) if len(held) > 1 else []
 
         for b in batches:
             out = []
-            for c, *row in zip(*(b.column(x).to_pylist() for x in ("cell", "id", "n", "label", "half", "bits")), strict=True):
+            for c, *row in zip(*(b.column(x).to_pylist() for x in ("cell", *cols)), strict=True):
                 if c != cell:
                     out += close()
                     cell, held = c, []
@@ -371,7 +386,7 @@ def met(rows: DataFrame, similarity: float, most: int) -> DataFrame:
         u, v, late = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(late, pa.bool_())], names=["u", "v", "late"])
 
-    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "id", "n", "label", "half", "bits").mapInArrow(released(run), "u long, v long, late boolean")
+    return rows.repartition("cell").sortWithinPartitions("cell").select("cell", *cols).mapInArrow(released(run), "u long, v long, late boolean")
 
 
 def cells(rows: DataFrame, limit: int) -> DataFrame:
@@ -421,12 +436,19 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
-def distinct_buckets(live: DataFrame) -> DataFrame:
-    """Of buckets (token) with the same ids one: texts that share a passage share all its shingles. Buckets are told apart by the number of their ids and two sums of hashes, 128 bits, made where the rows are."""
-    marks = live.groupBy("token", "sharing").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
-    one = written(marks.groupBy("sharing", "x", "y").agg(F.min("token").alias("token")).select("token"))
-    out = written(live.join(one, "token", "left_semi"))
-    forget(live, one)
+def buckets(first: DataFrame) -> DataFrame:
+    """Rows of first_shingles in buckets (token, sharing: its rows) in which a pair may meet: of two rows or more, one of them strong.
+
+    Of buckets with the same ids one stays: texts that share a passage share all its shingles. Its rows have what the most of these buckets allows. Buckets are told apart by
+    the number of their ids and two sums of hashes, 128 bits, made where the rows are, as the counts are: no token's rows meet in one task for it."""
+    first = written(first)
+    sums = [F.count("*").alias("sharing"), F.max("strong").alias("any"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")]
+    marks = written(first.groupBy("token").agg(*sums).filter("sharing > 1 AND any").drop("any"))
+    one = written(marks.groupBy("sharing", "x", "y").agg(F.min("token").alias("one")))
+    names = written(marks.join(one, ["sharing", "x", "y"]).select("token", "one", "sharing"))
+    out = first.join(names, "token").groupBy(F.col("one").alias("token"), "sharing", "id", "n").agg(F.max("ahead").alias("ahead"), F.max("strong").alias("strong"))
+    out = written(out)
+    forget(first, marks, one, names)
     return out
 
 
@@ -458,9 +480,10 @@ def equal_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 20, share: int = 8, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(id, root) of the ids that hang together over the known links (u, v) and all pairs of texts that share at least `similarity` of their distinct shingles; and (id, least) of those whose text is that of a lesser id, which are not in the former.
 
-    Exact: two such sets share one of their first shingles, whatever the order; the counts in one of `share` sets only put common ones last (`common` of them at most). The sets of a
-    bucket (a shared first shingle) all meet if they are few, else all meet the first of them. Then, in large buckets, sets of different
-    components meet, those that sizes and parities do not rule out: `most` for each set, then four times as many, until none was put
+    Exact: two such sets share one of their first shingles, whatever the order; the counts in one of `share` sets only put common ones last (`common` of them at most), and where they first meet the smaller
+    is strong (first_shingles). Texts that share a passage and little else are strong in none of its shingles, so it makes no bucket. The sets of a
+    bucket (a shared first shingle) all meet if they are few, else all meet the first strong one of them. Then, in large buckets, sets of different
+    components meet, those that sizes, places and parities do not rule out: `most` for each set, then four times as many, until none was put
     off. Only pairs inside a component are never compared, as they change nothing. An exact count decides."""
     kind = docs.schema[id_col].dataType.typeName()
     if kind not in ("byte", "short", "integer", "long"):
@@ -485,14 +508,15 @@ def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     worded = worded if twins.isEmpty() else among(worded, twins.select("id"), anti=True)
     some = sets.filter(F.pmod(F.xxhash64("key"), F.lit(share)) == 0)
     often = some.select(F.explode("h").alias("t")).groupBy("t").count().filter("count > 1").orderBy(F.desc("count"), "t").limit(common).toArrow()  # at most `common` pairs of numbers
-    shared = F.count("*").over(Window.partitionBy("token"))
-    live = distinct_buckets(written(first_shingles(worded, similarity, np.stack([often.column(c).to_numpy() for c in ("t", "count")], axis=1)).withColumn("sharing", shared).filter("sharing > 1")))
-    fit = lambda a, b: (a["id"] < b["id"]) & sizes_fit(a["n"], b["n"], similarity)
-    few = live.filter(F.col("sharing") <= FEW).groupBy("token").agg(F.collect_list(F.struct("id", "n")).alias("m"))
+    live = buckets(first_shingles(worded, similarity, np.stack([often.column(c).to_numpy() for c in ("t", "count")], axis=1)))
+    fit = lambda a, b: (a["id"] < b["id"]) & may_meet(a, b, similarity)
+    row = F.struct("id", "n", "ahead", "strong")
+    few = live.filter(F.col("sharing") <= FEW).groupBy("token").agg(F.collect_list(row).alias("m"))
     few = few.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: fit(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))).alias("p")).select("p.*")
     large = live.filter(F.col("sharing") > FEW)
-    first = written(large.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first")))
-    led = large.join(first, "token").filter(sizes_fit(F.col("first.n"), F.col("n"), similarity) & (F.col("first.id") < F.col("id"))).select(F.col("first.id").alias("u"), F.col("id").alias("v"))
+    first = written(large.filter("strong").groupBy("token").agg(F.min(row).alias("first")))
+    led = large.join(first, "token").filter((F.col("first.id") != F.col("id")) & may_meet({c: F.col(f"first.{c}") for c in ("n", "ahead", "strong")}, {c: F.col(c) for c in ("n", "ahead", "strong")}, similarity))
+    led = led.select(F.least("first.id", "id").alias("u"), F.greatest("first.id", "id").alias("v"))
     done = written(few.unionByName(led).distinct())
     links = links.unionByName(verified(done, sets, similarity))
     label = components(links)

@@ -64,3 +64,56 @@ def test_crowded_cells(spark, most):
     start = words(rng, 120)
     texts += [" ".join(start + words(rng, rng.randrange(20, 40))) for _ in range(80)]
     held(spark, texts, most=most)
+
+
+def counted(spark, monkeypatch, texts):
+    """How many rows went into buckets and cells, and how many pairs were verified."""
+    n = {"buckets": 0, "cells": 0, "verified": 0}
+    real = {k: getattr(simhash, k) for k in n}
+
+    def after(k):
+        def run(*a):
+            out = real[k](*a)
+            n[k] += out.count()
+            return out
+
+        return run
+
+    def before(p, *a):
+        n["verified"] += p.count()
+        return real["verified"](p, *a)
+
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "buckets", after("buckets"))
+        m.setattr(simhash, "cells", after("cells"))
+        m.setattr(simhash, "verified", before)
+        held(spark, texts)
+    return n
+
+
+@pytest.mark.parametrize("share", [0.5, 0.82, 0.87])
+def test_one_passage_in_unlike_texts(spark, monkeypatch, share):
+    """Texts of any size that have a passage in common and are not alike make no buckets, let alone pairs; but for a few that happen to have words around it in common, too."""
+    for size in (50, 100, 200):
+        rng = random.Random(4)
+        passage, texts = words(rng, 400), []
+        for _ in range(size):
+            own = int(len(passage) * (1 / share - 1) * rng.uniform(1, 1.1))
+            k = rng.randrange(own)
+            texts.append(" ".join(words(rng, k) + passage + words(rng, own - k)))
+        n = counted(spark, monkeypatch, texts)
+        assert n["cells"] == 0 and n["buckets"] <= size / 10 and n["verified"] <= size / 20
+
+
+def test_near_copies_at_the_threshold(spark, monkeypatch):
+    """One text with one to three words changed: some are alike, most pairs are not. Work follows the texts."""
+    for size in (50, 100, 200):
+        rng = random.Random(5)
+        base, texts = words(rng, 120), []
+        for _ in range(size):
+            own = list(base)
+            for at in rng.sample(range(120), rng.randrange(1, 4)):
+                own[at] = f"n{rng.randrange(10**9)}"
+            texts.append(" ".join(own))
+        n = counted(spark, monkeypatch, texts)
+        assert n["buckets"] <= 12 * size and n["cells"] <= 3 * n["buckets"] and n["verified"] <= 6 * size
