@@ -17,6 +17,7 @@ from lexloom.plans.config import Settings
 from lexloom.sources import http, uploads
 from lexloom.sources.crawl import Crawl
 from lexloom.sources.store import Store
+from lexloom.sources.vector_index import VectorIndex
 
 
 class Tools:
@@ -28,8 +29,36 @@ class Tools:
         t = self.store.tables()
         return {"documents": t["documents"], "tags": t["document_tags"], "languages": t["document_languages"], "chunks": t["chunks"], "keywords": t["keywords"], "code_blocks": t["code_blocks"]}
 
+    def _index(self) -> VectorIndex | None:
+        """The vector index beside the store, if one was built."""
+        index = VectorIndex(self.store.spark, f"{self.store.path}-index")
+        return index if index.exists() else None
+
+    def build_index(self, kind: str = "graph", **options) -> int:
+        """A vector index over all chunks; from then on queries take their candidates from it, and ingests add to it."""
+        return VectorIndex(self.store.spark, f"{self.store.path}-index").fit(self.store.table("chunks"), kind, **options)
+
+    def sync_index(self, **options) -> bool:
+        """Adds the chunks that the index lacks, or fits it anew where the rows have drifted; whether there was something to do. Chunks that went are passed over when queries read."""
+        index = self._index()
+        if index is None:
+            return False
+        chunks = self.store.table("chunks")
+        new = chunks.select("id", "embedding").join(index.rows().select(F.explode("ids").alias("id")), "id", "left_anti")
+        if new.isEmpty():
+            return False
+        index.append(new)
+        if index.needs_fit():
+            index.fit(chunks, index.model()["kind"], **options)
+        return True
+
     def _ingest(self, rows: list[dict], names: str, **options) -> int:
         raw = self.store.spark.createDataFrame(rows, names)
+        version = self._ingested(raw, **options)
+        self.sync_index()
+        return version
+
+    def _ingested(self, raw: DataFrame, **options) -> int:
         accepted = list(self.settings.accepted_languages) if self.languages else None
         return ingest.ingest(self.store, raw, self.make, self.provider.model, languages=self.languages, accepted=accepted, size=self.settings.chunk_size, overlap=self.settings.chunk_overlap, **options)
 
@@ -62,6 +91,7 @@ class Tools:
         n = good.count()
         if n:
             ingest.ingest(self.store, good, self.make, self.provider.model, replace_titles=True, languages=self.languages)
+            self.sync_index()
         return {"processed": n, "errors": [f"{r['title']}: {r['error']}" for r in found.filter("error IS NOT NULL").collect()]}
 
     def list_uploads_files(self, folder: str) -> DataFrame:
@@ -125,7 +155,8 @@ class Tools:
             return self.search_documents(document_id, text, limit), None
         s = self.settings
         o = options or hybrid.Options(threshold=s.similarity_threshold, default_languages=s.query_languages, generated_tags_count=s.generated_tags_in_query)
-        return hybrid.query(self._tables(), text, self.provider.embed(text), replace(o, limit=limit, offset=offset, include_metadata=include_metadata, filters=filters or {}))
+        tables = self._tables() | ({"index": index} if (index := self._index()) else {})
+        return hybrid.query(tables, text, self.provider.embed(text), replace(o, limit=limit, offset=offset, include_metadata=include_metadata, filters=filters or {}))
 
     def search_code_blocks(self, query: str, limit: int | None = None, language: str | None = None) -> DataFrame:
         blocks = self.store.table("code_blocks")

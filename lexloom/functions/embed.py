@@ -148,7 +148,9 @@ def embedded(rows: DataFrame, text_col: str, make: Callable[[], Provider], model
     keyed = rows.withColumn("key", cache_key(model, F.col(text_col)))
     texts = keyed.filter(F.col(text_col).isNotNull()).groupBy("key").agg(F.min(text_col).alias("text"))
     if known is not None:
+        asked, known = texts.select("key"), known.select("key", F.col("embedding").cast("array<float>").alias("embedding"))
         texts = texts.join(known.select("key"), "key", "left_anti")
+        known = known.join(asked, "key", "left_semi")  # the rest of the cache stays where it is
 
     @F.pandas_udf("array<float>")
     def run(parts: pd.Series) -> pd.Series:
@@ -163,7 +165,7 @@ def embedded(rows: DataFrame, text_col: str, make: Callable[[], Provider], model
 
     vectors = texts.select("key", run("text").alias("embedding"))
     if known is not None:
-        vectors = vectors.unionByName(known.select("key", F.col("embedding").cast("array<float>").alias("embedding")))
+        vectors = vectors.unionByName(known)
     return keyed.join(vectors, "key", "left").drop("key")
 
 

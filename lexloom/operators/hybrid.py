@@ -28,7 +28,7 @@ class Options:
 
 
 def ranked(tables: dict[str, DataFrame], text: str, query_vector, o: Options | None = None) -> DataFrame:
-    """All results in order: id, title, score, ratio, order (three keys). tables: documents, tags, languages, chunks, keywords."""
+    """All results in order: id, title, score, ratio, order (three keys). tables: documents, tags, languages, chunks, keywords; and perhaps an index (VectorIndex), which then gives the candidates."""
     o = o or Options()
     wanted = dict(o.filters)
     wanted.setdefault("languages", list(o.default_languages))
@@ -41,7 +41,11 @@ def ranked(tables: dict[str, DataFrame], text: str, query_vector, o: Options | N
     if o.prefilter:
         chunks = chunks.join(passing.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     n = (o.limit + o.offset) * 5 if o.rerank else o.candidates
-    hits = vector.topk(chunks.select("id", "document_id", "embedding"), query_vector, n, metric=o.metric)
+    if tables.get("index") is not None and not o.prefilter and o.metric == "cosine":
+        # of the index's rows those that are still there
+        hits = chunks.select("id", "document_id").join(tables["index"].topk(query_vector, n).select("id", "score"), "id")
+    else:
+        hits = vector.topk(chunks.select("id", "document_id", "embedding"), query_vector, n, metric=o.metric)
     found = fusion.by_document(hits, o.threshold).select("document_id", "score")
     words = query_keywords(text)
     if words:

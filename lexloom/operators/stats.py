@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import ranks
+
 
 def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """A row for each table: name, rows."""
@@ -15,13 +18,19 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 def percentile(rows: DataFrame, value: str, p: float) -> DataFrame:
     """Nearest rank: the value at place ceil(p / 100 * n)."""
-    return rows.agg(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias("value"))
+    return ranks.quantiles(rows, value, {"value": Decimal(str(p)) / 100})
 
 
 def latency(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """p50, p95, p99, avg, min and max."""
-    ranks = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return rows.groupBy(*(by or [])).agg(*ranks, F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
+    by = by or []
+    found = ranks.quantiles(rows, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by)
+    sums = rows.groupBy(*by).agg(F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"))
+    if not by:
+        return found.crossJoin(F.broadcast(sums))  # single rows
+    side = sums.select(*(F.col(c).alias(f"_{c}") for c in by), "avg", "min", "max")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return found.join(side, same).drop(*(f"_{c}" for c in by))
 
 
 def average_time(records: DataFrame, value: str = "total_time", last: int = 1000, order: str = "at") -> DataFrame:

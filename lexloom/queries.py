@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import chunk, html, langtag, language, text, urls
-from lexloom.operators import documents, filters, fusion, hybrid, keyword, rerank, stats, validate, vector
-from lexloom.session import ship
+from lexloom.operators import documents, filters, fusion, hybrid, keyword, postings, ranks, rerank, stats, validate, vector
+from lexloom.session import shared_folder, ship
 from lexloom.sources import crawl
+from lexloom.sources.vector_index import VectorIndex
 
 QUERIES, SQL = {}, {}
 WORDS = "thble ering thing thble"  # a query's text
@@ -146,6 +147,51 @@ def ivf_topk(spark, d):
     return rounded(vector.ivf_topk(indexed, centroids, first_vector(spark, d), 10, probes=probes).select("id", "cell", "score"), "score")
 
 
+def found_again(spark, d, index: VectorIndex, **options) -> DataFrame:
+    """One row: the queries, the neighbours they have, and whether the index gives nine tenths of these."""
+    rows = chunks(spark, d)
+    asked = rows.filter("id % 100 = 0")
+    best, got = vector.search(rows, asked, 10).select("query", "id"), index.search(asked, 10, **options).select("query", "id", F.lit(1).alias("met"))
+    both = best.join(got, ["query", "id"], "left")
+    return both.agg(F.countDistinct("query").alias("queries"), F.count("*").alias("neighbours"), (F.count("met") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+RECALL = "SELECT count(*) AS queries, 10 * count(*) AS neighbours, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0"
+
+
+@query(RECALL)
+def graph_recall(spark, d):
+    """A stored index of graphs over every row."""
+    index = VectorIndex(spark, shared_folder(spark))
+    index.fit(chunks(spark, d))
+    return found_again(spark, d, index)
+
+
+@query(RECALL)
+def codes_recall(spark, d):
+    """A stored index of product codes over every row, a byte for four numbers."""
+    index = VectorIndex(spark, shared_folder(spark))
+    index.fit(chunks(spark, d), "codes")
+    return found_again(spark, d, index)
+
+
+@query(RECALL)
+def index_growth(spark, d):
+    """Fitted on half of the rows, the rest appended: found alike."""
+    index, rows = VectorIndex(spark, shared_folder(spark)), chunks(spark, d)
+    index.fit(rows.filter("id % 2 = 1"))
+    index.append(rows.filter("id % 2 = 0"))
+    return found_again(spark, d, index)
+
+
+@query()
+def graph_search(spark, d):
+    """Every hundredth row as a query; scored: how many rows it took."""
+    index = VectorIndex(spark, shared_folder(spark))
+    index.fit(chunks(spark, d))
+    return rounded(index.search(chunks(spark, d).filter("id % 100 = 0"), 10), "score")
+
+
 @query(f"SELECT keyword, CAST(count(*) AS BIGINT) AS frequency, count(DISTINCT document_id) AS documents FROM {KEYWORDS} GROUP BY keyword")
 def keyword_index(spark, d):
     rows = keyword.index(docs(spark, d), fields={"content": "content"})
@@ -158,6 +204,23 @@ def keyword_search(spark, d):
     return keyword.search(keyword.index(docs(spark, d), fields={"content": "content"}, only=words), words)
 
 
+def posted(spark, d) -> DataFrame:
+    """Stored posting blocks of all words of all documents."""
+    return postings.store(keyword.index(docs(spark, d), fields={"content": "content"}), shared_folder(spark))
+
+
+@query(f"SELECT * FROM {MATCHED}")
+def posting_search(spark, d):
+    """The same from stored blocks: only those of the query's words are read."""
+    return postings.search(posted(spark, d), text.query_keywords(WORDS))
+
+
+@query(f"SELECT * FROM {MATCHED} WHERE matched >= 2 ORDER BY score DESC, document_id LIMIT 10")
+def posting_topk(spark, d):
+    """The ten best with two words, without the blocks that can't hold one."""
+    return postings.topk(posted(spark, d), text.query_keywords(WORDS), 10, 2)
+
+
 @query(f"SELECT document_id, round(score, 6) AS score, matched FROM {ELIGIBLE} WHERE score >= 0.1")
 def keyword_eligible_normalized(spark, d):
     return rounded(keyword.eligible(keyword.index(docs(spark, d), fields={"content": "content"}, only=text.query_keywords(WORDS)), WORDS, 0.1), "score")
@@ -247,6 +310,21 @@ def list_documents_page(spark, d):
     return documents.listing(docs(spark, d), 20, 50, 200).select("id", "preview", "content_length")
 
 
+@query("SELECT doc_id AS id, CAST(length(text) AS INTEGER) AS content_length FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50 OFFSET (SELECT count(*) // 2 FROM documents)")
+def deep_page(spark, d):
+    """The page in the middle of the list."""
+    x = docs(spark, d)
+    return ranks.page_at(x, [("updated_at", True)], "id", x.count() // 2, 50).select("id", "content_length")
+
+
+@query("WITH x AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM documents) SELECT doc_id AS id, CAST(length(text) AS INTEGER) AS content_length FROM x WHERE nth > (SELECT nth FROM x WHERE doc_id = (SELECT max(doc_id) // 2 FROM documents)) ORDER BY nth LIMIT 50")
+def page_from_key(spark, d):
+    """The page behind a document, by its key."""
+    x = docs(spark, d)
+    last = x.filter(F.col("id") == x.agg(F.floor(F.max("id") / 2)).first()[0]).first()
+    return ranks.page_after(x, [("updated_at", True)], "id", (last["updated_at"], last["id"]), 50).select("id", "content_length")
+
+
 @query("SELECT content_hash, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, substring(sha256(trim(text, ' ' || chr(9) || chr(10) || chr(13))), 1, 16) AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1")
 def content_hash_duplicates(spark, d):
     x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.content_hash(F.col("text")).alias("content_hash"))

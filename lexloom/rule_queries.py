@@ -21,14 +21,19 @@ def said(rows: list[tuple], names: str) -> str:
 
 # --- index plans and costs ---
 
-SIZES = [0, 5, 100, 256, 1000, 10_000, 999_999, 1_000_000, 1_000_001, 5_000_000, 10_000_000, 10_000_001, 100_000_000]
+GROWN = "(SELECT count(*) * g AS n FROM documents, (VALUES (1), (1000), (100000), (10000000)) v(g) GROUP BY source, lang, g)"
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, CAST(least(2048, greatest(16, floor(sqrt(n)))) AS BIGINT) AS cells, CAST(least(256, greatest(4, 384 // 16)) AS BIGINT) AS parts, CASE WHEN n > 10000000 THEN 64 WHEN n > 1000000 THEN 32 ELSE 16 END AS m, CASE WHEN n > 10000000 THEN 800 WHEN n > 1000000 THEN 400 ELSE 200 END AS build, CASE WHEN n > 10000000 THEN 200 WHEN n > 1000000 THEN 100 ELSE 50 END AS ef, CAST(ceil((n * 384 * 4 + (CASE WHEN n > 10000000 THEN 64 WHEN n > 1000000 THEN 32 ELSE 16 END) * 2 * n * 8) * 2.5) AS BIGINT) AS bytes, CASE WHEN n % 2 = 0 THEN 'HNSW' ELSE 'IVF_PQ' END AS label FROM (SELECT unnest([" + ", ".join(map(str, SIZES)) + "]::BIGINT[]) AS n)")
+def grown(spark, d) -> list[int]:
+    """How many rows each source has in each language, and what they would be at other sizes."""
+    return sorted({r["count"] * g for r in table(spark, d, "documents").groupBy("source", "lang").count().collect() for g in (1, 1000, 100_000, 10_000_000)})
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, CAST(least(2048, greatest(16, floor(sqrt(n)))) AS BIGINT) AS cells, CAST(least(256, greatest(4, 384 // 16)) AS BIGINT) AS parts, CASE WHEN n > 10000000 THEN 64 WHEN n > 1000000 THEN 32 ELSE 16 END AS m, CASE WHEN n > 10000000 THEN 800 WHEN n > 1000000 THEN 400 ELSE 200 END AS build, CASE WHEN n > 10000000 THEN 200 WHEN n > 1000000 THEN 100 ELSE 50 END AS ef, CAST(ceil((n * 384 * 4 + (CASE WHEN n > 10000000 THEN 64 WHEN n > 1000000 THEN 32 ELSE 16 END) * 2 * n * 8) * 2.5) AS BIGINT) AS bytes, CASE WHEN n % 2 = 0 THEN 'HNSW' ELSE 'IVF_PQ' END AS label FROM (SELECT DISTINCT n FROM {GROWN})")
 def index_plans(spark, d):
     """Parameters of both kinds of index by the number of rows; the kind by a switch, here whether the number is even."""
     rows = []
-    for n in SIZES:
+    for n in grown(spark, d):
         cells, parts = vector.ivf_parameters(n, 384)
         h = vector.hnsw_parameters(n)
         choice = vector.index_choice(n, 384, prefer_hnsw=n % 2 == 0)
@@ -36,19 +41,23 @@ def index_plans(spark, d):
     return spark.createDataFrame(rows, "n long, cells long, parts long, m int, build int, ef int, bytes long, label string")
 
 
-LIMITS = [(m, b, e) for m in (3, 4, 128, 129) for b in (49, 50, 1000, 1001) for e in (9, 10, 1000, 1001)]
+@query("SELECT doc_id, CAST(doc_id * 7 % 140 NOT BETWEEN 4 AND 128 AS INTEGER) + CAST(n_chars % 1100 NOT BETWEEN 50 AND 1000 AS INTEGER) + CAST(doc_id % 1100 NOT BETWEEN 10 AND 1000 AS INTEGER) AS errors FROM documents")
+def index_limits(spark, d):
+    """Parameters that follow from a document's numbers, against their limits."""
 
+    @F.pandas_udf("int")
+    def errors(m: pd.Series, b: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([len(vector.hnsw_errors(*x)) for x in zip(m, b, e, strict=True)], dtype="int32")
 
-@query("SELECT m, b, e, CAST(CAST(m NOT BETWEEN 4 AND 128 AS INTEGER) + CAST(b NOT BETWEEN 50 AND 1000 AS INTEGER) + CAST(e NOT BETWEEN 10 AND 1000 AS INTEGER) AS INTEGER) AS errors FROM (SELECT unnest([3, 4, 128, 129]) AS m) a, (SELECT unnest([49, 50, 1000, 1001]) AS b) c, (SELECT unnest([9, 10, 1000, 1001]) AS e) f")
-def index_limits(spark, d):
-    return spark.createDataFrame([(*x, len(vector.hnsw_errors(*x))) for x in LIMITS], "m int, b int, e int, errors int")
+    n = F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", errors(n * 7 % 140, F.col("n_chars") % 1100, n % 1100).alias("errors"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, f AS filters, CAST(10 + ceil(5 * log2(greatest(n, 1))) + 5 * f + 5 AS BIGINT) AS estimate, CAST((CASE WHEN f > 0 THEN 10 ELSE 0 END) + 20 + 15 + 50 + 5 AS BIGINT) AS total, CASE WHEN f > 0 THEN 'scalar_filter,' ELSE '' END || 'tag_filter,keyword_search,vector_search,limit' AS steps FROM (SELECT unnest([0, 1, 10, 1000, 123456, 100000000]) AS n) a, (SELECT unnest([0, 1, 3]) AS f) b")
+@query(f"SELECT CAST(n AS BIGINT) AS n, f AS filters, CAST(10 + ceil(5 * log2(greatest(n, 1))) + 5 * f + 5 AS BIGINT) AS estimate, CAST((CASE WHEN f > 0 THEN 10 ELSE 0 END) + 20 + 15 + 50 + 5 AS BIGINT) AS total, CASE WHEN f > 0 THEN 'scalar_filter,' ELSE '' END || 'tag_filter,keyword_search,vector_search,limit' AS steps FROM (SELECT DISTINCT n FROM {GROWN}) a, (SELECT unnest([0, 1, 3]) AS f) b")
 def plan_costs(spark, d):
     """A described plan: its steps in the order the optimizer gives them, their cost, and the estimate by rows and filters."""
     rows = []
-    for n in (0, 1, 10, 1000, 123_456, 100_000_000):
+    for n in grown(spark, d):
         for f in (0, 1, 3):
             steps = cost.optimized(cost.plan(filters=f, tags=True, keywords=True)[::-1])
             rows.append((n, f, cost.estimate(n, f), cost.total(steps), ",".join(s.kind for s in steps)))
@@ -106,13 +115,15 @@ def nullable_and_tags(spark, d):
     return x.select("doc_id", text.nullable(raw).alias("name"), F.array_join(text.split_tags(listed), ",").alias("tags"))
 
 
-TYPES = [("text/html; charset=utf-8", "text/html", True), (" Text/Plain ", "text/plain", True), ("application/json", "application/json", True), ("application/pdf", "application/pdf", False), ("", "", True), ("image/png;q=1", "image/png", False), ("application/xhtml+xml;x", "application/xhtml+xml", True), ("application/rss+xml", "application/rss+xml", True)]
+TYPES = ["text/html", " Text/Plain ", "application/json", "application/pdf", "", "image/png", "application/xhtml+xml", "application/rss+xml"]
 
 
-@query(said([(i, *t[1:]) for i, t in enumerate(TYPES)], "id, kind, is_text"))
+@query("SELECT doc_id, lower(trim(kind)) AS kind, kind NOT IN ('application/pdf', 'image/png') AS is_text FROM (SELECT doc_id, ([" + ", ".join(f"'{t}'" for t in TYPES) + "])[CAST(doc_id % 8 AS INTEGER) + 1] AS kind FROM documents)")
 def content_types(spark, d):
-    rows = spark.createDataFrame([(i, t[0]) for i, t in enumerate(TYPES)], "id int, header string")
-    return rows.select("id", text.content_type(F.col("header")).alias("kind")).withColumn("is_text", text.is_text_type(F.col("kind")))
+    """The kind of a header, whatever stands behind it, and whether it is text."""
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    header = F.when(F.col("doc_id") % 3 == 0, F.concat(kind, F.lit(";charset="), "source")).otherwise(kind)
+    return table(spark, d, "documents").select("doc_id", text.content_type(header).alias("kind")).withColumn("is_text", text.is_text_type(F.col("kind")))
 
 
 @query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'rust' WHEN 3 THEN 'shell' WHEN 4 THEN NULL ELSE 'toml' END AS language FROM documents")
@@ -133,19 +144,18 @@ def keys_and_shapes(spark, d):
     return x.select("doc_id", embed.cache_key("sine", F.col("text")).alias("key"), text.is_content_hash(F.substring(F.upper(F.sha2("text", 256)), 1, 16)).alias("is_hash"), text.is_uuid(F.when(F.col("doc_id") % 2 == 0, own).otherwise(F.substring(own, 2, 40))).alias("is_uuid"))
 
 
-ANSWERS = [('["A", " b ", "a"]', "a,b"), ('Tags: ["x", "Y"] and more', "x,y"), ("one, two\nThree", "one,two,three"), ("[broken, two", "[broken,two"), ("", "")]
-
-
-@query(said([(i, t[1]) for i, t in enumerate(ANSWERS)], "id, tags"))
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '[' || lower(source) || ',two' ELSE lower(source) || ',two' END AS tags FROM documents")
 def answer_tags(spark, d):
-    rows = spark.createDataFrame([(i, t[0]) for i, t in enumerate(ANSWERS)], "id int, answer string")
-    return rows.select("id", F.array_join(answers.tags(F.col("answer")), ",").alias("tags"))
+    """Tags of an answer: a JSON list, one among other words, words with commas, and a broken list."""
+    own, at = F.upper("source"), F.col("doc_id") % 4
+    answer = F.when(at == 0, F.concat(F.lit('["'), own, F.lit('", " Two ", "two"]'))).when(at == 1, F.concat(F.lit('Tags: ["'), own, F.lit('", "two"] and more'))).when(at == 2, F.concat(own, F.lit(", two\n"))).otherwise(F.concat(F.lit("["), own, F.lit(", two")))
+    return table(spark, d, "documents").select("doc_id", F.array_join(answers.tags(answer), ",").alias("tags"))
 
 
-@query("SELECT conv_id, CAST(turn AS INTEGER) AS chunk_index, text AS content FROM conversations WHERE turn < 2 AND trim(text) <> '' AND conv_id % 2 = 0")
+@query("SELECT conv_id, CAST(turn AS INTEGER) AS chunk_index, text AS content FROM conversations WHERE trim(text) <> '' AND conv_id % 2 = 0")
 def answer_sections(spark, d):
     """What a chat model's JSON says, with words around it; sections without content and answers that are no JSON give none."""
-    x = table(spark, d, "conversations").filter("turn < 2")
+    x = table(spark, d, "conversations")
     body = F.to_json(F.struct(F.array(F.struct(F.col("turn").alias("chunk_index"), F.col("text").alias("content")), F.struct(F.lit(99).alias("chunk_index"), F.lit(" ").alias("content"))).alias("relevant_sections")))
     answer = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("Here: "), body, F.lit(" Done."))).otherwise("none found")
     return x.select("conv_id", F.explode(answers.sections(answer)).alias("s")).select("conv_id", "s.chunk_index", "s.content")
@@ -215,10 +225,10 @@ def html_links(spark, d):
     return x.filter(F.col("link").rlike("^https?://[^/]+/[A-Za-z0-9.,]*$")).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-@query("SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'javascript' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'unknown' END AS language, trim(text) AS content, CASE turn % 4 WHEN 0 THEN 'data-lang-short' WHEN 1 THEN 'data-lang' WHEN 2 THEN 'standard' ELSE 'plain' END AS method, CAST(turn AS INTEGER) AS turn FROM conversations WHERE turn < 8 AND trim(text) <> ''")
+@query("SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'javascript' WHEN 1 THEN 'typescript' WHEN 2 THEN 'python' ELSE 'unknown' END AS language, trim(text) AS content, CASE turn % 4 WHEN 0 THEN 'data-lang-short' WHEN 1 THEN 'data-lang' WHEN 2 THEN 'standard' ELSE 'plain' END AS method, CAST(turn AS INTEGER) AS turn FROM conversations WHERE trim(text) <> ''")
 def html_code_languages(spark, d):
     """A pre for each turn, with its language said in four ways."""
-    x = table(spark, d, "conversations").filter("turn < 8")
+    x = table(spark, d, "conversations")
     escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     how = F.element_at(F.array(*map(F.lit, ['<pre data-lang="JS"><code>', '<pre><code data-language="ts">', '<pre class="x"><code class="hljs lang-py">', "<pre><code>"])), (F.col("turn") % 4 + 1).cast("int"))
     how = F.when(F.col("turn") % 4 == 2, '<pre><code class="lang-py hljs">').otherwise(how)
@@ -227,15 +237,15 @@ def html_code_languages(spark, d):
     return x.select("conv_id", F.col("turn").cast("int").alias("turn"), block.alias("b")).filter("b IS NOT NULL").select("conv_id", "turn", "b.language", "b.content", F.col("b.extraction_method").alias("method"))
 
 
-TABS = '<div class="tabs"><div role="tablist"><pre data-lang="js">same</pre><pre data-lang="py">same</pre><pre data-lang="js">same</pre></div></div><pre>same</pre><pre>plain</pre><pre class="language-go">plain</pre><pre>  </pre>'
-
-
-@query("SELECT page_id, block_id, block_index, language, content, variants FROM pages, (VALUES ('tabbed-block-0', 0, 'javascript', 'same', 3), ('tabbed-block-0', 1, 'python', 'same', 3), ('block-5', 5, 'go', 'plain', 0)) b(block_id, block_index, language, content, variants) WHERE page_id < 20")
+@query("SELECT conv_id, CAST(turn AS INTEGER) AS turn, block_id, block_index, language, trim(lead || text) AS content, variants FROM conversations, (VALUES ('tabbed-block-0', 0, 'javascript', '', 3), ('tabbed-block-0', 1, 'python', '', 3), ('block-5', 5, 'go', 'plain ', 0)) b(block_id, block_index, language, lead, variants) WHERE trim(text) <> ''")
 def html_code_groups(spark, d):
-    """Tabs are one group; a repeat in one language goes; a known language takes the place of an unknown one."""
-    x = table(spark, d, "pages").filter("page_id < 20")
-    page = html.extracted(F.concat(F.lit("<html><body>"), F.lit(TABS), F.lit("</body></html>")), F.col("url"))
-    return x.select("page_id", F.explode(page.getField("code_blocks")).alias("b")).select("page_id", "b.block_id", "b.block_index", "b.language", "b.content", F.coalesce("b.variant_count", F.lit(0)).alias("variants"))
+    """A page of each turn, in which its text stands in tabs and outside: tabs are one group; a repeat in one language goes; a known language takes the place of an unknown one."""
+    x = table(spark, d, "conversations").filter(F.trim("text") != "")
+    own = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    pre = lambda how, lead="": F.concat(F.lit(f"<pre{how}>{lead}"), own, F.lit("</pre>"))
+    page = F.concat(F.lit('<html><body><div class="tabs"><div role="tablist">'), pre(' data-lang="js"'), pre(' data-lang="py"'), pre(' data-lang="js"'), F.lit("</div></div>"), pre(""), pre("", "plain "), pre(' class="language-go"', "plain "), F.lit("<pre>  </pre></body></html>"))
+    blocks = html.extracted(page, F.lit("https://e.com/")).getField("code_blocks")
+    return x.select("conv_id", F.col("turn").cast("int").alias("turn"), F.explode(blocks).alias("b")).select("conv_id", "turn", "b.block_id", "b.block_index", "b.language", "b.content", F.coalesce("b.variant_count", F.lit(0)).alias("variants"))
 
 
 @query("SELECT page_id, html LIKE '%&amp;%' AS had, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '&amp;', '&') AS title FROM pages")
@@ -318,11 +328,11 @@ def average_time(spark, d):
     return stats.average_time(x).select(F.round("average", 6).alias("average"))
 
 
-HISTORY = "(SELECT CAST(event_id AS VARCHAR) AS id, event_id % 7 <> 0 AS success, CAST(round(value * 10) AS BIGINT) AS duration_ms, event_id % 1000 AS size, CAST(ts AS VARCHAR) AS timestamp FROM events WHERE event_id < 200)"
+HISTORY = "(SELECT CAST(event_id AS VARCHAR) AS id, event_id % 7 <> 0 AS success, CAST(round(value * 10) AS BIGINT) AS duration_ms, event_id % 1000 AS size, CAST(ts AS VARCHAR) AS timestamp FROM events)"
 
 
 def history(spark, d):
-    x = table(spark, d, "events").filter("event_id < 200")
+    x = table(spark, d, "events")
     return x.select(F.col("event_id").cast("string").alias("id"), (F.col("event_id") % 7 != 0).alias("success"), F.round(F.col("value") * 10).cast("long").alias("duration_ms"), (F.col("event_id") % 1000).alias("size"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"))
 
 
@@ -331,7 +341,7 @@ def backup_figures(spark, d):
     return rounded(stats.backup_stats(history(spark, d)), "average_ms")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS nth FROM events WHERE event_id < 200 AND event_id % 7 <> 0) WHERE nth > 7")
+@query("SELECT CAST(event_id AS VARCHAR) AS id FROM (SELECT event_id, row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS nth FROM events WHERE event_id % 7 <> 0) WHERE nth > 7")
 def backups_to_forget(spark, d):
     return stats.backups_expired(history(spark, d)).select("id")
 

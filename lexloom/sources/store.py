@@ -33,6 +33,8 @@ STALE_S = 30
 RETRIES, FIRST_WAIT_S, LONGEST_WAIT_S = 5, 0.1, 5.0
 MARKS = "deleted"  # the manifest's name for folders of markers
 MARK = "document_id string, what string"  # what: a table, or null for all that belongs to the document
+VECTORS = "vectors"  # of texts that were embedded, by key and model
+VECTOR = "key string, model string, embedding array<float>"
 LOWER = {"document_tags": "tag", "document_languages": "language_code", "keywords": "keyword"}
 Change = Callable[[], tuple[dict[str, DataFrame], dict[str, DataFrame]]]
 
@@ -137,7 +139,7 @@ class Store:
     def _folder(self, name: str, df: DataFrame, version: int | None = None) -> str:
         """df's rows in a new folder that no version names yet. version: that which will, by default the next."""
         folder = f"data/{name}-{version or self.version + 1:09d}-{uuid.uuid4().hex}"
-        rows = df.select("document_id", "what") if name == MARKS else conform(name, df)
+        rows = df.select("document_id", "what") if name == MARKS else df.select("key", "model", "embedding") if name == VECTORS else conform(name, df)
         if name == "keywords":  # in their order, so that a filter on keywords reaches the files' statistics
             rows = rows.repartitionByRange("keyword").sortWithinPartitions("keyword")
         rows.write.parquet(f"{self.path}/{folder}")
@@ -259,6 +261,33 @@ class Store:
         version = version or self.version
         return {n: self.table(n, version) for n in TABLES}
 
+    def vectors(self, model: str, version: int | None = None) -> DataFrame | None:
+        """key, embedding of the texts that this model embedded, once each; None if there are none. They outlive documents and processes."""
+        folders = self.manifest(version).get(VECTORS)
+        if not folders:
+            return None
+        held = self.spark.read.schema(VECTOR).parquet(*(f"{self.path}/{f}" for f in folders)).filter(F.col("model") == model)
+        return held.groupBy("key").agg(F.any_value("embedding").alias("embedding"))
+
+    def export_vectors(self, path: str) -> None:
+        """All of them as files, for another store."""
+        folders = self.manifest().get(VECTORS, [])
+        rows = self.spark.read.schema(VECTOR).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], VECTOR)
+        rows.dropDuplicates(["key", "model"]).write.parquet(path)
+
+    def import_vectors(self, path: str) -> int:
+        """Those of another store's files that aren't there yet."""
+        given = self.spark.read.schema(VECTOR).parquet(path)
+
+        def change():
+            folders = self.manifest().get(VECTORS)
+            if not folders:
+                return {}, {VECTORS: given}
+            known = self.spark.read.schema(VECTOR).parquet(*(f"{self.path}/{f}" for f in folders)).select("key", "model")
+            return {}, {VECTORS: given.join(known, ["key", "model"], "left_anti")}
+
+        return self.commit(change)
+
     # --- writing ---
     @staticmethod
     def accepted(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:

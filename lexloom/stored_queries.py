@@ -121,10 +121,10 @@ def hits_with_metadata(spark, d):
     return rows.crossJoin(F.broadcast(page.select(F.col("total_documents").alias("total"))))  # a single row
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS score, round(1 - (1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))), 5) AS legacy FROM embeddings WHERE vec_id < 200 AND vec_id // 5 <> 3 AND (CASE WHEN vec_id % 2 = 0 THEN label ELSE -1 END) = 3 ORDER BY score DESC, id LIMIT 6")
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 5) AS score, round(1 - (1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))), 5) AS legacy FROM embeddings WHERE vec_id // 5 <> 3 AND (CASE WHEN vec_id % 2 = 0 THEN label ELSE -1 END) = 3 ORDER BY score DESC, id LIMIT 6")
 def chunk_tables(spark, d):
     """Chunks without documents, in a plan and in a folder: the last row of an id counts, a document's go, and a filter looks at metadata first."""
-    x = table(spark, d, "embeddings").filter("vec_id < 200")
+    x = table(spark, d, "embeddings")
     key, even = F.col("vec_id").cast("string"), F.col("vec_id") % 2 == 0
     rows = x.select(key.alias("id"), F.floor(F.col("vec_id") / 5).cast("string").alias("document_id"), F.lit("c").alias("content"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
     lost = x.filter(~even).select(key.alias("id"), F.floor(F.col("vec_id") / 5).cast("string").alias("document_id"), F.lit("c").alias("content"), "embedding", F.create_map(F.lit("label"), F.lit("-1")).alias("metadata"))
@@ -140,11 +140,11 @@ def chunk_tables(spark, d):
     return out.withColumn("legacy", F.round(legacy_score(1 - F.col("score")), 5))
 
 
-@query("SELECT vec_id % 4 AS id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id DESC) AS chunks FROM embeddings WHERE vec_id < 40 GROUP BY 1")
+@query("SELECT vec_id // 10 AS id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id DESC) AS chunks FROM embeddings GROUP BY 1")
 def chunk_arrays(spark, d):
     """Documents with their chunks as an array in order."""
-    x = table(spark, d, "embeddings").filter("vec_id < 40")
-    rows = x.select((F.col("vec_id") % 4).alias("document_id"), (-F.col("vec_id")).alias("chunk_index"), F.col("vec_id").alias("id"), F.lit("c").alias("content"), F.lit(0).alias("start_position"), F.lit(1).alias("end_position"))
+    x = table(spark, d, "embeddings")
+    rows = x.select(F.floor(F.col("vec_id") / 10).alias("document_id"), (-F.col("vec_id")).alias("chunk_index"), F.col("vec_id").alias("id"), F.lit("c").alias("content"), F.lit(0).alias("start_position"), F.lit(1).alias("end_position"))
     found = documents.with_chunks(rows.select(F.col("document_id").alias("id")).distinct(), rows)
     return found.select("id", F.array_join(F.transform("chunks", lambda c: c["id"].cast("string")), ",").alias("chunks"))
 
@@ -188,13 +188,14 @@ def uploads_read(spark, d):
     return listed.unionByName(one).unionByName(stored)
 
 
-@query(f"WITH RECURSIVE l AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '([^/:])/$', '\\1') AS url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' || CAST((page_id * 7) % 50 AS VARCHAR) AS target, page_id FROM pages), p AS (SELECT 'https://e.com/' || CAST(page_id AS VARCHAR) AS url, 'https://e.com/' || CAST((page_id * 2 + 1) % 250 AS VARCHAR) AS a, 'https://e.com/' || CAST((page_id * 3) % 250 AS VARCHAR) AS b FROM pages WHERE page_id < 250), e AS (SELECT url, a AS target FROM p UNION SELECT url, b FROM p), r AS (SELECT 'https://e.com/1' AS url, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.url = r.url WHERE r.depth < 5) SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url")
+@query(f"WITH RECURSIVE l AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '#.*$', ''), '([^/:])/$', '\\1') AS url, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/' || CAST((page_id * 7) % 50 AS VARCHAR) AS target, page_id FROM pages), p AS (SELECT 'https://e.com/' || CAST(page_id AS VARCHAR) AS url, 'https://e.com/' || CAST((page_id * 2 + 1) % (SELECT count(*) FROM pages) AS VARCHAR) AS a, 'https://e.com/' || CAST((page_id * 3) % (SELECT count(*) FROM pages) AS VARCHAR) AS b FROM pages), e AS (SELECT url, a AS target FROM p UNION SELECT url, b FROM p), r AS (SELECT 'https://e.com/1' AS url, 0 AS depth UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON e.url = r.url WHERE r.depth < 5) SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY url")
 def crawl_levels(spark, d):
     """Pages within five links of a seed, each at its least depth; the pages' links follow from their numbers."""
-    x = table(spark, d, "pages").filter("page_id < 250")
+    x = table(spark, d, "pages")
+    most = x.count()
     at = lambda n: F.concat(F.lit("https://e.com/"), n.cast("string"))
     n = F.col("page_id")
-    page = F.concat(F.lit("<html><body><a href='/"), ((n * 2 + 1) % 250).cast("string"), F.lit("'>a</a><a href='"), at((n * 3) % 250), F.lit("#x'>b</a><a href='mailto:x'>c</a></body></html>"))
+    page = F.concat(F.lit("<html><body><a href='/"), ((n * 2 + 1) % most).cast("string"), F.lit("'>a</a><a href='"), at((n * 3) % most), F.lit("#x'>b</a><a href='mailto:x'>c</a></body></html>"))
     links = page_links(x.select(at(n).alias("url"), page.alias("html")))
     return reachable(links, spark.createDataFrame([("https://e.com/1",)], "url string"))
 

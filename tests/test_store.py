@@ -50,6 +50,23 @@ def test_lifecycle(tools):
     assert isinstance(tools.add_document(" ", "x"), str)
 
 
+def test_queries_through_the_index(tools):
+    """The index gives what a scan gives, grows with the store, and deleted documents are in no result."""
+    text = lambda i: f"Guide {i}\n\nwords about subject {i} and number {i * 7}"
+    for i in range(3):
+        tools.add_document(f"Doc {i}", text(i))
+    o = hybrid.Options(threshold=0.0, default_languages=("unknown",))
+    ask = lambda: [(r["title"], round(r["score"], 5)) for r in tools.query("words about subject 2", options=o)[0].collect()]
+    plain = ask()
+    tools.build_index()
+    assert ask() == plain and len(plain) == 3
+    tools.add_document("Doc 9", text(9))
+    assert {t for t, _ in ask()} == {t for t, _ in plain} | {"Doc 9"} and not tools.sync_index()
+    ids = {r["title"]: r["id"] for r in tools.list_documents().collect()}
+    tools.delete_document(ids["Doc 2"])
+    assert {t for t, _ in ask()} == {"Doc 0", "Doc 1", "Doc 9"}
+
+
 def test_crawl_sessions(tools):
     pages = {"https://e.com/robots.txt": "User-agent: *\nDisallow: /no\nSitemap: /map.xml", "https://e.com/map.xml": "<loc>https://e.com/c</loc>"}
     pages |= {f"https://e.com/{p}": f"<title>{p or 'home'}</title><p>words of {p}</p><a href='/a'>a</a><a href='/no/x'>n</a><a href='https://o.com/'>o</a>" for p in ("", "a", "c", "no/x")}
@@ -236,6 +253,28 @@ def test_each_text_is_embedded_once(spark, tmp_path):
     assert store.version == before + 1 and store.table("documents").count() == 5
 
 
+def test_vectors_outlive_the_process(spark, tmp_path):
+    """A model is asked nothing that the store has seen: after a deletion, in another store that took the vectors over, and for part of the texts."""
+    log = tmp_path / "calls"
+    asked = lambda: len(log.read_text().splitlines()) if log.exists() else 0
+    raw = spark.createDataFrame([(f"t{i}", f"# words\n\n```js\nlet a = {i}\n```\nand {i}", "api") for i in range(4)], "title string, content string, source string")
+    store = open_store(spark, str(tmp_path / "s"))
+    ingest(store, raw, lambda: Counting(str(log)), "sine")
+    n, first = asked(), sorted(map(tuple, store.table("chunks").select("content", "embedding").collect()))
+    assert n == store.vectors("sine").count() > 0 and store.vectors("other") is None or store.vectors("other").count() == 0
+    store.discard(store.table("documents").select(F.col("id").alias("document_id")))
+    again = open_store(spark, str(tmp_path / "s"))
+    ingest(again, raw, lambda: Counting(str(log)), "sine")
+    assert asked() == n and sorted(map(tuple, again.table("chunks").select("content", "embedding").collect())) == first
+    again.export_vectors(str(tmp_path / "v"))
+    other = open_store(spark, str(tmp_path / "o"))
+    other.import_vectors(str(tmp_path / "v"))
+    before = other.vectors("sine").count()
+    other.import_vectors(str(tmp_path / "v"))
+    ingest(other, raw.unionByName(raw.limit(1).withColumn("content", F.lit("new words only"))), lambda: Counting(str(log)), "sine")
+    assert asked() == n + 1 and other.vectors("sine").count() == before + 1 == n + 1
+
+
 def test_backups(spark, tmp_path):
     store = open_store(spark, str(tmp_path / "s"))
     ingest(store, spark.createDataFrame([("t", "some words")], "title string, content string"), sine, "sine")
