@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.pdf import read as read_pdf
+
 #: Extensions that are read, and how deep folders are followed.
 SUPPORTED = ["txt", "md", "pdf"]
 DEPTH = 10
@@ -71,7 +73,8 @@ def listed(spark: SparkSession, folder: str, depth: int = DEPTH) -> DataFrame:
 
 
 def texts(rows: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFrame:
-    """title, extension, path, content, error of files. pdf: reads a PDF's pages to text; without it PDFs are errors."""
+    """title, extension, path, content, error of files. pdf: reads a PDF's pages to text, by default functions/pdf.py."""
+    pdf = pdf or read_pdf
 
     @F.pandas_udf("content string, error string")
     def read_all(data: pd.Series, kind: pd.Series) -> pd.DataFrame:
@@ -80,8 +83,6 @@ def texts(rows: DataFrame, pdf: Callable[[bytes], str] | None = None) -> DataFra
             try:
                 if k not in SUPPORTED:
                     raise ValueError(f"no reader for .{k}")
-                if k == "pdf" and pdf is None:
-                    raise ValueError("no reader for PDF")
                 t = pdf(bytes(d)) if k == "pdf" else bytes(d).decode("utf-8", "replace")
                 if not t.strip():
                     raise ValueError("no text")
