@@ -10,12 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.html import extract
+from lexloom.functions.html import BLOCK, extract
 from lexloom.functions.urls import normal, normalized, permitted, resolve, robots, same_host
-from lexloom.session import shared_folder
+from lexloom.session import shared_folder, ship
 
 #: At most so many sitemaps, and bytes of a body.
 SITEMAPS, MOST_BYTES = 10, 5 * 1024 * 1024
@@ -91,36 +91,137 @@ class Crawl:
                     (todo if found.lower().endswith(".xml") or "sitemap" in found.lower() else out).append(found)
         return out
 
-    def run(self, seed: str) -> list[dict]:
-        """url, depth, title, text, links, code_blocks of each page taken in."""
+    def begin(self, seed: str) -> tuple[str, list[str]]:
+        """The seed in normal form, and the pages that its site's maps name."""
         start = normal(seed)
         if not start:
             raise ValueError(f"not an http(s) URL: {seed}")
-        queue = deque([(start, 0)] + [(normal(u), 1) for u in self.sitemaps(self.of(start)["sitemap"], start)])
+        return start, [normal(u) for u in self.sitemaps(self.of(start)["sitemap"], start)]
+
+    def wanted(self, url: str, depth: int, start: str) -> bool:
+        return not (self.same_domain and not same_host(start, url) or depth > self.max_depth) and permitted(urlsplit(url).path or "/", self.of(url))
+
+    def taken(self, url: str) -> dict | None:
+        """The page, or None; errors say why one that should be there is not."""
+        try:
+            got = self.fetch(url)
+        except Exception as e:  # one page must not stop the crawl
+            self.errors.append(f"{url}: {e}")
+            return None
+        kind = (got[1] or "").partition(";")[0].strip().lower() if got else ""
+        if not got or got[0] >= 400 or kind and not (kind.startswith("text/") or kind in ("application/json", "application/xml", "application/xhtml+xml", "application/rss+xml", "application/atom+xml")):
+            self.errors.append(f"{url}: not read")
+            return None
+        if len(got[2].encode("utf-8", "replace")) > MOST_BYTES:
+            self.errors.append(f"{url}: too large")
+            return None
+        page = extract(got[2], url) if not kind or "html" in kind else {"title": url, "text": got[2], "links": [], "code_blocks": []}
+        return page if page["text"].strip() and self.accept(page["text"]) else None
+
+    def run(self, seed: str) -> list[dict]:
+        """url, depth, title, text, links, code_blocks of each page taken in."""
+        start, mapped = self.begin(seed)
+        queue = deque([(start, 0)] + [(u, 1) for u in mapped])
         seen, out = set(), []
         while queue and len(out) < self.max_pages:
             url, depth = queue.popleft()
             if not url or url in seen:
                 continue
             seen.add(url)
-            if self.same_domain and not same_host(start, url) or depth > self.max_depth or not permitted(urlsplit(url).path or "/", self.of(url)):
-                continue
-            try:
-                got = self.fetch(url)
-            except Exception as e:  # one page must not stop the crawl
-                self.errors.append(f"{url}: {e}")
-                continue
-            kind = (got[1] or "").partition(";")[0].strip().lower() if got else ""
-            if not got or got[0] >= 400 or kind and not (kind.startswith("text/") or kind in ("application/json", "application/xml", "application/xhtml+xml", "application/rss+xml", "application/atom+xml")):
-                self.errors.append(f"{url}: not read")
+            if not self.wanted(url, depth, start):
                 continue
-            if len(got[2].encode("utf-8", "replace")) > MOST_BYTES:
-                self.errors.append(f"{url}: too large")
-                continue
-            page = extract(got[2], url) if not kind or "html" in kind else {"title": url, "text": got[2], "links": [], "code_blocks": []}
-            if not page["text"].strip() or not self.accept(page["text"]):
+            page = self.taken(url)
+            if page is None:
                 continue
             out.append({"url": url, "depth": depth} | page)
             if depth < self.max_depth:
                 queue += [(normal(u), depth + 1) for u in page["links"]]
         return out
+
+
+PAGE = f"url string, depth int, nth long, host string, title string, text string, links array<string>, code_blocks array<{BLOCK}>, error string"
+FRONTIER = "url string, depth int, nth long, host string"
+
+
+class SpreadCrawl:
+    """A crawl whose frontier is a table, fetched in tasks: all pages of a host by one task at a time, with a pause between them.
+
+    Each level is dealt out by host and taken in rounds of as many pages as are still wanted, in the order in which links were found, so the pages are those that one queue would
+    take. Every frontier and round is a table in `folder`; one that is complete is read and not made again, so a crawl that was stopped goes on where it
+    was, with the pages it had. make(): called in a task, gives the settings of a Crawl there (its fetch, accept and so on)."""
+
+    def __init__(self, spark: SparkSession, folder: str, make: Callable[[], Crawl], pace_s: float = 0.0, hosts: int | None = None):
+        self.spark, self.folder, self.make, self.pace_s, self.hosts = ship(spark), folder.rstrip("/"), make, pace_s, hosts
+
+    def _kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            make().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def _fetched(self, rows: DataFrame, start: str) -> DataFrame:
+        """A row for each URL: the page, or why there is none."""
+        make, pace = self.make, self.pace_s
+
+        def run(batches):
+            import time
+
+            import pandas as pd
+
+            crawl, last = make(), {}
+            for b in batches:
+                out = []
+                for r in b.itertuples(index=False):
+                    page, before = None, len(crawl.errors)
+                    if crawl.wanted(r.url, r.depth, start):
+                        if r.host in last:
+                            time.sleep(max(0.0, last[r.host] + pace - time.monotonic()))
+                        page = crawl.taken(r.url)
+                        last[r.host] = time.monotonic()
+                    error = crawl.errors[-1] if len(crawl.errors) > before else None
+                    page = page or {"title": None, "text": None, "links": None, "code_blocks": None}
+                    out.append((r.url, r.depth, r.nth, r.host, page["title"], page["text"], page["links"], page["code_blocks"], error))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in FRONTIER.split(", ")] + ["title", "text", "links", "code_blocks", "error"])
+
+        dealt = rows.repartition(self.hosts, "host") if self.hosts else rows.repartition("host")
+        return dealt.sortWithinPartitions("host", "nth").mapInPandas(run, PAGE)
+
+    def run(self, seed: str) -> tuple[DataFrame, DataFrame]:
+        """The pages taken in (url, depth, nth, title, text, links, code_blocks), in the order of nth within a depth, and the errors (url, error)."""
+        crawl = self.make()
+
+        def begin():
+            start, mapped = crawl.begin(seed)
+            return self.spark.createDataFrame([(u, i) for i, u in enumerate(dict.fromkeys([start, *filter(None, mapped)]))], "url string, nth long")
+
+        first = self._kept("seed", begin)
+        start = first.filter("nth = 0").first()["url"]
+        host = F.lower(F.coalesce(F.regexp_extract("url", r"^[^:]+://([^/?#]*)", 1), F.lit("")))
+        left, pages, seen = crawl.max_pages, None, None
+        frontier = first.filter("nth = 0")
+        mapped = first.filter("nth > 0")
+        for depth in range(crawl.max_depth + 1):
+            own = self._kept(f"frontier-{depth}", lambda f=frontier, d=depth, h=host: f.select("url", F.lit(d).alias("depth"), "nth", h.alias("host")))
+            seen = own.select("url") if seen is None else seen.unionByName(own.select("url"))
+            level, after, turn = None, -1, 0
+            while left > 0:
+                part = own.filter(F.col("nth") > after).orderBy("nth").limit(left)
+                got = self._kept(f"pages-{depth}-{turn}", lambda p=part, s=start: self._fetched(p, s))
+                n, taken, after = got.agg(F.count("*"), F.count("text"), F.max("nth")).first()
+                if not n:
+                    break
+                level, left, turn = got if level is None else level.unionByName(got), left - taken, turn + 1
+            if level is None:
+                break
+            pages = level if pages is None else pages.unionByName(level)
+            # links in the order of their pages and places; those of the site's maps come first
+            links = level.filter("text IS NOT NULL").select(F.col("nth").alias("a"), F.posexplode("links").alias("b", "link")).select("a", F.col("b").cast("long").alias("b"), normalized(F.col("link")).alias("url"))
+            if depth == 0:
+                links = links.unionByName(mapped.select(F.lit(-1).cast("long").alias("a"), F.col("nth").alias("b"), "url"))
+            new = links.filter("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("a", "b")).alias("at")).join(seen, "url", "left_anti")
+            frontier = new.orderBy("at").select("url", F.monotonically_increasing_id().alias("nth"))
+            if left <= 0:
+                break
+        none = self.spark.createDataFrame([], PAGE)
+        pages = none if pages is None else pages
+        return pages.filter("text IS NOT NULL").drop("error", "host").orderBy("depth", "nth"), pages.filter("error IS NOT NULL").select("url", "error")
