@@ -117,3 +117,17 @@ def test_near_copies_at_the_threshold(spark, monkeypatch):
             texts.append(" ".join(own))
         n = counted(spark, monkeypatch, texts)
         assert n["buckets"] <= 12 * size and n["cells"] <= 3 * n["buckets"] and n["verified"] <= 6 * size
+
+
+def test_components(spark):
+    """Chains, hubs, stars, repeated edges and loops, against plain merging."""
+    rng = random.Random(6)
+    cases = [[], [(3, 3)], [(i + 1, i) for i in range(60)], [(i, 0) for i in range(1, 50)], [(99, i) for i in range(50)], [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] * 2, [(9, -5), (-5, 7), (2, 9)]]
+    for edges in cases:
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in root:
+            for u, v in edges:
+                if u != v:
+                    root[u] = root[v] = min(root[u], root[v])
+        got = simhash.components(spark.createDataFrame(edges, "u long, v long"))
+        assert sorted(map(tuple, got.collect())) == sorted(root.items())
