@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.filters import parsed
+from lexloom.operators.ranks import kept
 from lexloom.operators.vector import cosine, literal
 
 #: The parameters of the index over such a table.
@@ -16,18 +17,25 @@ SCHEMA = "id string, document_id string, content string, embedding array<float>,
 
 
 class Chunks:
-    """Held in a plan: a few chunks, for tests and scripts."""
+    """Held in a plan, which is written to the shared folder after every few changes, so that it doesn't grow with them."""
+
+    EVERY = 8
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.changes = spark, 0
         self.rows = spark.createDataFrame([], SCHEMA)
 
     def _keep(self, rows: DataFrame) -> None:
-        self.rows = rows
+        self.changes += 1
+        self.rows = rows if self.changes % self.EVERY else kept(rows)
+
+    @staticmethod
+    def _given(chunks: DataFrame) -> DataFrame:
+        return chunks.select("id", "document_id", "content", F.col("embedding").cast("array<float>").alias("embedding"), "metadata").dropDuplicates(["id"])
 
     def add(self, chunks: DataFrame) -> None:
         """Rows of SCHEMA; of rows with the same id in chunks one is taken, and it takes the place of a stored one."""
-        new = chunks.select("id", "document_id", "content", F.col("embedding").cast("array<float>").alias("embedding"), "metadata").dropDuplicates(["id"])
+        new = self._given(chunks)
         self._keep(self.rows.join(new.select("id"), "id", "left_anti").unionByName(new))
 
     def remove_document(self, document_id: str) -> None:
@@ -53,32 +61,60 @@ class Chunks:
 
 
 class StoredChunks(Chunks):
-    """Held in a folder that is made with the first chunk. Each change is a new sub-folder, named by the newest marker."""
+    """Held in a folder that is made with the first chunk. Each change is a sub-folder of its own: the rows that were added, or the document that went.
+
+    Reading takes the newest row of each id, less those whose document went after they were written; compact() makes one folder of all."""
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark)
         self.path = path.rstrip("/")
         self.place = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.place(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if at := self._newest():
-            self.rows = spark.read.schema(SCHEMA).parquet(at)
+        self._read()
 
-    def _newest(self) -> str | None:
-        """Spark marks a folder that is written whole."""
+    def _names(self) -> list[str]:
+        """Sub-folders that are written whole, which Spark marks, in their order."""
         if not self.fs.exists(self.place(self.path)):
-            return None
+            return []
         names = sorted(s.getPath().getName() for s in self.fs.listStatus(self.place(self.path)))
-        whole = [n for n in names if self.fs.exists(self.place(f"{self.path}/{n}/_SUCCESS"))]
-        return f"{self.path}/{whole[-1]}" if whole else None
+        return [n for n in names if self.fs.exists(self.place(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _write(self, rows: DataFrame, kind: str) -> None:
+        number = max((int(n.split("-")[0]) for n in self._names()), default=0) + 1
+        rows.write.parquet(f"{self.path}/{number:012d}-{kind}-{uuid.uuid4().hex}")
+        self._read()
+
+    def _read(self) -> None:
+        names = self._names()
+        paths = lambda gone: [f"{self.path}/{n}" for n in names if ("-gone-" in n) == gone]
+        at = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{12})-[^/]+/[^/]+$", 1).cast("long")
+        if not paths(False):
+            self.rows = self.spark.createDataFrame([], SCHEMA)
+            return
+        rows = self.spark.read.schema(SCHEMA).parquet(*paths(False))
+        if len(names) > 1:
+            held = rows.select(F.struct(*rows.columns).alias("r"), at.alias("at")).groupBy("r.id").agg(F.max_by("r", "at").alias("r"), F.max("at").alias("at"))
+            if paths(True):
+                gone = self.spark.read.schema("gone string").parquet(*paths(True)).select("gone", at.alias("later")).groupBy("gone").agg(F.max("later").alias("later"))
+                held = held.join(gone, F.col("r.document_id").eqNullSafe(F.col("gone")) & (F.col("at") < F.col("later")), "left_anti")
+            rows = held.select("r.*")
+        self.rows = rows
 
-    def _keep(self, rows: DataFrame) -> None:
-        old = self._newest()
-        number = int(old.rsplit("/", 1)[1].split("-")[0]) + 1 if old else 1
-        path = f"{self.path}/{number:012d}-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        self.rows = self.spark.read.schema(SCHEMA).parquet(path)
-        if old:
-            self.fs.delete(self.place(old), True)
+    def add(self, chunks: DataFrame) -> None:
+        """Writes these rows alone."""
+        self._write(self._given(chunks), "rows")
+
+    def remove_document(self, document_id: str) -> None:
+        """Writes the document's id."""
+        self._write(self.spark.createDataFrame([(document_id,)], "gone string"), "gone")
+
+    def compact(self) -> None:
+        """All changes as one folder; what it replaces is deleted. No reader may be on the older ones."""
+        old = self._names()
+        self._write(self.rows, "rows")
+        for n in old:
+            self.fs.delete(self.place(f"{self.path}/{n}"), True)
+        self._read()
 
 
 def legacy_score(distance):

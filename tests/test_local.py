@@ -119,3 +119,34 @@ def test_chunks(spark):
     assert [r["content"] for r in c.search([1.0, 0.0]).collect()] == ["z", "y"] and c.get("1").first()["content"] == "z"
     assert [r["id"] for r in c.search([1.0, 0.0], filter="k = 'v'").collect()] == ["1"]
     assert {r["id"] for r in c.search([1.0, 0.0], filter="id = '1'").collect()} == {"1", "2"}  # metadata first, then the column
+
+
+def test_chunk_tables_grow_by_their_changes(spark, tmp_path):
+    """Both tables alike through any changes; a stored one writes what came or went, and folds it in when told."""
+    import random
+
+    from lexloom.sources.vectors import SCHEMA, Chunks, StoredChunks
+
+    rng, path = random.Random(1), tmp_path / "c"
+    held, own, plain = Chunks(spark), StoredChunks(spark, str(path)), {}
+    big = [(f"i{i}", f"d{i % 40}", f"text {rng.random()}", [rng.random(), 1.0], {"k": "v"}) for i in range(3000)]
+    size = lambda: sum(f.stat().st_size for f in path.rglob("*.parquet"))
+    for step in range(10):
+        if step % 3 == 2:
+            doc = f"d{rng.randrange(40)}"
+            held.remove_document(doc)
+            own.remove_document(doc)
+            plain = {k: v for k, v in plain.items() if v[1] != doc}
+        else:
+            rows = big if not step else [(i, d, f"new {step}", v, m) for i, d, _, v, m in rng.sample(big, 5)]
+            before = size() if path.exists() else 0
+            for c in (held, own):
+                c.add(spark.createDataFrame(rows, SCHEMA))
+            assert not step or size() - before < before / 5
+            plain |= {r[0]: r for r in rows}
+    show = lambda c: sorted((r["id"], r["document_id"], r["content"]) for r in c.rows.collect())
+    want = sorted(r[:3] for r in plain.values())
+    assert show(held) == show(own) == show(StoredChunks(spark, str(path))) == want
+    own.compact()
+    assert len(list(path.iterdir())) == 1 and show(own) == show(StoredChunks(spark, str(path))) == want
+    assert own.search([1.0, 0.0], 2).count() == 2 and own.get("i1").count() == 1
