@@ -206,16 +206,21 @@ def links(rows: DataFrame, budget: int) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell").select("cell", "bits", "fp", "depth", "side").mapInArrow(released(run), "u long, v long")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) is either the u of one edge or only ever a v: then the components are stars, and each v is a root."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("least") == 0)).isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root) of every node of the edges (u, v): alternating large and small stars until nothing changes.
+    """(id, root) of every node of the edges (u, v): alternating large and small stars until the edges are stars.
 
     The least neighbours are summed up map-side and written before edges are joined with them, so that join may split a hub like any hot
     key; a round keeps at most as many edges as there are nodes, and its tables go with it."""
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if edges.isEmpty():
-        return written(edges.select(F.col("u").alias("id"), F.col("v").alias("root")))
-    seen = None
     for _ in range(rounds):
+        if are_stars(edges):
+            break
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = written(both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
@@ -223,10 +228,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least2.select("u", "m")).filter("u <> v")
         before, edges = edges, written(small.distinct())
         forget(before, least, large, least2)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     out = written(edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()))
@@ -477,12 +478,12 @@ def equal_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return kept, ids, linked
 
 
-def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 20, share: int = 8, most: int = 8, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
+def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, known: DataFrame | None = None, common: int = 1 << 20, share: int = 8, most: int = 6, limit: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(id, root) of the ids that hang together over the known links (u, v) and all pairs of texts that share at least `similarity` of their distinct shingles; and (id, least) of those whose text is that of a lesser id, which are not in the former.
 
     Exact: two such sets share one of their first shingles, whatever the order; the counts in one of `share` sets only put common ones last (`common` of them at most), and where they first meet the smaller
     is strong (first_shingles). Texts that share a passage and little else are strong in none of its shingles, so it makes no bucket. The sets of a
-    bucket (a shared first shingle) all meet if they are few, else all meet the first strong one of them. Then, in large buckets, sets of different
+    bucket (a shared first shingle) all meet if they are few, else each meets the first of one of its buckets. Then, in large buckets, sets of different
     components meet, those that sizes, places and parities do not rule out: `most` for each set, then four times as many, until none was put
     off. Only pairs inside a component are never compared, as they change nothing. An exact count decides."""
     kind = docs.schema[id_col].dataType.typeName()
@@ -514,9 +515,10 @@ def alike_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     few = live.filter(F.col("sharing") <= FEW).groupBy("token").agg(F.collect_list(row).alias("m"))
     few = few.select(F.explode(F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: fit(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))).alias("p")).select("p.*")
     large = live.filter(F.col("sharing") > FEW)
-    first = written(large.filter("strong").groupBy("token").agg(F.min(row).alias("first")))
-    led = large.join(first, "token").filter((F.col("first.id") != F.col("id")) & may_meet({c: F.col(f"first.{c}") for c in ("n", "ahead", "strong")}, {c: F.col(c) for c in ("n", "ahead", "strong")}, similarity))
-    led = led.select(F.least("first.id", "id").alias("u"), F.greatest("first.id", "id").alias("v"))
+    # each meets one at first, the least id that leads one of its buckets: a pair for each set
+    first = written(large.groupBy("token").agg(F.min(F.struct("id", "n")).alias("first")))
+    led = large.join(first, "token").filter(sizes_fit(F.col("first.n"), F.col("n"), similarity) & (F.col("first.id") < F.col("id")))
+    led = led.groupBy(F.col("id").alias("v")).agg(F.min("first.id").alias("u")).select("u", "v")
     done = written(few.unionByName(led).distinct())
     links = links.unionByName(verified(done, sets, similarity))
     label = components(links)
