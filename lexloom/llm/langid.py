@@ -151,16 +151,16 @@ def trained(docs: DataFrame, learn: Column, each: int = 1500, id_col: str = "doc
             if not has_letter(text):
                 return None, None
             at, x = vector(text, idf)
-            return at.astype(np.int32).tolist(), x.tolist()
+            return at.tobytes(), x.tobytes()  # six bytes a feature, where lists of numbers would be some sixty on the driver
 
         return one
 
-    found = per_row(picked, [text_col], ["of", "th", "kind"], "at array<int>, x array<float>", features).filter("at IS NOT NULL").dropDuplicates(["of", "th", "kind"])
+    found = per_row(picked, [text_col], ["of", "th", "kind"], "at binary, x binary", features).filter("at IS NOT NULL").dropDuplicates(["of", "th", "kind"])
     rows = sorted(found.collect(), key=lambda r: (str(r["of"]), r["th"], r["kind"]))
     langs = sorted({r["kind"] for r in rows})
     if not langs:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
-    x, y = [(np.array(r["at"], np.uint16), np.array(r["x"], np.float32)) for r in rows], np.array([langs.index(r["kind"]) for r in rows])
+    x, y = [(np.frombuffer(r["at"], np.uint16), np.frombuffer(r["x"], np.float32)) for r in rows], np.array([langs.index(r["kind"]) for r in rows])
     rows.clear()
     aside = np.arange(len(y)) % 5 == 0
     own = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))
