@@ -3,7 +3,8 @@
 A block is a keyword's documents of one bucket (a hash of the document, the same for all keywords), with the greatest frequency in it. So the blocks of several
 keywords that may hold one document have one bucket, and the sum of their greatest frequencies bounds the score of every document in the bucket: a plain sum by bucket,
 no walk through lists. `topk` takes the k-th best score of the buckets with the highest bounds, and then reads those buckets only whose bound is not less.
-Blocks lie sorted by keyword and bucket, so a filter on keywords reaches the files' statistics.
+Rows move once: to the tasks that make the blocks of a keyword and SPAN buckets, which bounds what a common keyword brings a task. A file's blocks lie sorted
+by keyword and bucket, so a filter on keywords reaches its statistics.
 
 Defined results: a document's frequency in a keyword is the sum over its sources; rows without a keyword or document are left out; ties end in the document;
 a query without keywords finds nothing; an empty table gives an empty one.
@@ -15,17 +16,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET = 1024  # documents of a bucket, about
+SPAN = 64  # buckets whose blocks of one keyword are made in one task
 
 
 def blocks(keyword_rows: DataFrame, buckets: int | None = None) -> DataFrame:
-    """keyword, bucket, most, n, entries (document_id, frequency), in the order of keyword and bucket. buckets: by default one for each BUCKET documents."""
+    """keyword, bucket, most, n, entries (document_id, frequency), in each partition in the order of keyword and bucket. buckets: by default one for each BUCKET documents,
+    which takes a pass over the rows; whoever knows the documents says it (buckets_for). Rows needn't be summed up."""
     rows = keyword_rows.filter("keyword IS NOT NULL AND document_id IS NOT NULL")
-    buckets = buckets or max(1, rows.agg(F.approx_count_distinct("document_id")).first()[0] // BUCKET)
-    summed = rows.groupBy("keyword", "document_id").agg(F.sum("frequency").cast("long").alias("frequency"))
-    summed = summed.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+    buckets = buckets or buckets_for(rows, "document_id")
+    placed = rows.select("keyword", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int").alias("bucket"), "document_id", "frequency")
+    placed = placed.withColumn("span", F.floor(F.col("bucket") / SPAN)).repartition("keyword", "span")
+    summed = placed.groupBy("keyword", "span", "bucket", "document_id").agg(F.sum("frequency").cast("long").alias("frequency"))
     # of one bucket: a bounded number of documents, however common the keyword
-    made = summed.groupBy("keyword", "bucket").agg(F.max("frequency").alias("most"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("document_id", "frequency"))).alias("entries"))
-    return made.repartitionByRange("keyword", "bucket").sortWithinPartitions("keyword", "bucket")
+    made = summed.groupBy("keyword", "span", "bucket").agg(F.max("frequency").alias("most"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("document_id", "frequency"))).alias("entries"))
+    return made.drop("span").sortWithinPartitions("keyword", "bucket")
+
+
+def buckets_for(docs: DataFrame, id_col: str = "id") -> int:
+    """One for each BUCKET documents, about."""
+    return max(1, docs.agg(F.approx_count_distinct(id_col)).first()[0] // BUCKET)
 
 
 def store(keyword_rows: DataFrame, path: str, buckets: int | None = None) -> DataFrame:

@@ -52,3 +52,10 @@ def test_parts_are_bounded():
     got = list(batches.parts((texts, pa.array(range(len(texts))))))
     assert [x for a, _ in got for x in a] == texts.to_pylist() and [x for _, b in got for x in b] == list(range(len(texts)))
     assert all(len(a) == 1 or len(a) <= batches.ROWS and sum(len(x or "") for x in a) <= batches.BYTES for a, _ in got)
+
+
+def test_postings_move_rows_once(spark):
+    docs = spark.createDataFrame([(i, f"alpha word{i % 7} alpha") for i in range(50)], "id long, content string")
+    made = postings.blocks(keyword.occurrences(docs, fields={"content": "content"}).withColumn("frequency", F.lit(1)), 4)
+    assert plan(made).split("Initial Plan")[0].count("Exchange ") == 1
+    assert postings.search(made, ["alpha"]).agg(F.sum("score"), F.count("*")).first() == (100.0, 50)
