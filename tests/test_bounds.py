@@ -59,3 +59,29 @@ def test_postings_move_rows_once(spark):
     made = postings.blocks(keyword.occurrences(docs, fields={"content": "content"}).withColumn("frequency", F.lit(1)), 4)
     assert plan(made).split("Initial Plan")[0].count("Exchange ") == 1
     assert postings.search(made, ["alpha"]).agg(F.sum("score"), F.count("*")).first() == (100.0, 50)
+
+
+def test_a_wide_beam_is_bounded():
+    rng = np.random.default_rng(2)
+    m, q = (vector.unit(rng.standard_normal((n, 64))).astype(np.float32) for n in (4096, 128))
+    graph = ann.links(m, 8)
+    tracemalloc.start()
+    got = ann.beam_search(m, graph, q, 4096, 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak
+    one = [ann.beam_search(m, graph, q[i : i + 1], 4096, 256) for i in range(3)]
+    for i, (_, row, score, scored) in enumerate(one):
+        assert (got[1][got[0] == i] == row).all() and (got[2][got[0] == i] == score).all() and got[3][i] == scored[0]
+
+
+def test_cells_are_found_a_part_at_a_time():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    v, centroids = rng.standard_normal((5000, 8)), rng.standard_normal((2000, 8))
+    tracemalloc.start()
+    got = vector.nearest_cells(pd.Series(list(v)), centroids, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and (np.stack(got) == np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :3]).all()
