@@ -93,3 +93,20 @@ def test_cells_are_found_a_part_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6 and (np.stack(got) == np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :3]).all()
+
+
+def test_letters_and_sums_of_the_detector():
+    text = "".join(map(chr, [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]))
+    assert language.words(text) == Counter("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    rng = random.Random(4)
+    known = {x: {a + b + c: -rng.random() * 9 for a in " abc" for b in "abc" for c in "abc "} for x in ("x", "y", "z")}
+    detect = language.Detector(known, most=50)
+    for _ in range(60):
+        t = " ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(40))
+        n, fit = 0, [0.0] * 3
+        for w, k in language.words(t).items():
+            g = language.trigrams(w)
+            n += len(g) * k
+            fit = [a + k * sum(known[x].get(y, -12.0) for y in g) for a, x in zip(fit, "xyz", strict=True)]
+        assert detect(t)[0] == "xyz"[max(range(3), key=fit.__getitem__)]
+    assert len(detect.seen) < 100
