@@ -14,6 +14,10 @@ from lexloom.operators import ann, keyword, postings, vector
 from lexloom.queries import QUERIES
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def counting():
     """Says how many results of earlier rows there are still."""
     import weakref
