@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import batches, chunk, html, language
 from lexloom.operators import ann, keyword, postings, vector
 from lexloom.queries import QUERIES
+from lexloom.sources import crawl
 
 
 def plan(df) -> str:
@@ -49,6 +50,16 @@ def test_texts_go_through_a_part_at_a_time(spark, column):
     assert "ArrowEvalPython" in plan(df) and ", 251" in plan(df)  # an iterator over Arrow arrays
 
 
+def test_links_of_a_page_take_one_worker(spark):
+    page = '<a href="/b/#x">1</a><a href="b">2</a><a href="HTTPS://e.com:443/c//d/">3</a><a href="ftp://e.com/">4</a><pre>code</pre>'
+    pages = spark.createDataFrame([("https://e.com/a/", page), (None, page), ("no url", "<a href='https://e.com/z'>z</a>"), ("https://e.com/n", None)], "url string, html string")
+    found = crawl.page_links(pages)
+    assert plan(found).split("Initial Plan")[0].count("ArrowEvalPython") == 1
+    want = [("https://e.com/a", "https://e.com/a/b"), ("https://e.com/a", "https://e.com/b"), ("https://e.com/a", "https://e.com/c/d"), (None, "https://e.com/c/d"), (None, "https://e.com/z")]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert crawl.page_links(pages, within=True).count() == 0
+
+
 def test_parts_are_bounded():
     import pyarrow as pa
 
