@@ -46,6 +46,19 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of whole texts, or of their shingles, that a task reads from a file and hands to Python at a time. Spark's defaults, 4,096 and 10,000, suit narrow rows.
+READ_ROWS, ARROW_ROWS = 512, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session reads and hands on so many rows at most at a time; smaller settings stay. Plans are lazy, so it is not taken back.
+
+    A batch of texts is a few arrays, doubled as they fill: of 4,096 rows tens of MB each, for which the executor's heap grows and outside of it Arrow's."""
+    for key, most in (("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, most)
+
+
 def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -125,3 +125,30 @@ def test_letters_and_sums_of_the_detector():
             fit = [a + k * sum(known[x].get(y, -12.0) for y in g) for a, x in zip(fit, "xyz", strict=True)]
         assert detect(t)[0] == "xyz"[max(range(3), key=fit.__getitem__)]
     assert len(detect.seen) < 100
+
+
+def test_stages_read_whole_texts_a_few_at_a_time(spark, tmp_path):
+    import corpus_pipeline
+    from lexloom.llm import common
+
+    keys = {"spark.sql.parquet.columnarReaderBatchSize": common.READ_ROWS, "spark.sql.execution.arrow.maxRecordsPerBatch": common.ARROW_ROWS}
+    for key in keys:
+        spark.conf.unset(key)
+    spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        packed = corpus_pipeline.pack(spark, docs, str(tmp_path))
+        assert packed.columns and all(int(spark.conf.get(k)) == most for k, most in keys.items())
+
+        def rows(batches):
+            for b in batches:
+                yield b.from_arrays([[b.num_rows]], names=["n"])
+
+        got = [r[0] for r in docs.select("text").mapInArrow(rows, "n long").collect()]
+        assert sum(got) == 3000 and max(got) <= common.ARROW_ROWS
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 100)
+        common.small_batches(spark)
+        assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "100"  # a smaller setting stays
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
